@@ -6,9 +6,11 @@ hash is a bucket. Two texts meet in a bucket with a probability that falls with
 k-mers are and how they follow each other must agree. With K = 5, L = 5 and ``SKETCHES`` = 24, texts that share 0.8 of their
 k-mers in order meet at least once with probability 1 - (1 - 0.8^5)^24 > 0.9999, texts that share half in one of two cases.
 
-In each bucket all members are compared with the ``LEADERS`` smallest ones, so groups up to that size are compared in full.
-Members that match none of them form the bucket's next round, until none is left: nothing is capped, and no bucket emits
-all of its pairs. A candidate pair is linked if its sets of 5-word shingles have a Jaccard similarity of ``SIMILARITY``
+Buckets of up to ``ALL_PAIRS`` texts are compared in full. Texts of larger buckets get a second, sharper set of sketches (``DEEP``:
+longer tuples, more of them), which part texts that are merely related and still miss a pair of similarity 0.8 with a chance of
+some 1 in 50,000. A bucket that is large even so is compared with a leader, the member that shares most such buckets; members that
+don't match it form the bucket's next round, until none is left. Nothing is capped, and no large bucket emits all of its pairs.
+A candidate pair is linked if its sets of 5-word shingles have a Jaccard similarity of ``SIMILARITY``
 or more and banded alignment confirms that its words differ in at most 1 - SIMILARITY of the longer text's length.
 Groups are the connected components of the links.
 
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textnum
@@ -30,9 +32,12 @@ from gridloom.llm.common import checked_join, delete_quietly, materialise, packe
 from gridloom.llm.components import components
 
 K, L, SKETCHES = 5, 5, 24
-LEADERS = 4
+#: (tuple length, number of sketches) of the sketches for crowded texts; texts of under SHORT k-mers, and those near it, have L and SKETCHES.
+DEEP = (10, 96)
+SHORT = 60
+ALL_PAIRS = 16
 SIMILARITY = 0.8
-_ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES + DEEP[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _labelled(h: np.ndarray) -> np.ndarray:
@@ -52,38 +57,52 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
     return textnum.windows(h, min(k, len(h))) if len(h) else np.zeros(1, dtype=np.uint64)
 
 
-def sketches(h: np.ndarray) -> np.ndarray:
-    """The bucket of each sketch of a text with word hashes h."""
+def sketches(h: np.ndarray, depth: int = 0) -> np.ndarray:
+    """The buckets of a text with word hashes h."""
     g = textnum.mix(_labelled(kmers(h)).copy())
-    ranks = (g[None, :] ^ _ORDERS[0][:, None]) * _ORDERS[1][:, None]
+    if depth == 0:
+        return _sketches(g, L, slice(0, SKETCHES))
+    parts = []
+    if len(g) < SHORT * 1.25:
+        parts.append(_sketches(g, L, slice(0, SKETCHES)))
+    if len(g) >= SHORT:
+        parts.append(_sketches(g, DEEP[0], slice(SKETCHES, SKETCHES + DEEP[1])))
+    return np.concatenate(parts)
+
+
+def _sketches(g: np.ndarray, size: int, orders: slice) -> np.ndarray:
+    ranks = (g[None, :] ^ _ORDERS[0][orders, None]) * _ORDERS[1][orders, None]
     ranks ^= ranks >> np.uint64(29)
-    take = min(L, len(g))
+    take = min(size, len(g))
     if take < len(g):
         at = np.argpartition(ranks, take - 1, axis=1)[:, :take]
     else:
-        at = np.broadcast_to(np.arange(take), (SKETCHES, take))
+        at = np.broadcast_to(np.arange(take), (len(ranks), take))
     at = np.sort(at, axis=1)  # text order
-    out = np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out = np.arange(orders.start, orders.stop, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for j in range(take):
         out = textnum.mix(out * np.uint64(0x9E3779B97F4A7C15) + g[at[:, j]])
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, bucket) of each distinct text; a text that this task has seen isn't sketched again."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        nodes = batch.column("node").to_pylist()
-        new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
-        if len(seen) > 500_000:
-            seen.clear()
-        texts = text_bytes(batch.column("text").take(pa.array(new, pa.int64())))
-        for a, b in slices([len(t) for t in texts], 1 << 20):
-            words = textnum.Words(texts[a:b], textnum.SPACE)
-            h, first = words.hashes(), words.first
-            buckets = np.concatenate([sketches(h[first[i] : first[i + 1]]) for i in range(b - a)])
-            of = pa.array(np.repeat(np.arange(b - a), SKETCHES))
-            yield pa.record_batch([pa.array([nodes[i] for i in new[a:b]], pa.binary()).take(of), pa.array(buckets.view(np.int64))], ["node", "bucket"])
+def _sketcher(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, bucket) of each distinct text; a text that this task has seen isn't sketched again."""
+        seen: set[bytes] = set()
+        for batch in batches:
+            nodes = batch.column("node").to_pylist()
+            new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+            if len(seen) > 500_000:
+                seen.clear()
+            texts = text_bytes(batch.column("text").take(pa.array(new, pa.int64())))
+            for a, b in slices([len(t) for t in texts], 1 << 20):
+                words = textnum.Words(texts[a:b], textnum.SPACE)
+                h, first = words.hashes(), words.first
+                buckets = [sketches(h[first[i] : first[i + 1]], depth) for i in range(b - a)]
+                of = pa.array(np.repeat(np.arange(b - a), [len(x) for x in buckets]))
+                yield pa.record_batch([pa.array([nodes[i] for i in new[a:b]], pa.binary()).take(of), pa.array(np.concatenate(buckets).view(np.int64))], ["node", "bucket"])
+
+    return run
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -168,33 +187,55 @@ def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
     return links
 
 
+def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """members of buckets that two texts or more share, with the bucket's size n."""
+    sizes, sizes_path = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    out = materialise(checked_join(members, sizes, sizes_path, "bucket").select("bucket", "node", "n"), "met")
+    for old in (path, sizes_path):
+        delete_quietly(members.sparkSession, old)
+    return out
+
+
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """Every pair of each bucket of ALL_PAIRS members at most."""
+    small = met.filter(F.col("n") <= ALL_PAIRS)
+    return small.select("bucket", F.col("node").alias("a")).join(small.select("bucket", F.col("node").alias("b")), "bucket").filter("a < b").select("a", "b").distinct()
+
+
 def near_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between different texts of texts (node, text), enough to connect what near-duplicates connect."""
-    members, path = materialise(texts.mapInArrow(_sketch, "node binary, bucket long"), "sketches")
     spark = texts.sparkSession
-    total = None
+
+    def members_of(source: DataFrame, depth: int) -> tuple[DataFrame, str]:
+        return materialise(source.mapInArrow(_sketcher(depth), "node binary, bucket long").distinct(), "sketches")
+
+    met, met_path = _met(*members_of(texts, 0))
+    pairs, pairs_path = materialise(_all_pairs(met), "pairs")
+    total = _linked(pairs, pairs_path, texts)
+    crowded, crowded_path = materialise(met.filter(F.col("n") > ALL_PAIRS).select("node").distinct(), "crowded")
+    for old in (met_path, pairs_path):
+        delete_quietly(spark, old)
+    if crowded.isEmpty():
+        return total
+    members, path = members_of(checked_join(texts, crowded, crowded_path, "node", "left_semi"), 1)
     while True:
-        rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("node"))
-        leaders = members.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).withColumn("most", F.max("rank").over(Window.partitionBy("bucket"))).filter("most > 1")
-        leaders, leaders_path = materialise(leaders.select("bucket", F.col("node").alias("leader"), "most").distinct(), "leaders")
-        met = checked_join(members, leaders, leaders_path, "bucket").filter("node != leader")
-        met, met_path = materialise(met.select("bucket", "node", "leader", "most", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), "met")
-        pairs = met.select("a", "b").distinct()
-        if total is not None:
-            pairs = pairs.join(total, ["a", "b"], "left_anti")
-        pairs, pairs_path = materialise(pairs, "pairs")
-        found = _linked(pairs, pairs_path, texts)
-        total = found if total is None else total.unionByName(found)
-        # What a full bucket's leaders don't match goes on among itself.
-        full = met.filter(F.col("most") == LEADERS)
-        settled = full.join(total.withColumn("linked", F.lit(True)), ["a", "b"], "left").groupBy("bucket", "node").agg(F.max("linked").alias("linked"))
-        leading = leaders.select("bucket", F.col("leader").alias("node"))
-        rest, rest_path = materialise(settled.filter("linked is null").select("node", "bucket").join(leading, ["bucket", "node"], "left_anti").select("node", "bucket"), "sketches")
-        for old in (path, leaders_path, met_path, pairs_path):
+        met, met_path = _met(members, path)
+        large = met.filter(F.col("n") > ALL_PAIRS)
+        # The leader of a bucket is its member that shares most large buckets with others: the nearest to what all derive from.
+        degree, degree_path = materialise(large.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
+        leader = checked_join(large, degree, degree_path, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
+        leader, leader_path = materialise(leader, "leaders")
+        led = checked_join(large, leader, leader_path, "bucket").filter("node != leader").select("bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        led, led_path = materialise(led, "led")
+        pairs, pairs_path = materialise(_all_pairs(met).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
+        total = total.unionByName(_linked(pairs, pairs_path, texts))
+        # What a leader doesn't match goes on among itself.
+        members, path = materialise(led.join(total, ["a", "b"], "left_anti").select("node", "bucket"), "sketches")
+        for old in (met_path, degree_path, leader_path, led_path, pairs_path):
             delete_quietly(spark, old)
-        if rest.isEmpty():
+        if members.isEmpty():
+            delete_quietly(spark, path)
             return total
-        members, path = rest, rest_path
 
 
 def with_node(documents: DataFrame) -> DataFrame:

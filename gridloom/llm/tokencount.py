@@ -4,17 +4,18 @@ A text is normalised (runs of blanks, tabs and line ends become one blank; none
 count doesn't depend on, and keyed by the SHA-256 of the result together with the digest of the tokenizer's file. Keys
 that the cache table holds aren't encoded again; of the others each distinct text is encoded once and appended.
 
-Texts to encode travel compressed, once per scan task at most, so copies of one text don't meet in one task. Encoding splits
-a text at blanks and line ends, where this tokenizer starts anew, and remembers the count of each piece; unknown pieces go
-through the library. Null texts count as empty. Rows with equal doc_id each get their count.
+Texts to encode travel compressed, once per scan task at most, so copies of one text don't meet in one task. Encoding remembers
+the counts of words, which this tokenizer encodes one by one; unknown words go through the library. Null texts count as empty. Rows with equal doc_id each get their count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import packed_texts, small_arrow_batches
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
-#: Pieces remembered in a worker; beyond it the memory starts anew.
-PIECES = 300_000
+#: Words in a worker's memory; beyond it they become the older ones, and those before them are forgotten.
+PIECES = 150_000
 _WHITE = "[ \\t\\n\\r]+"
 
 
@@ -36,35 +37,60 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, " ")), 256))
 
 
+#: The tokenizer's way to cut a normalised text, for texts of the characters of PLAIN: contractions, words, single digits, other.
+_CUT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
+#: Characters whose class, case and normal form are beyond doubt: printable ASCII, its usual white space, Latin-1 but for ª º µ and the digits there.
+_PLAIN = re.compile("[\x21-\x7e \t\n\r¡-©«-±´¶-¸»¿-ÿ]*").fullmatch
+
+
 class Counter:
-    """Counts a text's tokens as the library does, without special tokens added."""
+    """Counts a text's tokens as the library does, without special tokens added.
+
+    Plain texts are cut into the tokenizer's words, and the library encodes only words not seen lately; the rest, and texts that
+    may hold a special string, go through the library whole.
+    """
 
     def __init__(self, path: str, pieces: int = PIECES):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
-        self.encode.no_truncation()
-        self.encode.no_padding()
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.pieces = pieces
-        self.split = re.compile(_WHITE).split
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) > self.pieces:
+            self.known, self.older = {}, self.known
+        ask = []
+        for p in new:
+            if (n := self.older.get(p)) is None:
+                ask.append(p)
+            else:
+                self.known[p] = n
+        for a in range(0, len(ask), 1000):
+            part = ask[a : a + 1000]
+            word_ids = self.library.encode(" ".join(part), add_special_tokens=False).word_ids
+            if word_ids[-1] + 1 == len(part):
+                self.known.update(zip(part, np.bincount(word_ids, minlength=len(part)).tolist()))
+            else:
+                self.known.update((p, len(self.library.encode(p, add_special_tokens=False).ids)) for p in part)
 
     def __call__(self, texts: list[str]) -> list[int]:
         out = []
         for text in texts:
-            pieces = self.split(text)
-            try:
-                out.append(sum(map(self.known.__getitem__, pieces)))
+            if "<|" in text or not _PLAIN(text):
+                out.append(len(self.library.encode(text, add_special_tokens=False).ids))
                 continue
+            words = _CUT(text.lower())
+            try:
+                out.append(sum(map(self.known.__getitem__, words)))
             except KeyError:
-                new = list({p for p in pieces if p not in self.known})
-            if len(self.known) + len(new) > self.pieces:
-                self.known = {}
-                new = list(set(pieces))
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                self.known.update(zip(part, (len(e.ids) for e in self.encode.encode_batch_fast(part, add_special_tokens=False))))
-            out.append(sum(map(self.known.__getitem__, pieces)))
+                self._learn([p for p in set(words) if p not in self.known])
+                lookup = lambda p: self.known[p] if p in self.known else self.older[p]  # noqa: E731  _learn may have turned a page
+                out.append(sum(map(lookup, words)))
         return out
 
 

@@ -231,4 +231,5 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _READ)], schema=_READ)
 
     directory = spark.read.schema(_DIRECTORY).parquet(archive.directory)
-    return directory.repartition("warc", "at").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    tasks = min(max(directory.count(), 1), 10_000)  # by number, or the small directory would end up in one task
+    return directory.repartition(tasks, "warc", "at").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
