@@ -8,8 +8,9 @@ k-mers in order meet at least once with probability 1 - (1 - 0.8^5)^24 > 0.9999,
 
 Buckets of up to ``ALL_PAIRS`` texts are compared in full. Texts of larger buckets get a second, sharper set of sketches (``DEEP``:
 longer tuples, more of them), which part texts that are merely related and still miss a pair of similarity 0.8 with a chance of
-some 1 in 50,000. A bucket that is large even so is compared with a leader, the member that shares most such buckets; members that
-don't match it form the bucket's next round, until none is left. Nothing is capped, and no large bucket emits all of its pairs.
+less than 1 in 1,000. A bucket that is large even so is compared with a leader, the member that shares most such buckets, which
+settles what derives from one text with few edits; members that don't match it, mostly those with too many edits to match any
+other, form the bucket's next round, in which buckets up to four times as large are compared in full. Nothing is capped.
 A candidate pair is linked if its sets of 5-word shingles have a Jaccard similarity of ``SIMILARITY``
 or more and banded alignment confirms that its words differ in at most 1 - SIMILARITY of the longer text's length.
 Groups are the connected components of the links.
@@ -32,12 +33,12 @@ from gridloom.llm.common import checked_join, delete_quietly, materialise, packe
 from gridloom.llm.components import components
 
 K, L, SKETCHES = 5, 5, 24
-#: (tuple length, number of sketches) of the sketches for crowded texts; texts of under SHORT k-mers, and those near it, have L and SKETCHES.
-DEEP = (10, 96)
-SHORT = 60
+#: Tuple length of the sketches for crowded texts, by number of distinct k-mers; the ranges overlap by more than similar texts differ.
+DEEP = ((8, 0, 75), (12, 60, 1 << 60))
+DEEP_SKETCHES = 128
 ALL_PAIRS = 16
 SIMILARITY = 0.8
-_ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES + DEEP[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES + DEEP_SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _labelled(h: np.ndarray) -> np.ndarray:
@@ -62,15 +63,16 @@ def sketches(h: np.ndarray, depth: int = 0) -> np.ndarray:
     g = textnum.mix(_labelled(kmers(h)).copy())
     if depth == 0:
         return _sketches(g, L, slice(0, SKETCHES))
-    parts = []
-    if len(g) < SHORT * 1.25:
-        parts.append(_sketches(g, L, slice(0, SKETCHES)))
-    if len(g) >= SHORT:
-        parts.append(_sketches(g, DEEP[0], slice(SKETCHES, SKETCHES + DEEP[1])))
+    # Crowded texts: first occurrences only, or a line that many texts repeat many times would still bring them together.
+    first = np.sort(np.unique(kmers(h), return_index=True)[1])
+    g, parts = textnum.mix(kmers(h)[first]), []
+    for size, low, high in DEEP:
+        if low <= len(g) <= high:
+            parts.append(_sketches(g, size, slice(SKETCHES, SKETCHES + DEEP_SKETCHES), size))
     return np.concatenate(parts)
 
 
-def _sketches(g: np.ndarray, size: int, orders: slice) -> np.ndarray:
+def _sketches(g: np.ndarray, size: int, orders: slice, salt: int = 0) -> np.ndarray:
     ranks = (g[None, :] ^ _ORDERS[0][orders, None]) * _ORDERS[1][orders, None]
     ranks ^= ranks >> np.uint64(29)
     take = min(size, len(g))
@@ -79,7 +81,7 @@ def _sketches(g: np.ndarray, size: int, orders: slice) -> np.ndarray:
     else:
         at = np.broadcast_to(np.arange(take), (len(ranks), take))
     at = np.sort(at, axis=1)  # text order
-    out = np.arange(orders.start, orders.stop, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    out = (np.arange(orders.start, orders.stop, dtype=np.uint64) + np.uint64(salt << 20)) * np.uint64(0xD6E8FEB86659FD93)
     for j in range(take):
         out = textnum.mix(out * np.uint64(0x9E3779B97F4A7C15) + g[at[:, j]])
     return out
@@ -196,9 +198,9 @@ def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
     return out
 
 
-def _all_pairs(met: DataFrame) -> DataFrame:
-    """Every pair of each bucket of ALL_PAIRS members at most."""
-    small = met.filter(F.col("n") <= ALL_PAIRS)
+def _all_pairs(met: DataFrame, most: int) -> DataFrame:
+    """Every pair of each bucket of so many members at most."""
+    small = met.filter(F.col("n") <= most)
     return small.select("bucket", F.col("node").alias("a")).join(small.select("bucket", F.col("node").alias("b")), "bucket").filter("a < b").select("a", "b").distinct()
 
 
@@ -210,7 +212,7 @@ def near_links(texts: DataFrame) -> DataFrame:
         return materialise(source.mapInArrow(_sketcher(depth), "node binary, bucket long").distinct(), "sketches")
 
     met, met_path = _met(*members_of(texts, 0))
-    pairs, pairs_path = materialise(_all_pairs(met), "pairs")
+    pairs, pairs_path = materialise(_all_pairs(met, ALL_PAIRS), "pairs")
     total = _linked(pairs, pairs_path, texts)
     crowded, crowded_path = materialise(met.filter(F.col("n") > ALL_PAIRS).select("node").distinct(), "crowded")
     for old in (met_path, pairs_path):
@@ -218,16 +220,17 @@ def near_links(texts: DataFrame) -> DataFrame:
     if crowded.isEmpty():
         return total
     members, path = members_of(checked_join(texts, crowded, crowded_path, "node", "left_semi"), 1)
+    most = ALL_PAIRS
     while True:
         met, met_path = _met(members, path)
-        large = met.filter(F.col("n") > ALL_PAIRS)
+        large = met.filter(F.col("n") > most)
         # The leader of a bucket is its member that shares most large buckets with others: the nearest to what all derive from.
         degree, degree_path = materialise(large.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
         leader = checked_join(large, degree, degree_path, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
         leader, leader_path = materialise(leader, "leaders")
         led = checked_join(large, leader, leader_path, "bucket").filter("node != leader").select("bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         led, led_path = materialise(led, "led")
-        pairs, pairs_path = materialise(_all_pairs(met).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
+        pairs, pairs_path = materialise(_all_pairs(met, most).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
         total = total.unionByName(_linked(pairs, pairs_path, texts))
         # What a leader doesn't match goes on among itself.
         members, path = materialise(led.join(total, ["a", "b"], "left_anti").select("node", "bucket"), "sketches")
@@ -236,6 +239,7 @@ def near_links(texts: DataFrame) -> DataFrame:
         if members.isEmpty():
             delete_quietly(spark, path)
             return total
+        most *= 4
 
 
 def with_node(documents: DataFrame) -> DataFrame:
