@@ -1,15 +1,517 @@
-"""All queries of the engine with their SQL."""
+"""Driver queries: every operator of the engine on the driver's tables, each with SQL that says the same.
+
+Stand-ins: readings are events (site = user, value in kWh, events of type error lack a value); the mix is events by hour and type;
+facts are orders with their customers' places; snapshots are orders as a customer's changing attributes. Money and measures have
+two decimals at most and are summed as decimals, so sums don't depend on how rows are dealt out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions import cleaning, stats
+from gridloom.operators import grouping, history, keys, ranking, series
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
 
+    return register
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _dec(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
+
+
+def _total(c: str | Column) -> Column:
+    return F.sum(_dec(c)).cast("double")
+
+
+def _long(**columns: Column) -> dict[str, Column]:
+    return {k: v.cast("bigint") for k, v in columns.items()}
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events")
+    return e.select(
+        F.col("user_id").alias("site"), "event_id", "ts", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.when(F.col("event_type") != "error", F.col("value")).alias("kwh"), F.col("event_type").alias("flag")
+    )
+
+
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    return keys.latest_per_key(_raw(spark, sf), ["site", "hour"], [F.desc("ts"), F.desc("event_id")]).withColumns({
+        "h": cleaning.hour_index(F.col("hour")), "day": F.to_date("hour"), "region": F.col("site") % 3
+    })
+
+
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    return _readings(spark, sf).groupBy("site", "region", "day").agg(_total(F.coalesce("kwh", F.lit(0.0))).alias("kwh_total"), F.count(F.lit(1)).alias("hours"))
+
+
+_R = """raw AS (
+  SELECT user_id AS site, event_id, ts, date_trunc('hour', ts)::TIMESTAMP AS hour, CASE WHEN event_type <> 'error' THEN value END AS kwh, event_type AS flag FROM events
+), r AS (
+  SELECT * EXCLUDE (n), date_diff('day', DATE '1970-01-01', hour::DATE) * 24 + hour(hour) AS h, hour::DATE AS day, site % 3 AS region
+  FROM (SELECT *, row_number() OVER (PARTITION BY site, hour ORDER BY ts DESC, event_id DESC) AS n FROM raw) WHERE n = 1
+)"""
+_D = _R + """, d AS (
+  SELECT site, region, day, sum(coalesce(kwh, 0)::DECIMAL(18,2))::DOUBLE AS kwh_total, count(*) AS hours FROM r GROUP BY ALL
+)"""
+
+
+_M = """m AS (
+  SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type AS source, sum(value::DECIMAL(18,2))::DOUBLE AS mw FROM events GROUP BY ALL
+)"""
+
+
+def _mix(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events")
+    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("source")).agg(_total("value").alias("mw"))
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    # The dimensions are TPC-H's smaller tables; Spark sizes them itself and broadcasts those under its threshold.
+    place = _table(spark, sf, "nation").join(_table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    c = _table(spark, sf, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name")
+    return _table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_custkey").alias("site"), F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("tariff"), F.col("o_totalprice").alias("kwh"),
+        F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"),
+    )
+
+
+_F = """f AS (
+  SELECT o_custkey AS site, r_name AS region, c_mktsegment AS segment, o_orderpriority AS tariff, o_totalprice AS kwh, date_trunc('month', o_orderdate)::DATE AS month
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+)"""
+_FM = _F + """, fm AS (SELECT site, region, segment, month, sum(kwh::DECIMAL(18,2))::DOUBLE AS total, count(*) AS n FROM f GROUP BY ALL)"""
+
+
+def _fact_months(spark: SparkSession, sf: str) -> DataFrame:
+    return _facts(spark, sf).groupBy("site", "region", "segment", "month").agg(_total("kwh").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, TRY_CAST(v AS DOUBLE) AS as_double, TRY_CAST(t AS TIMESTAMP)::DATE AS as_day FROM (
+  SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE event_id::VARCHAR END AS v, CASE WHEN event_id % 5 = 0 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS t FROM events)""")
+def q_safe_cast(spark, sf):
+    text = _table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("event_id").cast("string")).alias("v"), F.when(F.col("event_id") % 5 == 0, "not a date").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("t"))
+    return text.select("event_id", cleaning.to_double("v").alias("as_double"), cleaning.to_day("t").alias("as_day"))
+
+
+@query("SELECT c_custkey, lower(trim('  ' || c_name || ' ')) AS lowered, upper(trim(c_mktsegment)) AS raised FROM customer")
+def q_clean_projection(spark, sf):
+    padded = _table(spark, sf, "customer").withColumn("c_name", F.concat(F.lit("  "), "c_name", F.lit(" ")))
+    return padded.select("c_custkey", cleaning.lowered("c_name").alias("lowered"), cleaning.raised("c_mktsegment").alias("raised"))
+
+
+@query("""SELECT reject_reason, count(*) AS n FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'missing_site' WHEN event_id % 13 = 0 THEN 'bad_time' WHEN value < 20 THEN 'low' END AS reject_reason FROM events) GROUP BY 1""")
+def q_reject_reasons(spark, sf):
+    valid, rejected = keys.split_rows(_table(spark, sf, "events"), [("missing_site", F.col("event_id") % 11 == 0), ("bad_time", F.col("event_id") % 13 == 0), ("low", F.col("value") < 20)])
+    count = lambda df, reason: df.groupBy(reason.alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))
+    return count(rejected, F.col("reject_reason")).unionByName(count(valid, F.lit(None).cast("string")))
+
+
+@query(f"WITH {_R} SELECT site, hour, event_id, kwh, flag FROM r")
+def q_dedupe_hour(spark, sf):
+    return _readings(spark, sf).select("site", "hour", "event_id", "kwh", "flag")
+
+
+@query(f"WITH {_R} SELECT site, hour, coalesce(last_value(kwh IGNORE NULLS) OVER (PARTITION BY site ORDER BY hour ROWS UNBOUNDED PRECEDING), 0.0) AS kwh_filled, kwh IS NULL AS is_imputed FROM r")
+def q_forward_fill(spark, sf):
+    filled = F.coalesce(series.forward_filled(F.col("kwh"), series.along("site", "hour")), F.lit(0.0))
+    return _readings(spark, sf).select("site", "hour", filled.alias("kwh_filled"), F.col("kwh").isNull().alias("is_imputed"))
+
+
+@query(f"WITH {_R} SELECT site, hour, greatest(coalesce(h - lag(h) OVER (PARTITION BY site ORDER BY h) - 1, 0), 0)::BIGINT AS gap_hours FROM r")
+def q_gap_hours(spark, sf):
+    gap = F.col("h") - F.lag("h").over(series.along("site", "h")) - 1
+    return _readings(spark, sf).select("site", "hour", F.greatest(gap, F.lit(0)).cast("bigint").alias("gap_hours"))
+
+
+@query(f"WITH {_R} SELECT site, hour, lag(kwh) OVER w AS before, (kwh::DECIMAL(18,2) - lag(kwh::DECIMAL(18,2)) OVER w)::DOUBLE AS delta FROM r WINDOW w AS (PARTITION BY site ORDER BY hour)")
+def q_lag_delta(spark, sf):
+    w = series.along("site", "hour")
+    return _readings(spark, sf).select("site", "hour", F.lag("kwh").over(w).alias("before"), (_dec("kwh") - F.lag(_dec("kwh")).over(w)).cast("double").alias("delta"))
+
+
+@query(f"WITH {_M} SELECT source, hour, mw, lag(mw, 24) OVER (PARTITION BY source ORDER BY hour) AS day_before FROM m")
+def q_lag_24(spark, sf):
+    return _mix(spark, sf).withColumn("day_before", F.lag("mw", 24).over(series.along("source", "hour")))
+
+
+@query("SELECT event_id, hour(ts)::BIGINT AS hour_of_day, (dayofweek(ts) + 1)::BIGINT AS day_of_week, year(ts)::BIGINT AS year, dayofweek(ts) IN (0, 6) AS is_weekend, date_trunc('month', ts)::DATE AS month FROM events")
+def q_calendar_parts(spark, sf):
+    ts = F.col("ts")
+    return _table(spark, sf, "events").select("event_id", *(v.alias(k) for k, v in _long(hour_of_day=F.hour(ts), day_of_week=F.dayofweek(ts), year=F.year(ts)).items()), cleaning.is_weekend(ts).alias("is_weekend"), cleaning.month_of(ts).alias("month"))
+
+
+@query("SELECT event_id, greatest(18.0 - v, 0.0)::DOUBLE AS hdh, greatest(v - 24.0, 0.0)::DOUBLE AS cdh FROM (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END::DOUBLE AS v FROM events)")
+def q_degree_hours(spark, sf):
+    v = F.when(F.col("event_type") != "error", F.col("value"))
+    return _table(spark, sf, "events").select("event_id", F.greatest(F.lit(18.0) - v, F.lit(0.0)).alias("hdh"), F.greatest(v - F.lit(24.0), F.lit(0.0)).alias("cdh"))
+
+
+@query(f"WITH {_M} SELECT *, (rank_in_day <= 4) AS is_peak FROM (SELECT source, hour, mw, rank() OVER (PARTITION BY source, hour::DATE ORDER BY mw DESC) AS rank_in_day FROM m)")
+def q_intraday_rank(spark, sf):
+    rank = F.rank().over(series.along(["source", F.to_date("hour")], F.desc("mw"))).cast("bigint")
+    return _mix(spark, sf).withColumn("rank_in_day", rank).withColumn("is_peak", F.col("rank_in_day") <= 4)
+
+
+@query(f"WITH {_M} SELECT hour, source, sum(mw::DECIMAL(18,2)) OVER w::DOUBLE AS total, round(mw / sum(mw::DECIMAL(18,2)) OVER w::DOUBLE, 6) AS share FROM m WINDOW w AS (PARTITION BY hour)")
+def q_share_of_total(spark, sf):
+    return _mix(spark, sf).withColumn("total", F.sum(_dec("mw")).over(Window.partitionBy("hour")).cast("double")).select("hour", "source", "total", F.round(F.try_divide("mw", "total"), 6).alias("share"))
+
+
+@query(f"""WITH {_R}, d AS (
+  SELECT site, day, sum(coalesce(kwh, 0)::DECIMAL(18,2)) AS t, max(kwh) AS peak, min(kwh) AS low, count(*) AS hours_observed, sum((kwh IS NULL)::INT)::BIGINT AS hours_imputed,
+    arg_max(hour(hour), (coalesce(kwh, 0), -hour(hour)))::BIGINT AS peak_hour FROM r GROUP BY ALL)
+SELECT site, day, t::DOUBLE AS kwh_total, peak AS kwh_peak, low AS kwh_min, hours_observed, hours_imputed, peak_hour, t::DOUBLE / hours_observed AS kwh_avg,
+  lag(t) OVER w::DOUBLE AS kwh_prev_day, lag(t, 7) OVER w::DOUBLE AS kwh_prev_week, lead(t) OVER w::DOUBLE AS kwh_next_day,
+  sum(t) OVER (w ROWS 6 PRECEDING)::DOUBLE / count(*) OVER (w ROWS 6 PRECEDING) AS kwh_ma_7, sum(t) OVER (PARTITION BY site, date_trunc('month', day) ORDER BY day ROWS UNBOUNDED PRECEDING)::DOUBLE AS kwh_mtd,
+  row_number() OVER (PARTITION BY site, date_trunc('month', day) ORDER BY day) AS day_seq
+FROM d WINDOW w AS (PARTITION BY site ORDER BY day)""")
+def q_daily_kpis(spark, sf):
+    """The flagship: one aggregation with the peak hour as argmax inside, then windows that share one exchange."""
+    value = F.coalesce("kwh", F.lit(0.0))
+    d = _readings(spark, sf).groupBy("site", "day").agg(
+        F.sum(_dec(value)).alias("t"), F.max("kwh").alias("kwh_peak"), F.min("kwh").alias("kwh_min"), F.count(F.lit(1)).alias("hours_observed"), F.sum(F.col("kwh").isNull().cast("int")).alias("hours_imputed"),
+        (-F.max(F.struct(value.alias("v"), (-F.hour("hour")).alias("h")))["h"]).cast("bigint").alias("peak_hour"),
+    )
+    w, month = series.along("site", "day"), series.along(["site", F.trunc("day", "month")], "day")
+    week = series.last_n(w, 7)
+    return d.select(
+        "site", "day", F.col("t").cast("double").alias("kwh_total"), "kwh_peak", "kwh_min", "hours_observed", "hours_imputed", "peak_hour", (F.col("t").cast("double") / F.col("hours_observed")).alias("kwh_avg"),
+        F.lag("t").over(w).cast("double").alias("kwh_prev_day"), F.lag("t", 7).over(w).cast("double").alias("kwh_prev_week"), F.lead("t").over(w).cast("double").alias("kwh_next_day"),
+        (F.sum("t").over(week).cast("double") / F.count(F.lit(1)).over(week)).alias("kwh_ma_7"), F.sum("t").over(series.so_far(month)).cast("double").alias("kwh_mtd"), F.row_number().over(month).cast("bigint").alias("day_seq"),
+    )
+
+
+@query(f"""WITH {_D}, x AS (SELECT *, date_diff('day', DATE '1970-01-01', day) AS n, kwh_total::DECIMAL(18,2) AS t FROM d)
+SELECT site, day, sum(t) OVER a::DOUBLE / count(*) OVER a AS by_rows, sum(t) OVER b::DOUBLE / count(*) OVER b AS by_days FROM x
+WINDOW a AS (PARTITION BY site ORDER BY n ROWS 6 PRECEDING), b AS (PARTITION BY site ORDER BY n RANGE 6 PRECEDING)""")
+def q_rows_vs_range(spark, sf):
+    a, b = series.last_n(series.along("site", "day"), 7), series.last_days("site", "day", 7)
+    mean = lambda w: F.sum(_dec("kwh_total")).over(w).cast("double") / F.count(F.lit(1)).over(w)
+    return _days(spark, sf).select("site", "day", mean(a).alias("by_rows"), mean(b).alias("by_days"))
+
+
+@query("""SELECT o_custkey, day, sum(t) OVER (PARTITION BY o_custkey, date_trunc('month', day) ORDER BY day ROWS UNBOUNDED PRECEDING)::DOUBLE AS mtd
+FROM (SELECT o_custkey, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2)) AS t FROM orders GROUP BY ALL)""")
+def q_mtd_running(spark, sf):
+    d = _table(spark, sf, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.sum(_dec("o_totalprice")).alias("t"))
+    return d.select("o_custkey", "day", F.sum("t").over(series.so_far(series.along(["o_custkey", F.trunc("day", "month")], "day"))).cast("double").alias("mtd"))
+
+
+@query(f"""WITH {_FM} SELECT site, month, total, n, lag(total) OVER w AS prev_month, lead(total) OVER w AS next_month, rank() OVER (PARTITION BY month, region ORDER BY total DESC) AS rank_in_region,
+  dense_rank() OVER (PARTITION BY month ORDER BY total DESC) AS dense_rank_overall, row_number() OVER (PARTITION BY month ORDER BY total DESC, site) AS row_num,
+  ntile(4) OVER (PARTITION BY month ORDER BY total, site) AS quartile, round(total / sum(total::DECIMAL(18,2)) OVER (PARTITION BY month, region)::DOUBLE, 6) AS share_of_region,
+  first_value(site) OVER (PARTITION BY month, region ORDER BY total DESC, site) AS top_site, last_value(site) OVER (PARTITION BY month, region ORDER BY total DESC, site ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS bottom_site
+FROM fm WINDOW w AS (PARTITION BY site ORDER BY month)""")
+def q_monthly_kpis(spark, sf):
+    w, region, month, down = series.along("site", "month"), Window.partitionBy("month", "region"), Window.partitionBy("month"), F.desc("total")
+    return _fact_months(spark, sf).select(
+        "site", "month", "total", "n", F.lag("total").over(w).alias("prev_month"), F.lead("total").over(w).alias("next_month"), F.rank().over(region.orderBy(down)).cast("bigint").alias("rank_in_region"),
+        F.dense_rank().over(month.orderBy(down)).cast("bigint").alias("dense_rank_overall"), F.row_number().over(month.orderBy(down, "site")).cast("bigint").alias("row_num"), F.ntile(4).over(month.orderBy("total", "site")).cast("bigint").alias("quartile"),
+        F.round(F.col("total") / F.sum(_dec("total")).over(region).cast("double"), 6).alias("share_of_region"), F.first("site").over(region.orderBy(down, "site")).alias("top_site"), F.last("site").over(series.whole(region.orderBy(down, "site"))).alias("bottom_site"),
+    )
+
+
+@query(f"WITH {_FM} SELECT site, month, sum(total::DECIMAL(18,2)) OVER (PARTITION BY site, year(month) ORDER BY month ROWS UNBOUNDED PRECEDING)::DOUBLE AS ytd FROM fm")
+def q_ytd(spark, sf):
+    return _fact_months(spark, sf).select("site", "month", F.sum(_dec("total")).over(series.so_far(series.along(["site", F.year("month")], "month"))).cast("double").alias("ytd"))
+
+
+@query(f"""WITH {_R}, x AS (SELECT site, day, hour, kwh, rank() OVER (PARTITION BY site, day ORDER BY kwh DESC NULLS LAST) AS rank_in_day, row_number() OVER (PARTITION BY site, day ORDER BY kwh DESC NULLS LAST, hour) AS nth,
+  max(kwh) OVER (PARTITION BY site, day) AS day_peak, first_value(kwh) OVER v AS first_kwh, last_value(kwh) OVER v AS last_kwh FROM r
+  WINDOW v AS (PARTITION BY site, day ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT * FROM x WHERE nth <= 3""")
+def q_top3_per_group(spark, sf):
+    day, down = ["site", "day"], F.desc_nulls_last("kwh")
+    r, w = ranking.ranks(day, down, ["hour"]), series.whole(series.along(day, "hour"))
+    return _readings(spark, sf).select("site", "day", "hour", "kwh", r["rank"].cast("bigint").alias("rank_in_day"), r["row_number"].cast("bigint").alias("nth"), F.max("kwh").over(w).alias("day_peak"), F.first("kwh").over(w).alias("first_kwh"), F.last("kwh").over(w).alias("last_kwh")).filter("nth <= 3")
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey) AS row_number
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderpriority DESC)""")
+def q_rank_family(spark, sf):
+    return _table(spark, sf, "orders").select("o_orderkey", *(v.cast("bigint").alias(k) for k, v in ranking.ranks(["o_custkey"], F.desc("o_orderpriority"), ["o_orderkey"]).items()))
+
+
+@query(f"""WITH {_FM} SELECT site, month, round(percent_rank() OVER w, 4) AS percent_rank, round(cume_dist() OVER w, 4) AS cume_dist, ntile(10) OVER (PARTITION BY month ORDER BY total, site) AS tile,
+  rank() OVER (PARTITION BY month, segment ORDER BY total DESC) AS rank_in_segment FROM fm WINDOW w AS (PARTITION BY month ORDER BY total)""")
+def q_distribution(spark, sf):
+    s = ranking.spread(["month"], F.col("total"), 10, ["site"])
+    return _fact_months(spark, sf).select("site", "month", s["percent_rank"].alias("percent_rank"), s["cume_dist"].alias("cume_dist"), s["tile"].cast("bigint").alias("tile"), F.rank().over(series.along(["month", "segment"], F.desc("total"))).cast("bigint").alias("rank_in_segment"))
+
+
+@query(f"""WITH {_FM}, s AS (SELECT segment, month, quantile_disc(total, 0.5) AS p50, quantile_disc(total, 0.9) AS p90, count(*) AS sites FROM fm GROUP BY ALL)
+SELECT site, month, p50, p90, sites, total > p90 AS above_p90 FROM fm LEFT JOIN s USING (segment, month)""")
+def q_segment_percentiles(spark, sf):
+    m = _fact_months(spark, sf)
+    s = m.groupBy("segment", "month").agg(F.percentile_approx("total", 0.5).alias("p50"), F.percentile_approx("total", 0.9).alias("p90"), F.count(F.lit(1)).alias("sites"))
+    return m.join(s, ["segment", "month"], "left").select("site", "month", "p50", "p90", "sites", (F.col("total") > F.col("p90")).alias("above_p90"))
+
+
+@query(f"""WITH {_FM} SELECT site, month, first_value(total) OVER w AS first_total, last_value(total) OVER w AS last_total FROM fm WINDOW w AS (PARTITION BY site ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def q_first_last_value(spark, sf):
+    w = series.whole(series.along("site", "month"))
+    return _fact_months(spark, sf).select("site", "month", F.first("total").over(w).alias("first_total"), F.last("total").over(w).alias("last_total"))
+
+
+_ISLANDS = f"""WITH {_R}, e AS (SELECT DISTINCT site, date_diff('day', DATE '1970-01-01', day) AS n FROM r WHERE flag = 'error'), i AS (
+  SELECT site, min(n)::BIGINT AS first_step, max(n)::BIGINT AS last_step, count(*) AS steps FROM (SELECT *, n - row_number() OVER (PARTITION BY site ORDER BY n) AS g FROM e) GROUP BY site, g)"""
+
+
+def _error_islands(spark: SparkSession, sf: str) -> DataFrame:
+    e = _readings(spark, sf).filter("flag = 'error'").select("site", "day").distinct()
+    return series.islands(e, "site", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint"))
+
+
+@query(f"{_ISLANDS} SELECT * FROM i")
+def q_zero_islands(spark, sf):
+    return _error_islands(spark, sf)
+
+
+_HOLES = "SELECT site, (b + 1)::BIGINT AS first_step, (n - 1)::BIGINT AS last_step, (n - b - 1)::BIGINT AS steps FROM (SELECT site, n, lag(n) OVER (PARTITION BY site ORDER BY n) AS b FROM (SELECT DISTINCT site, date_diff('day', DATE '1970-01-01', day) AS n FROM r)) WHERE n - b > 1"
+
+
+def _day_holes(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.datediff("day", F.lit("1970-01-01").cast("date")).cast("bigint")
+    d = _readings(spark, sf).select("site", n.alias("n")).distinct().withColumn("b", F.lag("n").over(series.along("site", "n")))
+    return d.filter("n - b > 1").select("site", (F.col("b") + 1).alias("first_step"), (F.col("n") - 1).alias("last_step"), (F.col("n") - F.col("b") - 1).alias("steps"))
+
+
+@query(f"WITH {_R} {_HOLES}")
+def q_missing_holes(spark, sf):
+    return _day_holes(spark, sf)
+
+
+@query(f"""{_ISLANDS}, u AS (SELECT *, 'ERROR' AS kind FROM i UNION ALL SELECT *, 'MISSING' FROM ({_HOLES}))
+SELECT *, dense_rank() OVER (PARTITION BY site ORDER BY steps DESC) AS by_length, row_number() OVER w AS seq, lead(first_step) OVER w - last_step - 1 AS until_next, first_step - lag(last_step) OVER w - 1 AS since_previous
+FROM u WINDOW w AS (PARTITION BY site ORDER BY first_step, kind)""")
+def q_outage_union(spark, sf):
+    u = _error_islands(spark, sf).withColumn("kind", F.lit("ERROR")).unionByName(_day_holes(spark, sf).withColumn("kind", F.lit("MISSING")))
+    w = series.along("site", ["first_step", "kind"])
+    return u.withColumns(_long(by_length=F.dense_rank().over(series.along("site", F.desc("steps"))), seq=F.row_number().over(w), until_next=F.lead("first_step").over(w) - F.col("last_step") - 1, since_previous=F.col("first_step") - F.lag("last_step").over(w) - 1))
+
+
+_COST = f"""WITH {_R}, p AS (
+  SELECT user_id % 3 AS region, date_trunc('hour', ts)::TIMESTAMP AS hour, max(value)::DECIMAL(18,2) AS price FROM events WHERE event_type = 'purchase' GROUP BY ALL), c AS (
+  SELECT site, r.region, day, sum(coalesce(kwh, 0)::DECIMAL(18,2) * price)::DOUBLE AS cost, sum(coalesce(kwh, 0)::DECIMAL(18,2))::DOUBLE AS kwh, sum((price IS NULL)::INT)::BIGINT AS hours_without_price
+  FROM r LEFT JOIN p ON r.region = p.region AND r.hour = p.hour GROUP BY ALL)"""
+
+
+def _cost(spark: SparkSession, sf: str) -> DataFrame:
+    e = _table(spark, sf, "events").filter("event_type = 'purchase'")
+    p = e.groupBy((F.col("user_id") % 3).alias("region"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(_dec(F.max("value")).alias("price"))
+    kwh = _dec(F.coalesce("kwh", F.lit(0.0)))
+    return _readings(spark, sf).join(p, ["region", "hour"], "left").groupBy("site", "region", "day").agg(F.sum(kwh * F.col("price")).cast("double").alias("cost"), F.sum(kwh).cast("double").alias("kwh"), F.sum(F.col("price").isNull().cast("int")).alias("hours_without_price"))
+
+
+@query(f"{_COST} SELECT * FROM c")
+def q_hourly_cost(spark, sf):
+    return _cost(spark, sf)
+
+
+@query("""SELECT l_suppkey, round(sum(l_quantity::DECIMAL(18,2) * l_extendedprice::DECIMAL(18,2))::DOUBLE / nullif(sum(l_quantity::DECIMAL(18,2))::DOUBLE, 0), 4) AS weighted_price FROM lineitem GROUP BY 1""")
+def q_weighted_price(spark, sf):
+    q = _dec("l_quantity")
+    return _table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(q * _dec("l_extendedprice")).cast("double") / F.nullif(F.sum(q).cast("double"), F.lit(0.0)), 4).alias("weighted_price"))
+
+
+@query(f"""{_COST} SELECT site, day, rank() OVER (PARTITION BY site, date_trunc('month', day) ORDER BY cost DESC NULLS LAST) AS rank_in_month, ntile(4) OVER (PARTITION BY region, day ORDER BY cost NULLS FIRST, site) AS quartile, lag(cost) OVER (PARTITION BY site ORDER BY day) AS before FROM c""")
+def q_cost_quartile(spark, sf):
+    return _cost(spark, sf).select("site", "day", F.rank().over(series.along(["site", F.trunc("day", "month")], F.desc_nulls_last("cost"))).cast("bigint").alias("rank_in_month"), F.ntile(4).over(series.along(["region", "day"], [F.asc_nulls_first("cost"), "site"])).cast("bigint").alias("quartile"), F.lag("cost").over(series.along("site", "day")).alias("before"))
+
+
+@query(f"""WITH {_R}, s AS (SELECT site, day, hour, kwh, avg(kwh) OVER w AS m, stddev_samp(kwh) OVER w AS sd, count(kwh) OVER w AS n FROM r WINDOW w AS (PARTITION BY site ORDER BY hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)), z AS (
+  SELECT *, CASE WHEN n >= 24 AND sd > 0 THEN round((kwh - m) / sd, 3) END AS z FROM s)
+SELECT site, hour, n AS baseline_rows, z AS z_score, CASE WHEN z > 0 THEN 'SPIKE' ELSE 'DROP' END AS kind, count(*) OVER (PARTITION BY site, day) AS in_day FROM z WHERE abs(z) > 2""")
+def q_anomalies(spark, sf):
+    z = series.z_scored(_readings(spark, sf), "kwh", series.along("site", "hour"), 168, 24).filter(F.abs("z_score") > 2)
+    return z.select("site", "hour", "baseline_rows", "z_score", F.when(F.col("z_score") > 0, "SPIKE").otherwise("DROP").alias("kind"), F.count(F.lit(1)).over(Window.partitionBy("site", "day")).alias("in_day"))
+
+
+@query("""WITH g AS (SELECT l_returnflag AS flag, date_trunc('month', l_shipdate)::DATE AS month, covar_samp(l_extendedprice, l_quantity) AS c, stddev_samp(l_extendedprice) AS sy, stddev_samp(l_quantity) AS sx, var_samp(l_quantity) AS vx, avg(l_extendedprice) AS my, avg(l_quantity) AS mx, count(*) AS n FROM lineitem GROUP BY ALL), h AS (
+  SELECT flag, month, n, round(c / nullif(sx * sy, 0), 4) AS r, round(c / nullif(vx, 0), 4) AS slope, round(my - c / nullif(vx, 0) * mx, 3) AS intercept FROM g)
+SELECT *, round(r - lag(r) OVER (PARTITION BY flag ORDER BY month), 4) AS shift, rank() OVER (PARTITION BY flag ORDER BY abs(r) DESC NULLS LAST) AS strength FROM h""")
+def q_regression(spark, sf):
+    y, x = F.col("l_extendedprice"), F.col("l_quantity")
+    h = _table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), cleaning.month_of(F.col("l_shipdate")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(stats.pearson(y, x), 4).alias("r"), F.round(stats.slope(y, x), 4).alias("slope"), F.round(stats.intercept(y, x), 3).alias("intercept"))
+    return h.withColumns({"shift": F.round(F.col("r") - F.lag("r").over(series.along("flag", "month")), 4), "strength": F.rank().over(series.along("flag", F.abs("r").desc_nulls_last())).cast("bigint")})
+
+
+_V = """s AS (SELECT o_custkey AS site, o_orderdate::DATE AS valid_from, o_orderpriority AS tariff, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey, o_orderdate::DATE ORDER BY o_orderkey DESC) AS k FROM orders), h AS (
+  SELECT *, sha256(concat_ws('||', coalesce(tariff, ''), coalesce(status, ''))) AS attr_hash FROM s WHERE k = 1), c AS (
+  SELECT * FROM (SELECT *, lag(attr_hash) OVER (PARTITION BY site ORDER BY valid_from) AS b FROM h) WHERE b IS NULL OR b <> attr_hash), v AS (
+  SELECT site, tariff, status, attr_hash, valid_from, lead(valid_from) OVER w AS valid_to, lead(valid_from) OVER w IS NULL AS is_current, row_number() OVER w AS version FROM c WINDOW w AS (PARTITION BY site ORDER BY valid_from))"""
+
+
+def _versions(spark: SparkSession, sf: str) -> DataFrame:
+    s = _table(spark, sf, "orders").select(F.col("o_custkey").alias("site"), F.to_date("o_orderdate").alias("effective"), F.col("o_orderpriority").alias("tariff"), F.col("o_orderstatus").alias("status"), "o_orderkey")
+    return history.to_versions(s, "site", "effective", ["tariff", "status"], [F.desc("o_orderkey")]).withColumn("version", F.col("version").cast("bigint"))
+
+
+@query(f"WITH {_V} SELECT * FROM v")
+def q_scd2_build(spark, sf):
+    return _versions(spark, sf)
+
+
+@query(f"""WITH {_V} SELECT l_orderkey, l_linenumber, o_custkey AS site, v.tariff, v.version FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+LEFT JOIN v ON o_custkey = v.site AND l_shipdate::DATE >= v.valid_from AND l_shipdate::DATE < coalesce(v.valid_to, DATE '9999-12-31')""")
+def q_as_of_join(spark, sf):
+    f = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(_table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("site")), "l_orderkey")
+    return history.as_of_join(f, _versions(spark, sf), "site", F.to_date("l_shipdate"), {"tariff": "tariff", "version": "version"}).drop("l_shipdate")
+
+
+@query(f"""WITH {_V} SELECT 'one_current' AS check_name, count(*) AS failing FROM (SELECT site FROM v GROUP BY 1 HAVING sum(is_current::INT) <> 1)
+UNION ALL SELECT 'contiguous', count(*) FROM (SELECT valid_to, lead(valid_from) OVER (PARTITION BY site ORDER BY valid_from) AS n FROM v) WHERE valid_to <> n""")
+def q_scd2_checks(spark, sf):
+    v = _versions(spark, sf)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("failing")).select(F.lit(name).alias("check_name"), "failing")
+    return count(history.not_one_current(v, "site"), "one_current").unionByName(count(history.broken_chains(v, "site"), "contiguous"))
+
+
+@query(f"""WITH {_F}, g AS (SELECT month, region, segment, tariff, grouping_id(month, region, segment, tariff)::BIGINT AS level, sum(kwh::DECIMAL(18,2)) AS t, count(DISTINCT site) AS sites FROM f
+  GROUP BY GROUPING SETS ((month, region, segment, tariff), (month, region, segment), (month, region), (month)))
+SELECT month, region, segment, tariff, level, t::DOUBLE AS total, sites, round(t::DOUBLE / max(CASE WHEN level = 7 THEN t END) OVER (PARTITION BY month)::DOUBLE, 6) AS share, rank() OVER (PARTITION BY month, level ORDER BY t DESC) AS rank_in_level FROM g""")
+def q_grouping_sets(spark, sf):
+    g = grouping.prefix_sets(_facts(spark, sf), ["month"], ["region", "segment", "tariff"], {"t": "sum(cast(kwh as decimal(18,2)))", "sites": "count(distinct site)"})
+    level = F.col("grouping_level").cast("bigint")
+    top = F.max(F.when(level == 7, F.col("t"))).over(Window.partitionBy("month")).cast("double")
+    return g.select("month", "region", "segment", "tariff", level.alias("level"), F.col("t").cast("double").alias("total"), "sites", F.round(F.col("t").cast("double") / top, 6).alias("share"), F.rank().over(series.along(["month", "grouping_level"], F.desc("t"))).cast("bigint").alias("rank_in_level"))
+
+
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, " + ", ".join(f"(sum(value::DECIMAL(18,2)) FILTER (event_type = '{k}'))::DOUBLE AS {k}_mw" for k in _KINDS) + " FROM events GROUP BY 1")
+def q_pivot_mix(spark, sf):
+    sums = grouping.pivot_sums(["hour"], "event_type", _KINDS, _dec("value"), "_mw")
+    return _table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(*sums).select("hour", *(F.col(f"{k}_mw").cast("double").alias(f"{k}_mw") for k in _KINDS))
+
+
+@query(f"WITH {_M} SELECT hour, arg_min(source, (-mw, source)) AS dominant, arg_min(source, (mw, source)) AS smallest FROM m GROUP BY 1")
+def q_dominant_source(spark, sf):
+    first = lambda mw: F.min(F.struct(mw.alias("m"), F.col("source").alias("s")))["s"]
+    return _mix(spark, sf).groupBy("hour").agg(first(-F.col("mw")).alias("dominant"), first(F.col("mw")).alias("smallest"))
+
+
+@query(f"WITH {_M} SELECT source, hour, sum(mw::DECIMAL(18,2)) OVER w::DOUBLE / count(*) OVER w AS rolling FROM m WINDOW w AS (PARTITION BY source ORDER BY hour ROWS 23 PRECEDING)")
+def q_rolling_24(spark, sf):
+    w = series.last_n(series.along("source", "hour"), 24)
+    return _mix(spark, sf).select("source", "hour", (F.sum(_dec("mw")).over(w).cast("double") / F.count(F.lit(1)).over(w)).alias("rolling"))
+
+
+@query(f"WITH {_M} SELECT source, hour, ntile(10) OVER (PARTITION BY source, date_trunc('month', hour) ORDER BY mw, hour) AS decile, round(cume_dist() OVER (PARTITION BY source, date_trunc('month', hour) ORDER BY mw), 4) AS cume_dist FROM m")
+def q_decile_in_month(spark, sf):
+    s = ranking.spread(["source", F.trunc(F.col("hour").cast("date"), "month")], F.col("mw"), 10, ["hour"])
+    return _mix(spark, sf).select("source", "hour", s["tile"].cast("bigint").alias("decile"), s["cume_dist"].alias("cume_dist"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-06-01')")
+def q_anti_join_new(spark, sf):
+    seen = _table(spark, sf, "orders").filter(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz")).select(F.col("o_custkey").alias("c_custkey"))
+    return keys.not_seen(_table(spark, sf, "customer").select("c_custkey", "c_name"), seen, "c_custkey")
+
+
+@query(f"WITH {_R}, a AS (SELECT hour, max(mw) AS top FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, sum(value::DECIMAL(18,2))::DOUBLE AS mw FROM events WHERE event_type = 'view' GROUP BY ALL) GROUP BY 1) SELECT site, r.hour, kwh, top FROM r JOIN a ON r.hour = a.hour")
+def q_inner_weather(spark, sf):
+    return _readings(spark, sf).select("site", "hour", "kwh").join(_mix(spark, sf).filter("source = 'view'").groupBy("hour").agg(F.max("mw").alias("top")), "hour").select("site", "hour", "kwh", "top")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0), s AS (SELECT o_orderkey, 'X' AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0)
+SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = t.o_orderkey)""")
+def q_upsert_result(spark, sf):
+    """Through tables: create, then upsert by key."""
+    import uuid
+
+    from gridloom.context import RunContext
+    from gridloom.sources import storage
+
+    o = _table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    ctx = RunContext("default", "")
+    name = ctx.table("silver", f"upsert_{uuid.uuid4().hex[:8]}")
+    storage.upsert(spark, o.filter("o_orderkey % 3 != 0"), name, ["o_orderkey"], ctx)
+    storage.upsert(spark, o.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("X")), name, ["o_orderkey"], ctx)
+    return spark.table(name)
+
+
+@query("SELECT user_id, hour, count(*) AS copies FROM (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour FROM events) GROUP BY ALL HAVING count(*) > 1")
+def q_dup_keys(spark, sf):
+    return keys.duplicate_keys(_table(spark, sf, "events").select("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")), ["user_id", "hour"])
+
+
+@query(f"""WITH {_D}, c AS (SELECT 'events_non_negative' AS check_name, count(*) AS failing_rows FROM events WHERE value < 0
+UNION ALL SELECT 'events_high_values', count(*) FROM events WHERE value > 480
+UNION ALL SELECT 'readings_unique', count(*) FROM (SELECT 1 FROM r GROUP BY site, hour HAVING count(*) > 1)
+UNION ALL SELECT 'events_unique_hour', count(*) FROM (SELECT 1 FROM events GROUP BY user_id, date_trunc('hour', ts) HAVING count(*) > 1)
+UNION ALL SELECT 'days_no_null', count(*) FROM d WHERE kwh_total IS NULL) SELECT *, failing_rows = 0 AS passed FROM c""")
+def q_quality_ledger(spark, sf):
+    e, r = _table(spark, sf, "events"), _readings(spark, sf)
+    hourly = e.select("user_id", F.date_trunc("hour", "ts").alias("hour"))
+    bad = {
+        "events_non_negative": e.filter("value < 0"), "events_high_values": e.filter("value > 480"), "readings_unique": keys.duplicate_keys(r, ["site", "hour"]),
+        "events_unique_hour": keys.duplicate_keys(hourly, ["user_id", "hour"]), "days_no_null": _days(spark, sf).filter("kwh_total is null"),
+    }
+    out = None
+    for name, df in bad.items():
+        row = df.agg(F.count(F.lit(1)).alias("failing_rows")).select(F.lit(name).alias("check_name"), "failing_rows", (F.col("failing_rows") == 0).alias("passed"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {_D} SELECT site, day, lag(kwh_total) OVER w IS NULL AS lacks_previous, row_number() OVER w AS nth FROM d WINDOW w AS (PARTITION BY site ORDER BY day)")
+def q_first_row_null_lag(spark, sf):
+    w = series.along("site", "day")
+    return _days(spark, sf).select("site", "day", F.lag("kwh_total").over(w).isNull().alias("lacks_previous"), F.row_number().over(w).cast("bigint").alias("nth"))
+
+
+def _landed(spark: SparkSession, sf: str) -> str:
+    """Events as CSV files in the session's shared folder, or a temporary one where the session names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    path = f"{root}/landed-{uuid.uuid4().hex}"
+    _table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("value").cast("string")).write.option("header", "true").csv(f"{path}/events")
+    return path
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def q_stream_ingest(spark, sf):
+    """Files become rows through a file stream that ends when it has read all; a second run adds none."""
+    from gridloom.streaming.ingest import stream_csv
+
+    path = _landed(spark, sf)
+    for _ in range(2):
+        stream = stream_csv(spark, f"{path}/events", "event_id string, user_id string, event_type string, value string").drop("_source_file")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/bronze").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/bronze").select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", cleaning.to_double("value").alias("value"))
+
+
+@query("SELECT event_id, user_id, event_type, value, true AS has_source FROM events")
+def q_csv_roundtrip(spark, sf):
+    back = spark.read.schema("event_id string, user_id string, event_type string, value string").option("header", "true").csv(f"{_landed(spark, sf)}/events").withColumn("_source_file", F.col("_metadata.file_path"))
+    return back.select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", cleaning.to_double("value").alias("value"), F.col("_source_file").endswith(".csv").alias("has_source"))
