@@ -44,8 +44,8 @@ def _named(column: str, targets: dict) -> Column:
 
 
 def cells(documents: DataFrame, targets: dict = TARGETS) -> DataFrame:
-    """documents with cell_source, cell_lang, cell_topic and n_tokens."""
-    out = documents.withColumns({"topic": topic(F.col("text")), "n_tokens": n_tokens(F.col("text"))})
+    """documents with topic, n_tokens, cell_source, cell_lang and cell_topic, instead of columns of those names or probability."""
+    out = documents.drop("probability").withColumns({"topic": topic(F.col("text")), "n_tokens": n_tokens(F.col("text"))})
     return out.withColumns({f"cell_{d}": _named(d, targets) for d in DIMENSIONS})
 
 

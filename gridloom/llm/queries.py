@@ -63,7 +63,7 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_raked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sample(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"))
+    return mixing.sample(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"))
 
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS = 4096
+#: A shard gives slots away only while it is over the mean by this share.
+SLACK = 0.005
 
 
 @dataclass(frozen=True)
@@ -51,8 +53,8 @@ def deal(sizes: list[int], shards: int) -> SlotMap:
 def rebalance(current: SlotMap, sizes: list[int], shards: int) -> SlotMap:
     """The next version for a changed number of shards or changed sizes.
 
-    Slots of shards that no longer exist move, and slots of shards over the mean as long as a move leaves the receiving
-    shard no heavier than the mean; all others stay where they are.
+    Slots of shards that no longer exist move, and slots of shards over the mean by more than SLACK as long as the
+    receiving shard stays at the mean or below; all others stay where they are.
     """
     out = list(current.shard_of)
     mean = sum(sizes) / shards
@@ -71,7 +73,7 @@ def rebalance(current: SlotMap, sizes: list[int], shards: int) -> SlotMap:
     for shard in sorted(range(shards), key=lambda k: (-loads[k], k)):
         for slot in sorted(by_shard[shard], key=lambda s: (-sizes[s], s)):
             light = min(range(shards), key=lambda k: (loads[k], k))
-            if sizes[slot] and loads[shard] - sizes[slot] >= mean * 0.999 and loads[light] + sizes[slot] <= mean:
+            if sizes[slot] and loads[shard] > mean * (1 + SLACK) and loads[light] + sizes[slot] <= mean:
                 out[slot] = light
                 loads[shard] -= sizes[slot]
                 loads[light] += sizes[slot]
