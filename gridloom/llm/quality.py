@@ -65,7 +65,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], alpha: float = 0.5, bet
     z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
     for _ in range(epochs):
         for index, value, label in rows:
-            i, x = np.append(index, size - 1), np.append(value, 1.0)
+            i, x = np.append(index, size - 1).astype(np.int64), np.append(value, 1.0).astype(np.float64)
             zi, ni = z[i], n[i]
             wi = np.where(np.abs(zi) > l1, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
@@ -104,8 +104,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
         .mapInArrow(_train_features, "at long, label int, i binary, x binary")
         .collect()  # max_rows sparse vectors
     )
-    examples = [(np.frombuffer(r.i, np.uint32).astype(np.int64), np.frombuffer(r.x, np.float32).astype(np.float64), r.label) for r in sorted(rows, key=lambda r: (r.at, r.i, r.x))]
-    return ftrl(examples)
+    rows.sort(key=lambda r: (r.at, r.i, r.x))
+    return ftrl([(np.frombuffer(r.i, np.uint32), np.frombuffer(r.x, np.float32), r.label) for r in rows])
 
 
 def score_texts(texts: list[bytes], weights: np.ndarray, intercept: float) -> np.ndarray:
