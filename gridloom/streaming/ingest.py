@@ -21,7 +21,3 @@ def ingest_feed_stream(spark: SparkSession, ctx: RunContext, feed: str, checkpoi
     query = stamped.writeStream.format(ctx.table_format).option("checkpointLocation", f"{checkpoint}/{feed}").trigger(availableNow=True).toTable(ctx.table("bronze", feed))
     query.awaitTermination()
 
-
-def hourly_counts(events: DataFrame, time: str, kind: str, late: str = "2 hours") -> DataFrame:
-    """Rows and distinct-safe sums per hour and kind of a stream, closed once the watermark has passed."""
-    return events.withWatermark(time, late).groupBy(F.window(time, "1 hour"), kind).agg(F.count(F.lit(1)).alias("n"))
