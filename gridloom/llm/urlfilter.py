@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import BROADCAST_LIMIT
+from gridloom.llm.common import checked_join, materialise
 
 BAD = "=bad"
 MIN_SUPPORT = 0.002
@@ -78,12 +78,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 def mined_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls that a mined rule blocks, with the most confident rule's confidence."""
-    size = sum(sum(map(len, r.tokens)) + 100 for r in rules.select("tokens").limit(BROADCAST_LIMIT // 100).collect()) if rules.limit(BROADCAST_LIMIT // 1000).count() < BROADCAST_LIMIT // 1000 else BROADCAST_LIMIT
-    index = F.broadcast(rules) if size < BROADCAST_LIMIT else rules
+    index, index_path = materialise(rules, "rules")
     listed = urls.select("url").filter(F.col("url").isNotNull()).select("url", tokens_of(F.col("url")).alias("has"))
     return (
-        listed.select("url", "has", F.explode("has").alias("index_token"))
-        .join(index, "index_token")
+        checked_join(listed.select("url", "has", F.explode("has").alias("index_token")), index, index_path, "index_token")
         .filter(F.size(F.array_except("tokens", "has")) == 0)
         .groupBy("url")
         .agg(F.max("confidence").alias("confidence"))
