@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checked_join, materialise, packed_texts, small_arrow_batches
+from gridloom.llm.common import materialise, packed_texts, small_arrow_batches
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Words in a worker's memory; beyond it they become the older ones, and those before them are forgotten.
@@ -132,6 +132,6 @@ def count_tokens(documents: DataFrame, tokenizer: str, cache_path: str) -> DataF
     small_arrow_batches(spark)
     encode_misses(documents, open_cache(spark, cache_path), tokenizer).write.mode("append").parquet(cache_path)
     # Written first: a join of two plain exchanges is one whose skew Spark can split, and many rows may share a text.
-    counts, counts_path = materialise(open_cache(spark, cache_path).filter(F.col("tokenizer") == tokenizer_version(tokenizer)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    counts, _ = materialise(open_cache(spark, cache_path).filter(F.col("tokenizer") == tokenizer_version(tokenizer)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     keyed = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
-    return checked_join(keyed, counts, counts_path, "digest").select("doc_id", "n_bytes", "n_tokens")
+    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
