@@ -1,7 +1,7 @@
 """Connected components of an undirected graph by alternating large-star and small-star steps.
 
-Every step is a join and an aggregation; what a round made is written to the shared folder and read back, so no lineage
-grows and no links come to the driver.
+Every step is a join of two written tables and an aggregation; what a round made is written to the shared folder and read back, so
+no lineage grows, Spark can split the joins' skew, and no links come to the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checked_join, delete_quietly, materialise
+from gridloom.llm.common import delete_quietly, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,10 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least, least_path = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
-        large = checked_join(both.filter("v > u"), least, least_path, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large, large_path = materialise(large, "large")
         small, small_path = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        hung = checked_join(large, small, small_path, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new, new_path = materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
         for old in (path, least_path, large_path, small_path):
             delete_quietly(spark, old)

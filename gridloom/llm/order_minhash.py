@@ -192,7 +192,7 @@ def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
 def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
     """members of buckets that two texts or more share, with the bucket's size n."""
     sizes, sizes_path = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    out = materialise(checked_join(members, sizes, sizes_path, "bucket").select("bucket", "node", "n"), "met")
+    out = materialise(members.join(sizes, "bucket").select("bucket", "node", "n"), "met")
     for old in (path, sizes_path):
         delete_quietly(members.sparkSession, old)
     return out
@@ -226,9 +226,9 @@ def near_links(texts: DataFrame) -> DataFrame:
         large = met.filter(F.col("n") > most)
         # The leader of a bucket is its member that shares most large buckets with others: the nearest to what all derive from.
         degree, degree_path = materialise(large.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
-        leader = checked_join(large, degree, degree_path, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
+        leader = large.join(degree, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
         leader, leader_path = materialise(leader, "leaders")
-        led = checked_join(large, leader, leader_path, "bucket").filter("node != leader").select("bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        led = large.join(leader, "bucket").filter("node != leader").select("bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         led, led_path = materialise(led, "led")
         pairs, pairs_path = materialise(_all_pairs(met, most).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
         total = total.unionByName(_linked(pairs, pairs_path, texts))
@@ -254,7 +254,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, str]:
     per_text = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     joined, joined_path = materialise(per_text.join(roots, "node", "left").filter("root is not null or n > 1").select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "grouped")
     firsts, firsts_path = materialise(joined.groupBy("root").agg(F.min("least").alias("class_id")), "firsts")
-    out = materialise(checked_join(joined, firsts, firsts_path, "root").select("node", "class_id", "n"), "classes")
+    out = materialise(joined.join(firsts, "root").select("node", "class_id", "n"), "classes")
     for path in (joined_path, firsts_path):
         delete_quietly(documents.sparkSession, path)
     return out
@@ -262,8 +262,8 @@ def classes(documents: DataFrame) -> tuple[DataFrame, str]:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row; documents alone in their group are their own class."""
-    table, path = classes(documents)
-    return checked_join(with_node(documents.select("doc_id", "text")).select("doc_id", "node"), table, path, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    table, _ = classes(documents)  # joined by a shuffle: memberships stay off the driver
+    return with_node(documents.select("doc_id", "text")).select("doc_id", "node").join(table, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
