@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, packed_texts, small_arrow_batches
+from gridloom.llm.common import materialise, packed_texts, slices, small_arrow_batches
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Words in a worker's memory; beyond it they become the older ones, and those before them are forgotten.
@@ -106,7 +106,10 @@ def encode_misses(documents: DataFrame, cache: DataFrame, tokenizer: str) -> Dat
             keys = batch.column("digest").to_pylist()
             packed = batch.column("packed")
             new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            n = count([unpack(packed[i].as_py()).decode() for i in new])
+            raw = [packed[i].as_py() for i in new]
+            n = []
+            for a, b in slices([zstandard.frame_content_size(x) for x in raw], 4 << 20):
+                n += count([unpack(x).decode() for x in raw[a:b]])
             yield pa.record_batch([pa.array([keys[i] for i in new], pa.binary()), pa.array([version] * len(new), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     texts = packed_texts(documents.select(digest(F.col("text")).alias("digest"), "text"), "digest").repartition("digest")
