@@ -37,6 +37,8 @@ K, L, SKETCHES = 5, 5, 24
 DEEP = ((8, 0, 75), (12, 60, 1 << 60))
 DEEP_SKETCHES = 128
 ALL_PAIRS = 16
+#: Groups of scan tasks among which copies of a text are put together first.
+PARTS = 64
 SIMILARITY = 0.8
 _ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES + DEEP_SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -182,7 +184,10 @@ def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are near-duplicates; texts has (node, text)."""
     wanted, wanted_path = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
     needed = checked_join(texts, wanted, wanted_path, "node", "left_semi")
-    packed, packed_path = materialise(packed_texts(needed, "node").groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+    # A text comes once from each scan task that met it: put together in two steps, so that no task gets all of these.
+    met = packed_texts(needed, "node").withColumn("part", F.spark_partition_id() % PARTS)
+    once = met.groupBy("node", "part").agg(F.first("packed").alias("packed")).groupBy("node").agg(F.first("packed").alias("packed"))
+    packed, packed_path = materialise(once, "texts")
     a, b = packed.toDF("a", "a_packed"), packed.toDF("b", "b_packed")
     links, _ = materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_verify, "a binary, b binary"), "links")
     for path in (wanted_path, packed_path):
