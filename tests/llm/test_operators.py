@@ -201,7 +201,7 @@ def test_top_k_over_many_candidates_and_blocks(spark):
     got = defaultdict(list)
     from pyspark.sql import functions as F
 
-    for row in topk.top_k(df, F.col("vec_id") % 500 == 0, 5, query_block=5).orderBy("query_id", "rank").collect():
+    for row in topk.top_k(df.coalesce(1), F.col("vec_id") % 500 == 0, 5, query_block=5).orderBy("query_id", "rank").collect():
         got[row.query_id].append((row.vec_id, row.score))
     z = np.floor(64 * x.astype(np.float64)).astype(np.int64)
     for q in range(0, 6000, 500):
@@ -210,6 +210,39 @@ def test_top_k_over_many_candidates_and_blocks(spark):
         assert got[q] == [(i, s[i]) for i in order]
 
 
+def test_top_k_beyond_exact_floats(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [3e9 + 64 * i, -1e9]) for i in range(60)] + [(100, [1e20, 1.0]), (101, [1e20, 2.0]), (102, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for row in topk.top_k(df.coalesce(1), F.lit(True), 3).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    z = {i: [math.floor(64 * c) for c in v] for i, v in rows}
+    for q, x in z.items():
+        order = sorted((-min(max(sum(a * b for a, b in zip(x, y)), 1 - 2**63), 2**63 - 1), i) for i, y in z.items() if i != q)[:3]
+        assert got[q] == [(i, -s) for s, i in order]
+
+
+def test_pivots_eliminate_without_loss():
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(20, 16)) * 200
+    x = np.floor(centres[r.integers(0, 20, 12_000)] + r.normal(size=(12_000, 16)) * 20)
+    pivots, ids = topk.choose_pivots(x[:512], topk.PIVOTS), np.arange(12_000)
+    best, q = topk.Best(), x[7]
+    far, kept = topk._distances(x[7:8], pivots)[0], []
+    for a in range(0, 12_000, 4_000):  # later batches meet what earlier ones found
+        held = topk.Candidates(ids[a : a + 4_000], x[a : a + 4_000], pivots)
+        upper = held.upper(float(q @ q), far)
+        assert (upper >= held.x @ q).all()
+        kept.append((upper >= best.least(20)).mean())
+        topk.improve(best, 7, q, far, held, 20)
+    assert kept[0] == 1 and max(kept[1:]) < 0.2
+    scores = x @ q
+    order = [i for i in np.lexsort((ids, -scores)) if i != 7][:20]
+    assert best.ids.tolist() == order and best.scores.tolist() == scores[order].tolist()
+
+
 def test_token_counts_and_cache(spark, sf, docs, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
