@@ -15,16 +15,18 @@ neither driver nor executor holds more than one block however large the benchmar
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textnum
-from gridloom.llm.common import materialise, slices, small_arrow_batches, text_bytes
+from gridloom.llm.common import checked_join, delete_quietly, materialise, slices, small_arrow_batches, text_bytes
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -185,8 +187,48 @@ def _digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<int>"
-_REPORT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int32()))])
+_REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<int>, row_key string"
+_REPORT_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
+    + [("items", pa.list_(pa.string())), ("spans", pa.list_(pa.int32())), ("row_key", pa.string())]
+)
+
+
+def _scan(keyed: DataFrame, automaton: Automaton | None) -> DataFrame:
+    """One automaton over (doc_id, text, row_key)."""
+    shared = keyed.sparkSession.sparkContext.broadcast(automaton)  # of BLOCK_WORDS words at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, texts, rows = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), text_bytes(batch.column("text")), []
+            for words, a, hits in _found(shared.value, texts):
+                base = words.first
+                for t, n in enumerate(words.counts.tolist()):
+                    spans, items = hits.get(t, ((), set()))
+                    flat = [int(x - base[t]) for span in spans for x in span]
+                    hit = sum(y - x for x, y in spans)
+                    rows.append((ids[a + t], n, hit, len(items), _digest(items), hit > 0, sorted(items), flat, keys[a + t]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_REPORT_ARROW), _REPORT_ARROW)], schema=_REPORT_ARROW)
+
+    return keyed.mapInArrow(run, _REPORT)
+
+
+def _row_key() -> Column:
+    """A digest of id and text: what several blocks found is put together by it."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
+def _over_blocks(keyed: DataFrame, automata: Iterable[Automaton]) -> tuple[DataFrame, str]:
+    """(row_key, items, spans) of rows with hits, as a table and its path; each automaton scans on its own, equal rows count once."""
+    spark = keyed.sparkSession
+    written = [materialise(_scan(keyed, one).filter("contaminated").dropDuplicates(["row_key"]).select("row_key", "items", "spans"), "leaks") for one in automata]
+    found = reduce(DataFrame.unionByName, [frame for frame, _ in written])
+    out = materialise(
+        found.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")), "leaks"
+    )  # a row has one entry for each block at most
+    for _, path in written:
+        delete_quietly(spark, path)
+    return out
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -195,93 +237,91 @@ def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     Null and empty texts have no words. Rows with equal doc_id are each judged alone. Without items nothing is hit.
     """
     small_arrow_batches(documents.sparkSession)
-    spark = documents.sparkSession
-    frames = []
+    texts = documents.select(F.col("doc_id").cast("long"), "text")
     automata = blocks(benchmark, window, block_words)
     first, second = next(automata, None), next(automata, None)
-
-    def scan(automaton: Automaton | None) -> DataFrame:
-        shared = spark.sparkContext.broadcast(automaton)  # of BLOCK_WORDS words at most
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, texts, rows = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), []
-                for words, a, hits in _found(shared.value, texts):
-                    base = words.first
-                    for t, n in enumerate(words.counts.tolist()):
-                        spans, items = hits.get(t, ((), set()))
-                        flat = [int(x - base[t]) for span in spans for x in span]
-                        hit = sum(y - x for x, y in spans)
-                        rows.append((ids[a + t], n, hit, len(items), _digest(items), hit > 0, sorted(items), flat))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 8, _REPORT_ARROW)], schema=_REPORT_ARROW)
-
-        return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _REPORT)
-
     if second is None:
-        return scan(first)
-    # Several blocks: each is scanned on its own, then what they found is put together for each row.
-    for block in (first, second, *automata):
-        frames.append(materialise(scan(block).filter("contaminated"), "leaks")[0])
-    whole = scan(None).drop("n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
-    found = frames[0]
-    for frame in frames[1:]:
-        found = found.unionByName(frame)
-    found = found.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("spans"))
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(s) / 2 - 1).cast("int")), lambda i: F.sequence(s[i * 2], s[i * 2 + 1] - 1))))))
-    found = found.select("doc_id", "n_words", "items", F.size(covered).cast("long").alias("n_hit"), F.flatten("spans").alias("spans"))
-    return whole.join(found, ["doc_id", "n_words"], "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256).alias("items_sha256"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<int>")).alias("spans"),
-    )
+        return _scan(texts.withColumn("row_key", F.lit(None).cast("string")), first).drop("row_key")
+    keyed = texts.withColumn("row_key", _row_key())
+    found, path = _over_blocks(keyed, chain((first, second), automata))
+    whole = _scan(keyed, None).select("doc_id", "n_words", "row_key")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                spans, items = _pairs(r["spans"] or ()), r["items"] or []
+                hit = sum(y - x for x, y in spans)
+                rows.append((r["doc_id"], r["n_words"], hit, len(items), _digest(set(items)), hit > 0, sorted(items), [x for span in spans for x in span], r["row_key"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_REPORT_ARROW), _REPORT_ARROW)], schema=_REPORT_ARROW)
+
+    return checked_join(whole, found, path, "row_key", "left").mapInArrow(total, _REPORT).drop("row_key")
+
+
+def _pairs(flat: Sequence[int]) -> list[tuple[int, int]]:
+    return merged(list(zip(flat[0::2], flat[1::2])))
+
+
+def _without(batch: pa.RecordBatch, found: Iterator[tuple[textnum.Words, int, dict]], min_span: int, max_coverage: float) -> Iterator[pa.RecordBatch]:
+    """The batch with its texts cut; found names spans as _found does."""
+    columns, texts = batch.schema.names, text_bytes(batch.column("text"))
+    keep = np.ones(batch.num_rows, dtype=bool)
+    changed: dict[int, str] = {}
+    for words, a, hits in found:
+        for t, (spans, _) in hits.items():
+            spans = [s for s in spans if s[1] - s[0] >= min_span]
+            if sum(y - x for x, y in spans) > max_coverage * words.counts[t]:
+                keep[a + t] = False
+            elif spans:
+                text, base, parts, done = texts[a + t], int(words.text_starts[t]), [], 0
+                for x, y in spans:
+                    parts.append(text[done : int(words.starts[x]) - base].rstrip())
+                    done = int(words.ends[y - 1]) - base
+                changed[a + t] = b"".join([*parts, text[done:]]).decode("utf-8", "replace")
+    table = pa.Table.from_batches([batch])
+    if changed:
+        now = {"text": changed} | ({"n_chars": {i: len(text) for i, text in changed.items()}} if "n_chars" in columns else {})
+        for name, new in now.items():
+            values, kind = batch.column(name).to_pylist(), table.schema.field(name)
+            for i, value in new.items():
+                values[i] = value
+            table = table.set_column(columns.index(name), kind, pa.array(values, kind.type))
+    yield from table.filter(pa.array(keep)).to_batches()
 
 
 def cut(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents without the spans that repeat test items.
 
     A span of min_span hit words or more is cut from its first word's first byte to its last word's last byte, with the
-    white space before it. A document of whose words more than max_coverage are hit goes as a whole. Columns stay as
-    they are; n_chars, where there is one, follows the text. Null texts stay null.
+    white space before it. A document of whose words more than max_coverage are hit goes as a whole. All items are looked for
+    in the text as it came, in however many blocks. Columns stay as they are; n_chars, where there is one, follows the text.
+    Null texts stay null.
     """
-    small_arrow_batches(documents.sparkSession)
-    columns, schema, spark = documents.columns, documents.schema, documents.sparkSession
-    counted = "n_chars" in columns
-    out = documents
-    for automaton in blocks(benchmark, window, block_words):
-        shared = spark.sparkContext.broadcast(automaton)  # of BLOCK_WORDS words at most
+    spark, columns, schema = documents.sparkSession, documents.columns, documents.schema
+    small_arrow_batches(spark)
+    automata = blocks(benchmark, window, block_words)
+    first, second = next(automata, None), next(automata, None)
+    if first is None:
+        return documents
+    if second is None:
+        shared = spark.sparkContext.broadcast(first)  # of BLOCK_WORDS words at most
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, keep = text_bytes(batch.column("text")), np.ones(batch.num_rows, dtype=bool)
-                changed: dict[int, str] = {}
-                for words, a, hits in _found(shared.value, texts):
-                    for t, (spans, _) in hits.items():
-                        spans = [s for s in spans if s[1] - s[0] >= min_span]
-                        if sum(y - x for x, y in spans) > max_coverage * words.counts[t]:
-                            keep[a + t] = False
-                        elif spans:
-                            text, base, parts, done = texts[a + t], int(words.text_starts[t]), [], 0
-                            for x, y in spans:
-                                parts.append(text[done : int(words.starts[x]) - base].rstrip())
-                                done = int(words.ends[y - 1]) - base
-                            changed[a + t] = b"".join([*parts, text[done:]]).decode("utf-8", "replace")
-                table = pa.Table.from_batches([batch])
-                if changed:
-                    now = batch.column("text").to_pylist()
-                    for i, text in changed.items():
-                        now[i] = text
-                    table = table.set_column(columns.index("text"), table.schema.field("text"), pa.array(now, table.schema.field("text").type))
-                    if counted:
-                        sizes = batch.column("n_chars").to_pylist()
-                        for i, text in changed.items():
-                            sizes[i] = len(text)
-                        table = table.set_column(columns.index("n_chars"), table.schema.field("n_chars"), pa.array(sizes, table.schema.field("n_chars").type))
-                yield from table.filter(pa.array(keep)).to_batches()
-
-        out = out.mapInArrow(run, schema)
-    return out
+                yield from _without(batch, _found(shared.value, text_bytes(batch.column("text"))), min_span, max_coverage)
+
+        return documents.mapInArrow(run, schema)
+    found, path = _over_blocks(documents.select(F.col("doc_id").cast("long"), "text", _row_key().alias("row_key")), chain((first, second), automata))
+
+    def located(texts: list[bytes], spans: list[list[int] | None]) -> Iterator[tuple[textnum.Words, int, dict]]:
+        for words, a, _ in _found(None, texts):
+            base = words.first.tolist()
+            yield words, a, {t: ([(x + base[t], y + base[t]) for x, y in _pairs(spans[a + t])], ()) for t in range(len(words.counts)) if spans[a + t]}
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = pa.RecordBatch.from_struct_array(batch.column("row"))
+            yield from _without(row, located(text_bytes(row.column("text")), batch.column("spans").to_pylist()), min_span, max_coverage)
+
+    inner = documents.select(F.struct(*columns).alias("row"), _row_key().alias("row_key"))
+    return checked_join(inner, found, path, "row_key", "left").select("row", "spans").mapInArrow(run_joined, schema)
