@@ -6,7 +6,7 @@ product, (|q|^2 + |x|^2 - bound^2) / 2. Each query evaluates its candidates from
 whose bound can't reach its k-th best score so far; the rest is eliminated without losing any result. Pivots come from a
 documented sample (farthest-first among ``PIVOT_SAMPLE`` vectors of smallest hash): they set the speed, never the result.
 
-Queries go out in blocks of ``QUERY_BLOCK``; each task holds one block, one Arrow batch of candidates and the best k so far of
+Queries go out in blocks of some ``QUERY_BLOCK``, fewer where vectors are long; each task holds one block, one Arrow batch of candidates and the best k so far of
 each query, which later batches have to beat, and passes on its best k per query once, at its end. A vector takes part if its id
 is not null, it is not null, and no component is null, NaN or infinite; a pair needs equal lengths. Equal scores go to the smaller
 id. Rows of one id are all candidates, and ask once, with the smallest of their vectors. Scores beyond a long count as
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import small_arrow_batches
 
 QUERY_BLOCK = 16_384
+#: Components that a block of queries holds at most (one query, if longer); they pass through the driver and are broadcast.
+QUERY_NUMBERS = 4 << 20
 PIVOTS = 32
 PIVOT_SAMPLE = 512
 SCALE = 64
@@ -148,8 +150,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
     for r in clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect():
         sample.setdefault(len(r.x), []).append(r.x)
     pivots = {d: choose_pivots(np.array(rows, dtype=np.float64).reshape(len(rows), d), PIVOTS) for d, rows in sample.items()}
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
+    n, longest = queries.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    blocks = max(1, -(-n // max(1, min(query_block, QUERY_NUMBERS // max(longest or 0, 1)))))
     out = None
     for block in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)

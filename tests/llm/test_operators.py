@@ -195,14 +195,16 @@ def test_exact_top_k(spark, sf):
     assert sorted(map(tuple, run(spark, sf, "op4_pivot_top_k"))) == sorted(want)
 
 
-def test_top_k_over_many_candidates_and_blocks(spark):
+@pytest.mark.parametrize("block, numbers", [(5, 4 << 20), (16_384, 40), (16_384, 1)])
+def test_top_k_over_many_candidates_and_blocks(spark, monkeypatch, block, numbers):
+    monkeypatch.setattr(topk, "QUERY_NUMBERS", numbers)
     r = np.random.default_rng(4)
     x = r.normal(size=(6000, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = defaultdict(list)
     from pyspark.sql import functions as F
 
-    for row in topk.top_k(df.coalesce(1), F.col("vec_id") % 500 == 0, 5, query_block=5).orderBy("query_id", "rank").collect():
+    for row in topk.top_k(df.coalesce(1), F.col("vec_id") % 500 == 0, 5, query_block=block).orderBy("query_id", "rank").collect():
         got[row.query_id].append((row.vec_id, row.score))
     z = np.floor(64 * x.astype(np.float64)).astype(np.int64)
     for q in range(0, 6000, 500):
