@@ -15,13 +15,19 @@ A candidate pair is linked if its sets of 5-word shingles have a Jaccard similar
 or more and banded alignment confirms that its words differ in at most 1 - SIMILARITY of the longer text's length.
 Groups are the connected components of the links.
 
+Texts of few shingles need no luck: all subsets of theirs that a near-duplicate may share are buckets too (``SHORT``), so that
+such a pair always meets, however crowded its buckets are. Those buckets say how many shingles each member left out, and only
+members that together left out few enough are compared.
+
 Equal texts are one node throughout. Null texts count as empty, and empty texts equal each other. Texts of fewer than K
 words have one k-mer, the whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,11 @@ ALL_PAIRS = 16
 #: Groups of scan tasks among which copies of a text are put together first.
 PARTS = 64
 SIMILARITY = 0.8
+#: Texts of so many distinct k-mers at most meet by subsets of these; those of ONLY_SHORT at most have no near-duplicate beyond SHORT, hence no sketch.
+SHORT, ONLY_SHORT = 14, 11
+#: For each number of distinct k-mers: how many and which a bucket leaves out, a fourth of what stays at most (s of s + d is 0.8 or more up to there).
+_LEFT_OUT = {n: [(d, np.array(list(combinations(range(n), d)), dtype=np.int64).reshape(comb(n, d), d)) for d in range(n) if 4 * d <= n - d] for n in range(1, SHORT + 1)}
+MOST_LEFT_OUT = max(d for cuts in _LEFT_OUT.values() for d, _ in cuts)
 _ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES + DEEP_SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,7 +72,9 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def sketches(h: np.ndarray, depth: int = 0) -> np.ndarray:
-    """The buckets of a text with word hashes h."""
+    """The buckets of a text with word hashes h; none if subsets of its k-mers find all its near-duplicates."""
+    if len(np.unique(kmers(h)[: len(h)])) <= ONLY_SHORT:
+        return np.empty(0, dtype=np.uint64)
     g = textnum.mix(_labelled(kmers(h)).copy())
     if depth == 0:
         return _sketches(g, L, slice(0, SKETCHES))
@@ -74,6 +87,20 @@ def sketches(h: np.ndarray, depth: int = 0) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def subsets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, left out, room) of a text with few distinct k-mers: two texts are similar by shingles if, in a bucket, they left out room together at most."""
+    x = textnum.mix(np.unique(kmers(h)))
+    if len(x) > SHORT:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+    total, buckets, cut, room = x.sum(), [], [], []
+    for d, which in _LEFT_OUT[len(x)]:
+        stay = len(x) - d
+        buckets.append(textnum.mix(total - x[which].sum(1, dtype=np.uint64) + np.uint64(stay << 40)))
+        cut.append(np.full(len(which), d, dtype=np.int32))
+        room.append(np.full(len(which), stay // 4, dtype=np.int32))
+    return np.concatenate(buckets), np.concatenate(cut), np.concatenate(room)
+
+
 def _sketches(g: np.ndarray, size: int, orders: slice, salt: int = 0) -> np.ndarray:
     ranks = (g[None, :] ^ _ORDERS[0][orders, None]) * _ORDERS[1][orders, None]
     ranks ^= ranks >> np.uint64(29)
@@ -89,9 +116,9 @@ def _sketches(g: np.ndarray, size: int, orders: slice, salt: int = 0) -> np.ndar
     return out
 
 
-def _sketcher(depth: int):
+def _sketcher(of_text: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, bucket) of each distinct text; a text that this task has seen isn't sketched again."""
+        """(node, bucket, cut, room) of each distinct text; a text that this task has seen isn't sketched again."""
         seen: set[bytes] = set()
         for batch in batches:
             nodes = batch.column("node").to_pylist()
@@ -102,9 +129,19 @@ def _sketcher(depth: int):
             for a, b in slices([len(t) for t in texts], 1 << 20):
                 words = textnum.Words(texts[a:b], textnum.SPACE)
                 h, first = words.hashes(), words.first
-                buckets = [sketches(h[first[i] : first[i + 1]], depth) for i in range(b - a)]
-                of = pa.array(np.repeat(np.arange(b - a), [len(x) for x in buckets]))
-                yield pa.record_batch([pa.array([nodes[i] for i in new[a:b]], pa.binary()).take(of), pa.array(np.concatenate(buckets).view(np.int64))], ["node", "bucket"])
+                found = [of_text(h[first[i] : first[i + 1]]) for i in range(b - a)]
+                of = pa.array(np.repeat(np.arange(b - a), [len(x[0]) for x in found]))
+                buckets, cut, room = (np.concatenate(x) for x in zip(*found))
+                yield pa.record_batch([pa.array([nodes[i] for i in new[a:b]], pa.binary()).take(of), pa.array(buckets.view(np.int64)), pa.array(cut), pa.array(room)], ["node", "bucket", "cut", "room"])
+
+    return run
+
+
+def _sketched(depth: int) -> Callable:
+    def run(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        buckets = sketches(h, depth)
+        none = np.zeros(len(buckets), dtype=np.int32)
+        return buckets, none, none
 
     return run
 
@@ -196,9 +233,12 @@ def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """members of buckets that two texts or more share, with the bucket's size n."""
-    sizes, sizes_path = materialise(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
-    out = materialise(members.join(sizes, "bucket").select("bucket", "node", "n"), "met")
+    """members of buckets that two texts or more share, with the bucket's size n; without members that left out too much for any other."""
+    by_cut = [F.count_if(F.col("cut") == d).alias(f"n{d}") for d in range(MOST_LEFT_OUT + 1)]
+    sizes = members.groupBy("bucket").agg((F.max("room") - F.min("cut")).alias("most_cut"), *by_cut)
+    n = sum((F.when(F.col("most_cut") >= d, F.col(f"n{d}")).otherwise(0) for d in range(MOST_LEFT_OUT + 1)), F.lit(0))
+    sizes, sizes_path = materialise(sizes.select("bucket", "most_cut", n.alias("n")).filter("n > 1"), "sizes")
+    out = materialise(members.join(sizes, "bucket").filter("cut <= most_cut").select("bucket", "node", "cut", "room", "n"), "met")
     for old in (path, sizes_path):
         delete_quietly(members.sparkSession, old)
     return out
@@ -207,39 +247,41 @@ def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
 def _all_pairs(met: DataFrame, most: int) -> DataFrame:
     """Every pair of each bucket of so many members at most."""
     small = met.filter(F.col("n") <= most)
-    return small.select("bucket", F.col("node").alias("a")).join(small.select("bucket", F.col("node").alias("b")), "bucket").filter("a < b").select("a", "b").distinct()
+    a, b = small.select("bucket", "room", F.col("node").alias("a"), F.col("cut").alias("a_cut")), small.select("bucket", F.col("node").alias("b"), F.col("cut").alias("b_cut"))
+    return a.join(b, "bucket").filter("a < b and a_cut + b_cut <= room").select("a", "b").distinct()
 
 
 def near_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between different texts of texts (node, text), enough to connect what near-duplicates connect."""
     spark = texts.sparkSession
 
-    def members_of(source: DataFrame, depth: int) -> tuple[DataFrame, str]:
-        return materialise(source.mapInArrow(_sketcher(depth), "node binary, bucket long").distinct(), "sketches")
+    def members_of(source: DataFrame, of_text: Callable) -> DataFrame:
+        return source.mapInArrow(_sketcher(of_text), "node binary, bucket long, cut int, room int").distinct()
 
-    met, met_path = _met(*members_of(texts, 0))
+    met, met_path = _met(*materialise(members_of(texts, _sketched(0)), "sketches"))
     pairs, pairs_path = materialise(_all_pairs(met, ALL_PAIRS), "pairs")
     total = _linked(pairs, pairs_path, texts)
     crowded, crowded_path = materialise(met.filter(F.col("n") > ALL_PAIRS).select("node").distinct(), "crowded")
     for old in (met_path, pairs_path):
         delete_quietly(spark, old)
-    if crowded.isEmpty():
-        return total
-    members, path = members_of(checked_join(texts, crowded, crowded_path, "node", "left_semi"), 1)
+    # Short texts meet by subsets of their shingles, crowded or not; the others of crowds get more and sharper sketches.
+    deep = members_of(checked_join(texts, crowded, crowded_path, "node", "left_semi"), _sketched(1))
+    members, path = materialise(members_of(texts, subsets).unionByName(deep), "sketches")
     most = ALL_PAIRS
     while True:
         met, met_path = _met(members, path)
         large = met.filter(F.col("n") > most)
         # The leader of a bucket is its member that shares most large buckets with others: the nearest to what all derive from.
+        # Of short texts it is one that left out least, so that it may match all others.
         degree, degree_path = materialise(large.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
-        leader = large.join(degree, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
+        leader = large.join(degree, "node").groupBy("bucket").agg(F.min(F.struct("cut", -F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
         leader, leader_path = materialise(leader, "leaders")
-        led = large.join(leader, "bucket").filter("node != leader").select("bucket", "node", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        led = large.join(leader, "bucket").filter("node != leader").select("bucket", "node", "cut", "room", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         led, led_path = materialise(led, "led")
         pairs, pairs_path = materialise(_all_pairs(met, most).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
         total = total.unionByName(_linked(pairs, pairs_path, texts))
         # What a leader doesn't match goes on among itself.
-        members, path = materialise(led.join(total, ["a", "b"], "left_anti").select("node", "bucket"), "sketches")
+        members, path = materialise(led.join(total, ["a", "b"], "left_anti").select("node", "bucket", "cut", "room"), "sketches")
         for old in (met_path, degree_path, leader_path, led_path, pairs_path):
             delete_quietly(spark, old)
         if members.isEmpty():

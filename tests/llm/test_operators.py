@@ -434,3 +434,34 @@ def test_word_hashes_tell_words_apart():
     h = w.hashes()
     assert w.counts.tolist() == [3, 0, 0, 2, 2] and h[0] == h[2] and len(set(h.tolist())) == 6
     assert [w.word(i) for i in range(3)] == [b"a", b"b", b"a"] and quality.BITS == 20
+
+
+def classes_of(spark, texts):
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return got, {i: c for (i, _), c in near_classes(rows).items()}
+
+
+def test_short_near_copies_meet(spark):
+    """Texts of few shingles, alone and in crowds: pairs of 8/9, 11/12 and 12/14 words, and lines that a common one is 0.875 similar to."""
+    r = random.Random(4)
+    texts = []
+    for a, b, crowd in ((8, 9, 0), (11, 12, 0), (12, 14, 0), (8, 9, 30), (11, 12, 30), (12, 14, 30)):
+        line = data.prose(r, b).split()
+        texts += [" ".join(line[:a]), " ".join(line)] + [" ".join(line[:a]) + f" x{i} y{i}" + (" z" * (i % 5)) for i in range(crowd)]
+    line = data.prose(r, 11)
+    texts += [f"{line} w{i}" for i in range(40)] + [line]
+    got, want = classes_of(spark, texts)
+    assert got == want
+
+
+def test_subsets_meet_exactly():
+    r = random.Random(6)
+    for _ in range(300):
+        a = [f"w{i}" for i in range(r.randrange(5, 19))]
+        b = a[r.randrange(3) : len(a) - r.randrange(3)] + [f"v{i}" for i in range(r.randrange(3))]
+        x, y = ([dict(zip(v[0].tolist(), zip(v[1].tolist(), v[2].tolist())))] for v in (order_minhash.subsets(textnum.Words([" ".join(t).encode()], textnum.SPACE).hashes()) for t in (a, b)))
+        met = any(x[0][k][0] + y[0][k][0] <= x[0][k][1] for k in x[0].keys() & y[0].keys())
+        p, q = shingles(" ".join(a)), shingles(" ".join(b))
+        if max(len(p), len(q)) <= order_minhash.SHORT:
+            assert met == (len(p & q) >= 0.8 * len(p | q))
