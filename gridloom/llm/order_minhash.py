@@ -9,8 +9,10 @@ k-mers in order meet at least once with probability 1 - (1 - 0.8^5)^24 > 0.9999,
 Buckets of up to ``ALL_PAIRS`` texts are compared in full. Texts of larger buckets get a second, sharper set of sketches (``DEEP``:
 longer tuples, more of them), which part texts that are merely related and still miss a pair of similarity 0.8 with a chance of
 less than 1 in 1,000. A bucket that is large even so is compared with a leader, the member that shares most such buckets, which
-settles what derives from one text with few edits; members that don't match it, mostly those with too many edits to match any
-other, form the bucket's next round, in which buckets up to four times as large are compared in full. Nothing is capped.
+settles what derives from one text with few edits. Members that don't match it are compared with those that do, unless their
+distances to the leader rule that out (the Jaccard distance is a metric), and form the bucket's next round among themselves, in
+which buckets up to four times as large are compared in full. So every pair of a bucket is compared, ruled out, or linked through
+the leader. Nothing is capped.
 A candidate pair is linked if its sets of 5-word shingles have a Jaccard similarity of ``SIMILARITY``
 or more and banded alignment confirms that its words differ in at most 1 - SIMILARITY of the longer text's length.
 Groups are the connected components of the links.
@@ -46,6 +48,8 @@ ALL_PAIRS = 16
 #: Groups of scan tasks among which copies of a text are put together first.
 PARTS = 64
 SIMILARITY = 0.8
+#: What is farther from a leader can't be similar to what the leader matches.
+FAR = 2 * (1 - SIMILARITY)
 #: Texts of so many distinct k-mers at most meet by subsets of these; those of ONLY_SHORT at most have no near-duplicate beyond SHORT, hence no sketch.
 SHORT, ONLY_SHORT = 14, 11
 #: For each number of distinct k-mers: how many and which a bucket leaves out, a fourth of what stays at most (s of s + d is 0.8 or more up to there).
@@ -189,16 +193,18 @@ def _banded(a: list[int], b: list[int], k: int) -> int:
     return d
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two texts, as word hashes, are near-duplicates."""
+def compare(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[float, bool]:
+    """Jaccard distance of two texts, as word hashes, and whether they are near-duplicates; 1 if sizes alone put it beyond FAR."""
     x, y = np.unique(kmers(a)), np.unique(kmers(b))
-    if min(len(x), len(y)) < least * max(len(x), len(y)):
-        return False
+    if min(len(x), len(y)) < (1 - FAR) * max(len(x), len(y)) - 1e-9:
+        return 1.0, False
     shared = len(np.intersect1d(x, y, assume_unique=True))
-    if shared < least * (len(x) + len(y) - shared) - 1e-9:
-        return False
+    union = len(x) + len(y) - shared
+    far = 1 - shared / union
+    if shared < least * union - 1e-9:
+        return far, False
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
-    return edit_distance(a, b, most) <= most
+    return far, edit_distance(a, b, most) <= most
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +213,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         a, b = batch.column("a_packed").to_pylist(), batch.column("b_packed").to_pylist()
-        keep = np.zeros(batch.num_rows, dtype=bool)
+        far, near = np.ones(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
         # By size when unpacked: a text that repeats itself may be a thousand times smaller packed.
         for i, j in slices([zstandard.frame_content_size(x) + zstandard.frame_content_size(y) for x, y in zip(a, b)], 1 << 20):
             words = textnum.Words([unpack(t) for pair in zip(a[i:j], b[i:j]) for t in pair], textnum.SPACE)
             h, f = words.hashes(), words.first
             for r in range(j - i):
-                keep[i + r] = similar(h[f[2 * r] : f[2 * r + 1]], h[f[2 * r + 1] : f[2 * r + 2]])
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+                far[i + r], near[i + r] = compare(h[f[2 * r] : f[2 * r + 1]], h[f[2 * r + 1] : f[2 * r + 2]])
+        out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(far), pa.array(near)], ["a", "b", "far", "near"])
+        yield out.filter(pa.array(near | (far <= FAR + 1e-9)))
 
 
 def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near-duplicates; texts has (node, text)."""
+    """(a, b, far, near) of the pairs not farther than FAR; near: whether they are near-duplicates. texts has (node, text)."""
     wanted, wanted_path = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
     needed = checked_join(texts, wanted, wanted_path, "node", "left_semi")
     # A text comes once from each scan task that met it: put together in two steps, so that no task gets all of these.
@@ -226,7 +233,7 @@ def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
     once = met.groupBy("node", "part").agg(F.first("packed").alias("packed")).groupBy("node").agg(F.first("packed").alias("packed"))
     packed, packed_path = materialise(once, "texts")
     a, b = packed.toDF("a", "a_packed"), packed.toDF("b", "b_packed")
-    links, _ = materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_verify, "a binary, b binary"), "links")
+    links, _ = materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_verify, "a binary, b binary, far double, near boolean"), "links")
     for path in (wanted_path, packed_path):
         delete_quietly(pairs.sparkSession, path)
     return links
@@ -260,7 +267,7 @@ def near_links(texts: DataFrame) -> DataFrame:
 
     met, met_path = _met(*materialise(members_of(texts, _sketched(0)), "sketches"))
     pairs, pairs_path = materialise(_all_pairs(met, ALL_PAIRS), "pairs")
-    total = _linked(pairs, pairs_path, texts)
+    total = _linked(pairs, pairs_path, texts).filter("near")
     crowded, crowded_path = materialise(met.filter(F.col("n") > ALL_PAIRS).select("node").distinct(), "crowded")
     for old in (met_path, pairs_path):
         delete_quietly(spark, old)
@@ -279,10 +286,19 @@ def near_links(texts: DataFrame) -> DataFrame:
         led = large.join(leader, "bucket").filter("node != leader").select("bucket", "node", "cut", "room", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         led, led_path = materialise(led, "led")
         pairs, pairs_path = materialise(_all_pairs(met, most).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
-        total = total.unionByName(_linked(pairs, pairs_path, texts))
-        # What a leader doesn't match goes on among itself.
-        members, path = materialise(led.join(total, ["a", "b"], "left_anti").select("node", "bucket", "cut", "room"), "sketches")
-        for old in (met_path, degree_path, leader_path, led_path, pairs_path):
+        seen = _linked(pairs, pairs_path, texts)
+        judged = led.select("node", F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a")).alias("leader"), "a", "b").distinct()
+        judged, judged_path = materialise(judged.join(total.unionByName(seen), ["a", "b"]).select("leader", "node", "far", "near"), "judged")
+        total = led_links = total.unionByName(seen.filter("near"))
+        # What a leader doesn't match may match what it does: at a distance to the leader of at most 1 - SIMILARITY more.
+        out_of, within = judged.filter("not near").select("leader", F.col("node").alias("u"), F.col("far").alias("u_far")), judged.filter("near").select("leader", F.col("node").alias("m"), F.col("far").alias("m_far"))
+        across = out_of.join(within, "leader").filter(F.col("u_far") <= F.col("m_far") + (1 - SIMILARITY) + 1e-9).select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct()
+        across, across_path = materialise(across.join(total, ["a", "b"], "left_anti"), "across")
+        if not across.isEmpty():
+            total = total.unionByName(_linked(across, across_path, texts).filter("near"))
+        # And it goes on among itself: by the links that were judged above, not by those just found.
+        members, path = materialise(led.join(led_links, ["a", "b"], "left_anti").select("node", "bucket", "cut", "room"), "sketches")
+        for old in (met_path, degree_path, leader_path, led_path, pairs_path, judged_path, across_path):
             delete_quietly(spark, old)
         if members.isEmpty():
             delete_quietly(spark, path)

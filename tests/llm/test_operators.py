@@ -465,3 +465,12 @@ def test_subsets_meet_exactly():
         p, q = shingles(" ".join(a)), shingles(" ".join(b))
         if max(len(p), len(q)) <= order_minhash.SHORT:
             assert met == (len(p & q) >= 0.8 * len(p | q))
+
+
+def test_what_a_leader_leaves_meets_what_it_matches(spark):
+    """A text that is similar to a member of its large buckets and not to their leader."""
+    r = random.Random(3)
+    base = data.prose(r, 120).split()
+    texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate([*range(100, 120)] * 2)]
+    got, want = classes_of(spark, [" ".join(base[:96]), " ".join(base[:119]), " ".join(base), *texts])
+    assert got == want and set(want.values()) == {0}
