@@ -6,10 +6,14 @@ A document's sampling probability is its weight times one scale, 1 at most; the
 stay in expectation. Cells that would need more than they have stay whole, and the others make up for it. A document stays if a
 hash of its id falls below its probability.
 
+``every_source`` gives each source that occurs a target of its own: those that a target names keep it, and the target of REST is
+dealt over all others, null too, by the power ``TEMPER`` of their tokens. The pipeline mixes by that; the targets as they are, with one
+source named, are what the SQL of op9 says.
+
 Categories that a target doesn't name share the target of ``REST``. A target for a category without tokens is dropped and
 the others are scaled up. Null sources and languages count as REST, null texts have no tokens; documents of cells without
 tokens stay. Rows with equal doc_id share their fate. The table of cells has one row for each combination of named
-categories, whatever the input's size.
+categories, whatever the input's size; with every source, for each combination of a source with these.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ TARGETS = {
     "lang": {"en": 0.62, "de": 0.13, "fr": 0.13, "es": 0.1, REST: 0.02},
     "topic": {"prose": 0.85, "contact": 0.07, "legal": 0.04, "table": 0.04},
 }
+TEMPER = 0.5
 SEED = "mix-1"
 
 
@@ -49,6 +54,20 @@ def cells(documents: DataFrame, targets: dict = TARGETS) -> DataFrame:
     return out.withColumns({f"cell_{d}": _named(d, targets) for d in DIMENSIONS})
 
 
+def every_source(documents: DataFrame, targets: dict = TARGETS) -> dict:
+    """targets with a share for each source that has tokens; null sources stay REST. A source of the name REST counts as null."""
+    named = targets["source"]
+    totals = {r.source: r.n for r in documents.groupBy("source").agg(F.sum(n_tokens(F.col("text"))).alias("n")).collect() if r.n}
+    others: dict[str, float] = {}
+    for source, n in totals.items():
+        c = REST if source is None else source
+        if c == REST or c not in named:
+            others[c] = others.get(c, 0.0) + n
+    weight = {c: n**TEMPER for c, n in others.items()}
+    rest = named.get(REST, 0.0) / sum(weight.values()) if weight else 0.0
+    return {**targets, "source": {c: v for c, v in named.items() if c != REST} | {c: v * rest for c, v in weight.items()}}
+
+
 def rake(tokens: dict[tuple[str, ...], float], targets: dict = TARGETS, iterations: int = ITERATIONS) -> dict[tuple[str, ...], float]:
     """The factor of each cell that has tokens."""
     mass = {k: float(v) for k, v in tokens.items() if v}
@@ -77,8 +96,9 @@ def calibrate(factors: dict[tuple[str, ...], float], tokens: dict[tuple[str, ...
     return {k: min(1.0, f * scale) if f else 0.0 for k, f in factors.items()}
 
 
-def probabilities(documents: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataFrame:
-    """cells(documents) with each document's sampling probability."""
+def probabilities(documents: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
+    """cells(documents) with each document's sampling probability; by every_source unless targets are given."""
+    targets = every_source(documents) if targets is None else targets
     keys = [f"cell_{d}" for d in DIMENSIONS]
     mixed = cells(documents, targets)
     tokens = {tuple(r[k] for k in keys): r.n for r in mixed.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).collect()}  # named categories only
@@ -93,12 +113,12 @@ def chance(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def sample(documents: DataFrame, targets: dict = TARGETS, seed: str = SEED) -> DataFrame:
+def sample(documents: DataFrame, targets: dict | None = TARGETS, seed: str = SEED) -> DataFrame:
     """The sampled documents, with the columns that probabilities() adds."""
     return probabilities(documents, targets).filter(chance(F.col("doc_id"), seed) < F.col("probability"))
 
 
-def mix(documents: DataFrame, targets: dict = TARGETS, seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, targets: dict | None = TARGETS, seed: str = SEED) -> DataFrame:
     """The sampled documents with their own columns only."""
     columns = documents.columns
     inner = documents.select(F.struct(*columns).alias("row"), "doc_id", "text", "source", "lang")

@@ -474,3 +474,20 @@ def test_what_a_leader_leaves_meets_what_it_matches(spark):
     texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate([*range(100, 120)] * 2)]
     got, want = classes_of(spark, [" ".join(base[:96]), " ".join(base[:119]), " ".join(base), *texts])
     assert got == want and set(want.values()) == {0}
+
+
+def test_every_source_meets_its_target(spark):
+    """A source ten times too big and one too small, a null one and the named one: weighted tokens meet each one's target."""
+    sizes = {"src0": 200, "src1": 1000, "src2": 10, "src3": 100, None: 50}
+    rows = [(i, " ".join(["w"] * n), ("en", "de", "fr", "es")[i % 4], s) for s, n in sizes.items() for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = mixing.every_source(df)
+    want = targets["source"]
+    assert set(want) == {"src0", "src1", "src2", "src3", mixing.REST} and abs(sum(want.values()) - 1) < 1e-9 and want["src0"] == mixing.TARGETS["source"]["src0"]
+    tokens = Counter()
+    for r in mixing.cells(df, targets).collect():
+        tokens[r.cell_source, r.cell_lang, r.cell_topic] += r.n_tokens
+    f = mixing.rake(tokens, targets)
+    for c, share in want.items():
+        assert abs(sum(f[k] * v for k, v in tokens.items() if k[0] == c) / sum(tokens.values()) - share) < 1e-4
+    assert {r.cell_source for r in mixing.probabilities(df).collect()} == set(want)
