@@ -280,6 +280,9 @@ def repeats(named: DataFrame) -> tuple[DataFrame, str]:
     """(id, version, runs) of the words to remove from documents that aren't copies."""
     spark = named.sparkSession
     texts = named.filter(~F.col("copy")).select("id", "version", "text")
+    # Rows that agree in id and text are one: each would be joined with the runs of all. Put in order, see _attach.
+    if not texts.groupBy("id", "version").count().filter("count > 1").limit(1).isEmpty():
+        texts = texts.dropDuplicates(["id", "version"]).sortWithinPartitions("id", "version")
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = max(8, (int(size) // _BUCKET_BYTES).bit_length())
     hits, hits_path = _exchange(texts, _anchors(bits), _probe, _spread(BLOCK, 0, WINDOW - 1), "hits")

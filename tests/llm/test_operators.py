@@ -491,3 +491,14 @@ def test_every_source_meets_its_target(spark):
     for c, share in want.items():
         assert abs(sum(f[k] * v for k, v in tokens.items() if k[0] == c) / sum(tokens.values()) - share) < 1e-4
     assert {r.cell_source for r in mixing.probabilities(df).collect()} == set(want)
+
+
+@pytest.mark.parametrize("copies", (2, 5))
+def test_identical_rows_stay_as_many(spark, copies):
+    """Equal rows whose passage also occurs in an earlier document come out once each, all cut alike."""
+    r = random.Random(11)
+    passage = data.prose(r, 30)
+    rows = [(1, passage + " " + data.prose(r, 10))] + [(2, data.prose(r, 10) + " " + passage)]
+    rows += [rows[1]] * (copies - 1)
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 40, 0)] + [(2, 40, 30)] * copies
