@@ -2,8 +2,8 @@
 
 A URL becomes a set of tokens (labels of its host, segments of its path with digits folded, file ending, names of query
 parameters, fragment). Token sets of labelled URLs, with one more token for those labelled bad, go through Spark's FP-growth;
-association rules that conclude "bad" are kept if their support and confidence suffice and no rule on fewer of their tokens is
-as confident. An inverted index from the rarest token of a rule to the rule finds what matches a URL.
+association rules that conclude "bad" are kept if their support and confidence suffice, they say more than the share of bad URLs
+does (lift above 1, or certain) and no rule on fewer of their tokens is as confident. An inverted index from the rarest token of a rule to the rule finds what matches a URL.
 
 Null URLs and those without ``://`` have an empty host and path, no tokens, and are allowed unless a rule says otherwise.
 """
@@ -18,8 +18,6 @@ from gridloom.llm.common import checked_join, materialise
 BAD = "=bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
-MIN_LIFT = 2.0
-MAX_TOKENS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,7 +50,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda x: ~x.endswith(":"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, index_token, confidence, support) from labelled URLs with the columns url and bad."""
     from pyspark.ml.fpm import FPGrowth
 
@@ -64,13 +62,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = (
-        model.associationRules.filter(F.array_contains("consequent", BAD) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") >= min_lift))
+        model.associationRules.filter(F.array_contains("consequent", BAD) & ((F.col("lift") > 1 + 1e-9) | (F.col("confidence") == 1)))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     )
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    # A rule goes if one on fewer of its tokens is as confident: each rule names its proper parts, and those are looked up.
-    parts = rules.select("tokens", "confidence", F.explode(F.concat(F.transform("tokens", lambda t: F.array(t)), F.transform("tokens", lambda t: F.array_remove("tokens", t)))).alias("part")).filter((F.size("part") > 0) & (F.size("part") < F.size("tokens")))
-    redundant = parts.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("simpler")), "part").filter(F.col("simpler") >= F.col("confidence")).select("tokens").distinct()
+    # A rule goes if one on fewer of its tokens is as confident: those that hold one of its tokens are looked up.
+    simpler = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("simpler"))
+    redundant = (
+        rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+        .join(simpler.withColumn("token", F.col("part")[0]), "token")
+        .filter((F.size("part") < F.size("tokens")) & (F.col("simpler") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
+        .select("tokens")
+        .distinct()
+    )
     kept = rules.join(redundant, "tokens", "left_anti")
     rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
     return kept.join(rarest, "tokens").select("tokens", F.col("rarest.token").alias("index_token"), "confidence", "support")

@@ -502,3 +502,16 @@ def test_identical_rows_stay_as_many(spark, copies):
     rows += [rows[1]] * (copies - 1)
     got = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 40, 0)] + [(2, 40, 30)] * copies
+
+
+def test_url_rules_where_most_are_bad(spark):
+    """60 % bad labels, which leave no room for a lift of 2, and a rule that needs four tokens."""
+    rows = [(i, f"http://x.net/{'ads' if i % 5 < 3 else 'news'}/{i}", i % 5 < 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    rules = urlfilter.mine(df)
+    assert [r.tokens for r in rules.collect()] == [["path:ads"]]
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df, [], rules).collect()} == {i: "block" if bad else "allow" for i, _, bad in rows}
+    parts = ["a", "b", "c", "d"]
+    rows = [(i, "http://h/" + "/".join(p for j, p in enumerate(parts) if i % 16 >> j & 1), i % 16 == 15) for i in range(160)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    assert [r.tokens for r in urlfilter.mine(df, min_confidence=0.9).collect()] == [[f"path:{p}" for p in parts]]
