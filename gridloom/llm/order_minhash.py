@@ -1,33 +1,35 @@
 """Near-duplicate detection by Order MinHash, candidates verified by banded alignment.
 
+Two texts are near-duplicates if banded alignment finds that their words differ by an edit distance of at most 1 - ``SIMILARITY`` of the
+longer text's words. Nothing else decides; groups are the connected components of such links.
+
 A text's k-mers are its runs of ``K`` words, each labelled with how often it has occurred before in the text. A sketch draws
 a random order of all labelled k-mers, takes the ``L`` smallest and keeps them in the order in which the text has them; its
-hash is a bucket. Two texts meet in a bucket with a probability that falls with their edit distance, since both what the
-k-mers are and how they follow each other must agree. With K = 5, L = 5 and ``SKETCHES`` = 24, texts that share 0.8 of their
-k-mers in order meet at least once with probability 1 - (1 - 0.8^5)^24 > 0.9999, texts that share half in one of two cases.
-
-Buckets of up to ``ALL_PAIRS`` texts are compared in full. Texts of larger buckets get a second, sharper set of sketches (``DEEP``:
-longer tuples, more of them), which part texts that are merely related and still miss a pair of similarity 0.8 with a chance of
-less than 1 in 1,000. A bucket that is large even so is compared with a leader, the member that shares most such buckets, which
-settles what derives from one text with few edits. Members that don't match it are compared with those that do, unless their
-distances to the leader rule that out (the Jaccard distance is a metric), and form the bucket's next round among themselves, in
-which buckets up to four times as large are compared in full. So every pair of a bucket is compared, ruled out, or linked through
-the leader. Nothing is capped.
-A candidate pair is linked if its sets of 5-word shingles have a Jaccard similarity of ``SIMILARITY``
-or more and banded alignment confirms that its words differ in at most 1 - SIMILARITY of the longer text's length.
-Groups are the connected components of the links.
-
-Texts of few shingles need no luck: all subsets of theirs that a near-duplicate may share are buckets too (``SHORT``), so that
-such a pair always meets, however crowded its buckets are. Those buckets say how many shingles each member left out, and only
-members that together left out few enough are compared.
-
-Equal texts are one node throughout. Null texts count as empty, and empty texts equal each other. Texts of fewer than K
-words have one k-mer, the whole text.
+hash is a bucket, and texts that meet in one are candidates. Of texts in which a share e of the words is edited at random places a share
+of (1 - e)^5 of the k-mers stays, hence they meet in a sketch with probability J^2 for J = (1 - e)^5 / (2 - (1 - e)^5), and in one of 48
+with 1.00 for e up to 0.12, 0.98 at 0.15 and 0.85 at the threshold of 0.2; groups are found by any chain of such pairs.
+
+Texts of few words need no luck: up to ``SHORT`` words all word sequences that a near-duplicate may share are buckets (deletion
+neighbourhoods), so that such a pair always meets. Texts of up to ``BRIEF`` words, of whose k-mers few edits may leave none, also get
+sketches of single words, labelled and ordered alike, ``DEEP_L`` to a sketch.
+
+Buckets are compared in two steps. First each member with the bucket's leader, the member that shares the most buckets with others; what
+that connects needs no further comparison. Then, in buckets that still hold several components, every pair across components: buckets
+of up to ``ALL_PAIRS`` texts in full; the texts of larger ones get ``DEEP_SKETCHES`` sharper sketches of ``DEEP_L`` labelled words, by which two
+texts at the threshold still meet with probability 0.99. A bucket that is large even so is compared with a leader again. What the leader
+doesn't match is compared with what it does match, unless their distances to it rule that out (bag distance, a lower bound of the
+edit distance, is a metric), and forms the bucket's next round among itself, in which buckets up to four times as large are compared
+in full. So every pair of a bucket is compared, ruled out, or connected already. Nothing is capped.
+
+Equal texts are one node throughout. Null texts count as empty, and empty texts equal each other. White space doesn't tell texts apart.
+Rows without doc_id take the class of their group's smallest id; a group without any id has a null class, and one of its rows stays.
+Repeated rows all get their class, and one of them stays. An empty table gives an empty result. Columns of any name may come along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -40,114 +42,147 @@ from gridloom.llm import textnum
 from gridloom.llm.common import checked_join, delete_quietly, materialise, packed_texts, slices, small_arrow_batches, text_bytes
 from gridloom.llm.components import components
 
-K, L, SKETCHES = 5, 5, 24
-#: Tuple length of the sketches for crowded texts, by number of distinct k-mers; the ranges overlap by more than similar texts differ.
-DEEP = ((8, 0, 75), (12, 60, 1 << 60))
-DEEP_SKETCHES = 128
+K, L, SKETCHES = 5, 2, 48
+#: Words in a sketch of single words, and how many of those crowded texts get.
+DEEP_L, DEEP_SKETCHES = 8, 128
 ALL_PAIRS = 16
 #: Groups of scan tasks among which copies of a text are put together first.
 PARTS = 64
 SIMILARITY = 0.8
-#: What is farther from a leader can't be similar to what the leader matches.
-FAR = 2 * (1 - SIMILARITY)
-#: Texts of so many distinct k-mers at most meet by subsets of these; those of ONLY_SHORT at most have no near-duplicate beyond SHORT, hence no sketch.
-SHORT, ONLY_SHORT = 14, 11
-#: For each number of distinct k-mers: how many and which a bucket leaves out, a fourth of what stays at most (s of s + d is 0.8 or more up to there).
-_LEFT_OUT = {n: [(d, np.array(list(combinations(range(n), d)), dtype=np.int64).reshape(comb(n, d), d)) for d in range(n) if 4 * d <= n - d] for n in range(1, SHORT + 1)}
-MOST_LEFT_OUT = max(d for cuts in _LEFT_OUT.values() for d, _ in cuts)
+#: Bag distance to a leader, as a share of the longer text, beyond which a text isn't similar to what the leader matches: 0.2 of a text
+#: 1.25 times as long as the leader, and 0.2 of one 1.25 times as long as that.
+FAR = (1 - SIMILARITY) * (1 / SIMILARITY + 1 / SIMILARITY**2)
+#: Texts of so many words at most meet by what deletions leave; those of ONLY_SHORT at most have no near-duplicate beyond SHORT, hence no sketch.
+SHORT, ONLY_SHORT, BRIEF = 14, 11, 60
 _ORDERS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, size=(2, SKETCHES + DEEP_SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MEMBER = "node binary, bucket long, sharp boolean"
+
 
+def most_edits(words: int) -> int:
+    return int((1 - SIMILARITY) * words + 1e-9)
 
-def _labelled(h: np.ndarray) -> np.ndarray:
+
+def labelled(h: np.ndarray) -> np.ndarray:
     """h with the number of earlier equal values mixed in."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    if len(begin) == len(h):
+    s = np.sort(h)
+    repeated = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(repeated):
         return h
-    nth = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
-    out = np.empty_like(h)
-    out[order] = s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero(repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h)
+    at = at[np.argsort(h[at], kind="stable")]
+    s = h[at]
+    begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    nth = np.arange(len(s)) - np.repeat(begin, np.diff(np.append(begin, len(s))))
+    out = h.copy()
+    out[at] += nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return out
 
 
-def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
-    return textnum.windows(h, min(k, len(h))) if len(h) else np.zeros(1, dtype=np.uint64)
+def _sketch_hash(order: np.ndarray, parts: Iterator[np.ndarray], kind: int) -> np.ndarray:
+    out = (order.astype(np.uint64) + np.uint64(kind << 20)) * np.uint64(0xD6E8FEB86659FD93)
+    for g in parts:
+        out = textnum.mix(out * np.uint64(0x9E3779B97F4A7C15) + g)
+    return out
 
 
-def sketches(h: np.ndarray, depth: int = 0) -> np.ndarray:
-    """The buckets of a text with word hashes h; none if subsets of its k-mers find all its near-duplicates."""
-    if len(np.unique(kmers(h)[: len(h)])) <= ONLY_SHORT:
-        return np.empty(0, dtype=np.uint64)
-    g = textnum.mix(_labelled(kmers(h)).copy())
-    if depth == 0:
-        return _sketches(g, L, slice(0, SKETCHES))
-    # Crowded texts: first occurrences only, or a line that many texts repeat many times would still bring them together.
-    first = np.sort(np.unique(kmers(h), return_index=True)[1])
-    g, parts = textnum.mix(kmers(h)[first]), []
-    for size, low, high in DEEP:
-        if low <= len(g) <= high:
-            parts.append(_sketches(g, size, slice(SKETCHES, SKETCHES + DEEP_SKETCHES), size))
-    return np.concatenate(parts)
-
-
-def subsets(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, left out, room) of a text with few distinct k-mers: two texts are similar by shingles if, in a bucket, they left out room together at most."""
-    x = textnum.mix(np.unique(kmers(h)))
-    if len(x) > SHORT:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
-    total, buckets, cut, room = x.sum(), [], [], []
-    for d, which in _LEFT_OUT[len(x)]:
-        stay = len(x) - d
-        buckets.append(textnum.mix(total - x[which].sum(1, dtype=np.uint64) + np.uint64(stay << 40)))
-        cut.append(np.full(len(which), d, dtype=np.int32))
-        room.append(np.full(len(which), stay // 4, dtype=np.int32))
-    return np.concatenate(buckets), np.concatenate(cut), np.concatenate(room)
-
-
-def _sketches(g: np.ndarray, size: int, orders: slice, salt: int = 0) -> np.ndarray:
+def sketches(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, text of each) of all texts with more than ONLY_SHORT words; text t has the word hashes h[first[t]:first[t + 1]]."""
+    n = np.diff(first)
+    long = np.flatnonzero(n > ONLY_SHORT)
+    if not len(long):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    sizes = n[long] - K + 1
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    text = np.repeat(np.arange(len(long)), sizes)
+    at = np.arange(begin[-1]) - begin[text] + first[long][text]
+    # A label counts within its text, so a text's number goes into what is counted and out again.
+    own = textnum.mix(np.arange(1, len(long) + 1, dtype=np.uint64))[text]
+    g = textnum.mix((labelled(textnum.windows(h, K)[at] + own) - own).copy())
+    low = np.uint64((1 << max(20, len(g).bit_length())) - 1)
+    place, rank = np.arange(len(g), dtype=np.uint64), np.empty(len(g), dtype=np.uint64)
+    buckets = np.empty((SKETCHES, len(long)), dtype=np.uint64)
+    for i in range(SKETCHES):
+        np.bitwise_xor(g, _ORDERS[0][i], out=rank)
+        np.multiply(rank, _ORDERS[1][i], out=rank)
+        np.bitwise_or(rank, low, out=rank)
+        np.subtract(rank, place, out=rank)  # the smallest rank tells its place
+        smallest = []
+        for _ in range(L):
+            found = (low - (np.minimum.reduceat(rank, begin[:-1]) & low)).astype(np.int64)
+            rank[found] = np.uint64(2**64 - 1)
+            smallest.append(found)
+        buckets[i] = _sketch_hash(np.array([i]), (g[x] for x in np.sort(smallest, axis=0)), 0)  # text order
+    return buckets.T.ravel(), np.repeat(long, SKETCHES)
+
+
+def word_sketches(h: np.ndarray, orders: slice) -> np.ndarray:
+    """Buckets of one text by DEEP_L of its labelled words each."""
+    g = textnum.mix(labelled(h).copy())
     ranks = (g[None, :] ^ _ORDERS[0][orders, None]) * _ORDERS[1][orders, None]
-    ranks ^= ranks >> np.uint64(29)
-    take = min(size, len(g))
+    take = min(DEEP_L, len(g))
     if take < len(g):
-        at = np.argpartition(ranks, take - 1, axis=1)[:, :take]
+        at = np.sort(np.argpartition(ranks, take - 1, axis=1)[:, :take], axis=1)  # text order
     else:
         at = np.broadcast_to(np.arange(take), (len(ranks), take))
-    at = np.sort(at, axis=1)  # text order
-    out = (np.arange(orders.start, orders.stop, dtype=np.uint64) + np.uint64(salt << 20)) * np.uint64(0xD6E8FEB86659FD93)
-    for j in range(take):
-        out = textnum.mix(out * np.uint64(0x9E3779B97F4A7C15) + g[at[:, j]])
-    return out
+    return _sketch_hash(np.arange(orders.start, orders.stop), (g[at[:, j]] for j in range(take)), DEEP_L)
 
 
-def _sketcher(of_text: Callable):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, bucket, cut, room) of each distinct text; a text that this task has seen isn't sketched again."""
-        seen: set[bytes] = set()
-        for batch in batches:
-            nodes = batch.column("node").to_pylist()
-            new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
-            if len(seen) > 500_000:
-                seen.clear()
-            texts = text_bytes(batch.column("text").take(pa.array(new, pa.int64())))
-            for a, b in slices([len(t) for t in texts], 1 << 20):
-                words = textnum.Words(texts[a:b], textnum.SPACE)
-                h, first = words.hashes(), words.first
-                found = [of_text(h[first[i] : first[i + 1]]) for i in range(b - a)]
-                of = pa.array(np.repeat(np.arange(b - a), [len(x[0]) for x in found]))
-                buckets, cut, room = (np.concatenate(x) for x in zip(*found))
-                yield pa.record_batch([pa.array([nodes[i] for i in new[a:b]], pa.binary()).take(of), pa.array(buckets.view(np.int64)), pa.array(cut), pa.array(room)], ["node", "bucket", "cut", "room"])
+@cache
+def _stay(n: int) -> list[np.ndarray]:
+    """For each length that a text of n words may share with a near-duplicate: which words stay."""
+    lengths = {m - most_edits(m) for m in range(n, int(n / SIMILARITY + 1e-9) + 1)}
+    return [np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(comb(n, k), k) for k in sorted(lengths) if k <= n]
 
-    return run
 
+def neighbourhood(h: np.ndarray) -> np.ndarray:
+    """Buckets of a text of few words: two such texts with few enough edits share one, as their longest common sequence has one."""
+    if len(h) > SHORT:
+        return np.empty(0, dtype=np.uint64)
+    out = [textnum.mix(_sketch_hash(np.full(len(at), at.shape[1]), (h[x] for x in at.T), 99)) for at in _stay(len(h))]
+    return np.unique(np.concatenate(out))
 
-def _sketched(depth: int) -> Callable:
-    def run(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        buckets = sketches(h, depth)
-        none = np.zeros(len(buckets), dtype=np.int32)
-        return buckets, none, none
 
-    return run
+def _first_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bucket, sharp) of each distinct text; a text that this task has seen isn't sketched again."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        nodes = batch.column("node").to_pylist()
+        new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+        if len(seen) > 500_000:
+            seen.clear()
+        texts = text_bytes(batch.column("text").take(pa.array(new, pa.int64())))
+        for a, b in slices([len(t) for t in texts], 1 << 20):
+            words = textnum.Words(texts[a:b], textnum.SPACE)
+            h, first = words.hashes(), words.first
+            buckets, of = sketches(h, first)
+            more: list[tuple[np.ndarray, int, bool]] = []
+            for i in np.flatnonzero(words.counts <= BRIEF).tolist():
+                x = h[first[i] : first[i + 1]]
+                if len(x) <= SHORT:
+                    more.append((neighbourhood(x), i, True))
+                if len(x) > ONLY_SHORT:
+                    more.append((word_sketches(x, slice(0, SKETCHES)), i, False))
+            n = [len(x) for x, _, _ in more]
+            buckets = np.concatenate([buckets, *(x for x, _, _ in more)])
+            of = np.concatenate([of, np.repeat(np.array([i for _, i, _ in more], dtype=np.int64), n)])
+            sharp = np.concatenate([np.zeros(len(of) - sum(n), dtype=bool), np.repeat(np.array([x for _, _, x in more], dtype=bool), n)])
+            yield pa.record_batch([pa.array([nodes[i] for i in new[a:b]], pa.binary()).take(pa.array(of)), pa.array(buckets.view(np.int64)), pa.array(sharp)], ["node", "bucket", "sharp"])
+
+
+def _deep_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bucket, part) of crowded texts (node, packed, part)."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        nodes, packed, parts = (batch.column(c) for c in ("node", "packed", "part"))
+        raw = packed.to_pylist()
+        for a, b in slices([zstandard.frame_content_size(x) for x in raw], 1 << 20):
+            words = textnum.Words([unpack(x) for x in raw[a:b]], textnum.SPACE)
+            h, first = words.hashes(), words.first
+            buckets = np.concatenate([word_sketches(h[first[i] : first[i + 1]], slice(SKETCHES, SKETCHES + DEEP_SKETCHES)) for i in range(b - a)])
+            of = pa.array(np.repeat(np.arange(a, b), DEEP_SKETCHES))
+            yield pa.record_batch([nodes.take(of), pa.array(buckets.view(np.int64)), parts.take(of)], ["node", "bucket", "part"])
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -193,18 +228,11 @@ def _banded(a: list[int], b: list[int], k: int) -> int:
     return d
 
 
-def compare(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> tuple[float, bool]:
-    """Jaccard distance of two texts, as word hashes, and whether they are near-duplicates; 1 if sizes alone put it beyond FAR."""
-    x, y = np.unique(kmers(a)), np.unique(kmers(b))
-    if min(len(x), len(y)) < (1 - FAR) * max(len(x), len(y)) - 1e-9:
-        return 1.0, False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    union = len(x) + len(y) - shared
-    far = 1 - shared / union
-    if shared < least * union - 1e-9:
-        return far, False
-    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
-    return far, edit_distance(a, b, most) <= most
+def compare(a: np.ndarray, b: np.ndarray, a_bag: np.ndarray, b_bag: np.ndarray, align: bool = True) -> tuple[int, bool]:
+    """(bag distance, near-duplicates) of two texts, as word hashes and labelled word hashes. Bag distance bounds edit distance from below."""
+    bag = max(len(a), len(b)) - len(np.intersect1d(a_bag, b_bag, assume_unique=True))
+    most = most_edits(max(len(a), len(b)))
+    return bag, align and bag <= most and edit_distance(a, b, most) <= most
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,98 +240,119 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        a, b = batch.column("a_packed").to_pylist(), batch.column("b_packed").to_pylist()
-        far, near = np.ones(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
+        a, b, align = (batch.column(c).to_pylist() for c in ("a_packed", "b_packed", "align"))
+        bag, near = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=bool)
+        n = np.zeros((2, batch.num_rows), dtype=np.int64)
         # By size when unpacked: a text that repeats itself may be a thousand times smaller packed.
         for i, j in slices([zstandard.frame_content_size(x) + zstandard.frame_content_size(y) for x, y in zip(a, b)], 1 << 20):
-            words = textnum.Words([unpack(t) for pair in zip(a[i:j], b[i:j]) for t in pair], textnum.SPACE)
+            at: dict[bytes, int] = {}  # one text often comes in many pairs
+            places = [(at.setdefault(x, len(at)), at.setdefault(y, len(at))) for x, y in zip(a[i:j], b[i:j])]
+            words = textnum.Words([unpack(x) for x in at], textnum.SPACE)
             h, f = words.hashes(), words.first
-            for r in range(j - i):
-                far[i + r], near[i + r] = compare(h[f[2 * r] : f[2 * r + 1]], h[f[2 * r + 1] : f[2 * r + 2]])
-        out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(far), pa.array(near)], ["a", "b", "far", "near"])
-        yield out.filter(pa.array(near | (far <= FAR + 1e-9)))
-
-
-def _linked(pairs: DataFrame, pairs_path: str, texts: DataFrame) -> DataFrame:
-    """(a, b, far, near) of the pairs not farther than FAR; near: whether they are near-duplicates. texts has (node, text)."""
-    wanted, wanted_path = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
-    needed = checked_join(texts, wanted, wanted_path, "node", "left_semi")
-    # A text comes once from each scan task that met it: put together in two steps, so that no task gets all of these.
-    met = packed_texts(needed, "node").withColumn("part", F.spark_partition_id() % PARTS)
-    once = met.groupBy("node", "part").agg(F.first("packed").alias("packed")).groupBy("node").agg(F.first("packed").alias("packed"))
-    packed, packed_path = materialise(once, "texts")
-    a, b = packed.toDF("a", "a_packed"), packed.toDF("b", "b_packed")
-    links, _ = materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_verify, "a binary, b binary, far double, near boolean"), "links")
-    for path in (wanted_path, packed_path):
-        delete_quietly(pairs.sparkSession, path)
-    return links
+            texts = [h[f[t] : f[t + 1]] for t in range(len(at))]
+            bags = [labelled(x) for x in texts]
+            for r, (x, y) in enumerate(places, i):
+                n[:, r] = len(texts[x]), len(texts[y])
+                bag[r], near[r] = compare(texts[x], texts[y], bags[x], bags[y], align[r])
+        columns = [batch.column("a"), batch.column("b"), pa.array(bag), *map(pa.array, n), pa.array(near)]
+        out = pa.record_batch(columns, ["a", "b", "bag", "a_n", "b_n", "near"])
+        yield out.filter(pa.array(near | (bag <= FAR * n.max(axis=0) + 1e-9)))
+
+
+def _judged(pairs: DataFrame, held: DataFrame) -> tuple[DataFrame, str]:
+    """(a, b, bag, a_n, b_n, near) of pairs (a, b, align) not too far apart; held has (node, packed). Pairs not to be aligned get no near."""
+    a, b = held.toDF("a", "a_packed"), held.toDF("b", "b_packed")
+    return materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_verify, "a binary, b binary, bag long, a_n long, b_n long, near boolean"), "judged")
+
+
+def _shared(rows: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """Rows (bucket, node, part, ...) of buckets that several components (part) share, repeated ones once."""
+    buckets, buckets_path = materialise(rows.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("bucket"), "buckets")
+    out = materialise(rows.join(buckets, "bucket").distinct(), "members")
+    for old in (path, buckets_path):
+        delete_quietly(rows.sparkSession, old)
+    return out
 
 
 def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """members of buckets that two texts or more share, with the bucket's size n; without members that left out too much for any other."""
-    by_cut = [F.count_if(F.col("cut") == d).alias(f"n{d}") for d in range(MOST_LEFT_OUT + 1)]
-    sizes = members.groupBy("bucket").agg((F.max("room") - F.min("cut")).alias("most_cut"), *by_cut)
-    n = sum((F.when(F.col("most_cut") >= d, F.col(f"n{d}")).otherwise(0) for d in range(MOST_LEFT_OUT + 1)), F.lit(0))
-    sizes, sizes_path = materialise(sizes.select("bucket", "most_cut", n.alias("n")).filter("n > 1"), "sizes")
-    out = materialise(members.join(sizes, "bucket").filter("cut <= most_cut").select("bucket", "node", "cut", "room", "n"), "met")
-    for old in (path, sizes_path):
+    """members with their bucket's size n and its leader: the member that is in most buckets with others."""
+    degree, degree_path = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    ranked = members.join(degree, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node", "part")).alias("top"))
+    ranked, ranked_path = materialise(ranked.select("bucket", "n", F.col("top.node").alias("leader"), F.col("top.part").alias("leader_part")), "leaders")
+    out = materialise(members.join(ranked, "bucket"), "met")
+    for old in (path, degree_path, ranked_path):
         delete_quietly(members.sparkSession, old)
     return out
 
 
-def _all_pairs(met: DataFrame, most: int) -> DataFrame:
-    """Every pair of each bucket of so many members at most."""
+def _across(met: DataFrame, most: int) -> DataFrame:
+    """Every pair across components of each bucket of so many members at most."""
     small = met.filter(F.col("n") <= most)
-    a, b = small.select("bucket", "room", F.col("node").alias("a"), F.col("cut").alias("a_cut")), small.select("bucket", F.col("node").alias("b"), F.col("cut").alias("b_cut"))
-    return a.join(b, "bucket").filter("a < b and a_cut + b_cut <= room").select("a", "b").distinct()
+    a, b = (small.select("bucket", F.col("node").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
+    return a.join(b, "bucket").filter("a < b and a_part != b_part").select("a", "b").distinct().withColumn("align", F.lit(True))
+
+
+def _parts(links: DataFrame) -> tuple[DataFrame, str]:
+    """(node, part) of the nodes that a leader matched: the greatest such leader, or the greatest that matched this one in turn.
+
+    Nodes of one part are connected; nodes of one component may have several parts, which costs comparisons and loses nothing.
+    """
+    first, first_path = materialise(links.groupBy(F.col("b").alias("node")).agg(F.max("a").alias("up")), "parts")
+    above = first.toDF("up", "top")
+    out = materialise(first.join(above, "up", "left").select("node", F.when(F.col("top").isNull(), F.col("up")).otherwise(F.col("top")).alias("part")), "parts")
+    delete_quietly(links.sparkSession, first_path)
+    return out
 
 
 def near_links(texts: DataFrame) -> DataFrame:
     """Links (a, b) between different texts of texts (node, text), enough to connect what near-duplicates connect."""
     spark = texts.sparkSession
-
-    def members_of(source: DataFrame, of_text: Callable) -> DataFrame:
-        return source.mapInArrow(_sketcher(of_text), "node binary, bucket long, cut int, room int").distinct()
-
-    met, met_path = _met(*materialise(members_of(texts, _sketched(0)), "sketches"))
-    pairs, pairs_path = materialise(_all_pairs(met, ALL_PAIRS), "pairs")
-    total = _linked(pairs, pairs_path, texts).filter("near")
-    crowded, crowded_path = materialise(met.filter(F.col("n") > ALL_PAIRS).select("node").distinct(), "crowded")
-    for old in (met_path, pairs_path):
+    rows, path = materialise(texts.mapInArrow(_first_members, _MEMBER), "sketches")
+    met, met_path = _met(*_shared(rows.withColumn("part", F.col("node")), path))
+    met = met.drop("part")
+    wanted, wanted_path = materialise(met.select("node").distinct(), "nodes")
+    # A text comes once from each scan task that met it: put together in two steps, so that no task gets all of these.
+    packed = packed_texts(checked_join(texts, wanted, wanted_path, "node", "left_semi"), "node").withColumn("step", F.spark_partition_id() % PARTS)
+    held, held_path = materialise(packed.groupBy("node", "step").agg(F.first("packed").alias("packed")).groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+    led = met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    judged, _ = _judged(led.withColumn("align", F.lit(True)), held)
+    total = judged.filter("near").select("a", "b")
+    part, part_path = _parts(total)
+    met, parted_path = materialise(met.join(part, "node", "left").select("bucket", "node", "sharp", "n", F.coalesce("part", "node").alias("part")), "parted")
+    met, mixed_path = _shared(met, parted_path)
+    crowded, crowded_path = materialise(met.filter((F.col("n") > ALL_PAIRS) & ~F.col("sharp")).select("node", "part").distinct(), "crowded")
+    deep = checked_join(held, crowded, crowded_path, "node").select("node", "packed", "part").mapInArrow(_deep_members, "node binary, bucket long, part binary")
+    rows, path = materialise(met.filter((F.col("n") <= ALL_PAIRS) | F.col("sharp")).select("node", "bucket", "part").unionByName(deep), "members")
+    members, path = _shared(rows, path)
+    for old in (met_path, wanted_path, part_path, mixed_path, crowded_path):
         delete_quietly(spark, old)
-    # Short texts meet by subsets of their shingles, crowded or not; the others of crowds get more and sharper sketches.
-    deep = members_of(checked_join(texts, crowded, crowded_path, "node", "left_semi"), _sketched(1))
-    members, path = materialise(members_of(texts, subsets).unionByName(deep), "sketches")
     most = ALL_PAIRS
-    while True:
+    while not members.isEmpty():
         met, met_path = _met(members, path)
-        large = met.filter(F.col("n") > most)
-        # The leader of a bucket is its member that shares most large buckets with others: the nearest to what all derive from.
-        # Of short texts it is one that left out least, so that it may match all others.
-        degree, degree_path = materialise(large.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
-        leader = large.join(degree, "node").groupBy("bucket").agg(F.min(F.struct("cut", -F.col("degree"), "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
-        leader, leader_path = materialise(leader, "leaders")
-        led = large.join(leader, "bucket").filter("node != leader").select("bucket", "node", "cut", "room", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        led, led_path = materialise(led, "led")
-        pairs, pairs_path = materialise(_all_pairs(met, most).unionByName(led.select("a", "b")).distinct().join(total, ["a", "b"], "left_anti"), "pairs")
-        seen = _linked(pairs, pairs_path, texts)
-        judged = led.select("node", F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a")).alias("leader"), "a", "b").distinct()
-        judged, judged_path = materialise(judged.join(total.unionByName(seen), ["a", "b"]).select("leader", "node", "far", "near"), "judged")
-        total = led_links = total.unionByName(seen.filter("near"))
-        # What a leader doesn't match may match what it does: at a distance to the leader of at most 1 - SIMILARITY more.
-        out_of, within = judged.filter("not near").select("leader", F.col("node").alias("u"), F.col("far").alias("u_far")), judged.filter("near").select("leader", F.col("node").alias("m"), F.col("far").alias("m_far"))
-        across = out_of.join(within, "leader").filter(F.col("u_far") <= F.col("m_far") + (1 - SIMILARITY) + 1e-9).select(F.least("u", "m").alias("a"), F.greatest("u", "m").alias("b")).distinct()
-        across, across_path = materialise(across.join(total, ["a", "b"], "left_anti"), "across")
+        led = met.filter((F.col("n") > most) & (F.col("node") != F.col("leader"))).select("bucket", "node", "part", "leader", (F.col("part") != F.col("leader_part")).alias("align"))
+        pairs = _across(met, most).unionByName(led.select(F.col("leader").alias("a"), F.col("node").alias("b"), "align")).distinct()
+        pairs, pairs_path = materialise(pairs, "pairs")
+        judged, judged_path = _judged(pairs, held)
+        total = total.unionByName(judged.filter("near").select("a", "b"))
+        by_leader = led.select(F.col("leader").alias("a"), F.col("node").alias("b"), "part", "align").distinct().join(judged, ["a", "b"])
+        by_leader, led_path = materialise(by_leader.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("b_n").alias("words"), "part", "bag", (F.col("near") | ~F.col("align")).alias("within")), "led")
+        # What a leader doesn't match may match what it does, if their distances to the leader differ by few enough edits.
+        u, m = (by_leader.filter(c).select("leader", *(F.col(x).alias(f"{y}_{x}") for x in ("node", "words", "part", "bag"))) for c, y in (("not within", "u"), ("within", "m")))
+        few = F.greatest("u_words", "m_words") * (1 - SIMILARITY) + 1e-9
+        across = u.join(m, (u.leader == m.leader) & (F.col("u_part") != F.col("m_part")) & (F.col("u_bag") - F.col("m_bag") <= few) & (F.least("u_words", "m_words") >= F.greatest("u_words", "m_words") - few))
+        across, across_path = materialise(across.select(F.least("u_node", "m_node").alias("a"), F.greatest("u_node", "m_node").alias("b")).distinct().withColumn("align", F.lit(True)), "across")
         if not across.isEmpty():
-            total = total.unionByName(_linked(across, across_path, texts).filter("near"))
-        # And it goes on among itself: by the links that were judged above, not by those just found.
-        members, path = materialise(led.join(led_links, ["a", "b"], "left_anti").select("node", "bucket", "cut", "room"), "sketches")
-        for old in (met_path, degree_path, leader_path, led_path, pairs_path, judged_path, across_path):
+            total = total.unionByName(_judged(across, held)[0].filter("near").select("a", "b"))
+        # And it goes on among itself.
+        left = led.filter("align").join(judged.filter("near").select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti")
+        members, path = materialise(left.select("node", "bucket", "part"), "members")
+        members, path = _shared(members, path)
+        for old in (met_path, pairs_path, led_path, across_path):
             delete_quietly(spark, old)
-        if members.isEmpty():
-            delete_quietly(spark, path)
-            return total
         most *= 4
+    for old in (path, held_path):
+        delete_quietly(spark, old)
+    return total
 
 
 def with_node(documents: DataFrame) -> DataFrame:
@@ -311,14 +360,17 @@ def with_node(documents: DataFrame) -> DataFrame:
 
 
 def classes(documents: DataFrame) -> tuple[DataFrame, str]:
-    """(node, class_id, n) of each text that is not alone in its group, as a table and its path; class_id is the group's smallest doc_id."""
+    """(node, class_id, keeper) of each text that is not alone in its group, as a table and its path.
+
+    class_id is the group's smallest doc_id, null if it has none; keeper is the text that stays: the smallest with that id.
+    """
     small_arrow_batches(documents.sparkSession)
     named = with_node(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     roots = components(near_links(named.select("node", "text")))
     per_text = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    joined, joined_path = materialise(per_text.join(roots, "node", "left").filter("root is not null or n > 1").select("node", F.coalesce("root", "node").alias("root"), "least", "n"), "grouped")
-    firsts, firsts_path = materialise(joined.groupBy("root").agg(F.min("least").alias("class_id")), "firsts")
-    out = materialise(joined.join(firsts, "root").select("node", "class_id", "n"), "classes")
+    joined, joined_path = materialise(per_text.join(roots, "node", "left").filter("root is not null or n > 1").select("node", F.coalesce("root", "node").alias("root"), "least"), "grouped")
+    firsts, firsts_path = materialise(joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node")).alias("first")).select("root", "first.least", "first.node").toDF("root", "class_id", "keeper"), "firsts")
+    out = materialise(joined.join(firsts, "root").select("node", "class_id", "keeper"), "classes")
     for path in (joined_path, firsts_path):
         delete_quietly(documents.sparkSession, path)
     return out
@@ -327,7 +379,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, str]:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row; documents alone in their group are their own class."""
     table, _ = classes(documents)  # joined by a shuffle: memberships stay off the driver
-    return with_node(documents.select("doc_id", "text")).select("doc_id", "node").join(table, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return with_node(documents.select("doc_id", "text")).select("doc_id", "node").join(table, "node", "left").select("doc_id", F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -335,7 +387,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     table, path = classes(documents)
     columns = documents.columns
     inner = with_node(documents.select(F.struct(*columns).alias("row"), "doc_id", "text")).select("row", "doc_id", "node")
-    kept = checked_join(inner, table, path, "node", "left").filter(F.col("class_id").isNull() | F.col("class_id").eqNullSafe(F.col("doc_id")))
+    keeps = F.col("keeper").isNull() | ((F.col("keeper") == F.col("node")) & F.col("class_id").eqNullSafe(F.col("doc_id")))
+    kept = checked_join(inner, table, path, "node", "left").filter(keeps)
     # One text may come several times under the kept doc_id.
     twice = documents.groupBy("doc_id").count().filter("count > 1").limit(1)
     if not twice.isEmpty():

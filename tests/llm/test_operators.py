@@ -42,12 +42,6 @@ def run(spark, sf, name):
     return queries.queries()[name](spark, sf).collect()
 
 
-def shingles(text):
-    w = words(text)
-    k = min(5, len(w))
-    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset([()])
-
-
 def levenshtein(a, b):
     """Word edit distance, a row of the table at a time."""
     ids = {w: i for i, w in enumerate({*a, *b})}
@@ -65,11 +59,19 @@ def near_classes(rows):
     return _near_classes(tuple(rows))
 
 
+def near(x, y):
+    """Whether two word lists are near-duplicates: by edit distance alone. What shares too few words has too many edits."""
+    most = 0.2 * max(len(x), len(y)) + 1e-9
+    if max(len(x), len(y)) - sum((Counter(x) & Counter(y)).values()) > most:
+        return False
+    return levenshtein(x, y) <= most
+
+
 @functools.cache
 def _near_classes(rows):
     """Smallest id of each row's group, by comparing all pairs."""
     texts = sorted({t or "" for _, t in rows})
-    sets = [shingles(t) for t in texts]
+    split = [words(t) for t in texts]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -79,10 +81,8 @@ def _near_classes(rows):
 
     for a in range(len(texts)):
         for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = words(texts[a]), words(texts[b])
-                if levenshtein(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
-                    parent[find(a)] = find(b)
+            if find(a) != find(b) and near(split[a], split[b]):
+                parent[find(a)] = find(b)
     least = {}
     of = {t: find(i) for i, t in enumerate(texts)}
     for i, t in rows:
@@ -93,8 +93,7 @@ def _near_classes(rows):
 
 def test_near_duplicates(spark, sf, docs):
     got = run(spark, sf, "op1_order_minhash")
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.class_id) for r in got if r.doc_id is not None) == sorted((i is None, i or 0, c) for (i, t), c in ((d, near_classes(docs)[d]) for d in docs) if i is not None)
-    assert len(got) == len(docs)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, near_classes(docs)[i, t])) for i, t in docs)
 
 
 def test_deduplicate_keeps_one_of_each_group(spark, sf, docs):
@@ -443,7 +442,7 @@ def classes_of(spark, texts):
 
 
 def test_short_near_copies_meet(spark):
-    """Texts of few shingles, alone and in crowds: pairs of 8/9, 11/12 and 12/14 words, and lines that a common one is 0.875 similar to."""
+    """Texts of few words, alone and in crowds: pairs of 8/9, 11/12 and 12/14 words, and lines that a common one is 0.875 similar to."""
     r = random.Random(4)
     texts = []
     for a, b, crowd in ((8, 9, 0), (11, 12, 0), (12, 14, 0), (8, 9, 30), (11, 12, 30), (12, 14, 30)):
@@ -455,27 +454,58 @@ def test_short_near_copies_meet(spark):
     assert got == want
 
 
-def test_subsets_meet_exactly():
-    r = random.Random(6)
-    for _ in range(300):
-        a = [f"w{i}" for i in range(r.randrange(5, 19))]
-        b = a[r.randrange(3) : len(a) - r.randrange(3)] + [f"v{i}" for i in range(r.randrange(3))]
-        x, y = ([dict(zip(v[0].tolist(), zip(v[1].tolist(), v[2].tolist())))] for v in (order_minhash.subsets(textnum.Words([" ".join(t).encode()], textnum.SPACE).hashes()) for t in (a, b)))
-        met = any(x[0][k][0] + y[0][k][0] <= x[0][k][1] for k in x[0].keys() & y[0].keys())
-        p, q = shingles(" ".join(a)), shingles(" ".join(b))
-        if max(len(p), len(q)) <= order_minhash.SHORT:
-            assert met == (len(p & q) >= 0.8 * len(p | q))
-
-
-def test_what_a_leader_leaves_meets_what_it_matches(spark):
+def test_neighbourhoods_meet_exactly():
+    """However few words two near-duplicates of up to SHORT words have, and wherever the edits are, they share a bucket."""
+    r, close = random.Random(6), 0
+    split = lambda t: textnum.Words([" ".join(t).encode()], textnum.SPACE).hashes()
+    for _ in range(2000):
+        a = [f"w{r.randrange(12)}" for _ in range(r.randrange(order_minhash.SHORT + 1))]
+        b = data.edited(r, " ".join(a), r.choice([0, 0.1, 0.2, 0.3])).split()
+        if max(len(a), len(b)) <= order_minhash.SHORT and levenshtein(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+            close += 1
+            assert set(order_minhash.neighbourhood(split(a)).tolist()) & set(order_minhash.neighbourhood(split(b)).tolist())
+    assert close > 500
+
+
+def test_recall_by_edits(spark):
+    """Pairs of a text and its copy with scattered edits, against edit distance alone: nine of ten at least, up to the threshold."""
+    r, rows = random.Random(12), []
+    kinds = [(200, 0.02), (200, 0.05), (200, 0.1), (200, 0.15), (200, 0.19), (16, 0.06), (25, 0.12), (40, 0.15)]
+    for n, rate in kinds:
+        for _ in range(60):
+            text = data.prose(r, n)
+            rows += [(len(rows), text), (len(rows) + 1, data.edited(r, text, rate))]
+    got = {x.doc_id: x.class_id for x in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for k, kind in enumerate(kinds):
+        pairs = range(120 * k, 120 * k + 120, 2)
+        want = [i for i in pairs if near(words(rows[i][1]), words(rows[i + 1][1]))]
+        assert len(want) >= 20 and sum(got[i + 1] == i for i in want) >= 0.9 * len(want), kind
+        assert all(got[i + 1] == i + 1 for i in pairs if i not in want), kind
+
+
+def test_what_a_leader_leaves_meets_what_it_matches(spark, monkeypatch):
     """A text that is similar to a member of its large buckets and not to their leader."""
+    monkeypatch.setattr(order_minhash, "ALL_PAIRS", 4)
     r = random.Random(3)
     base = data.prose(r, 120).split()
     texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate([*range(100, 120)] * 2)]
-    got, want = classes_of(spark, [" ".join(base[:96]), " ".join(base[:119]), " ".join(base), *texts])
+    got, want = classes_of(spark, [" ".join(base[:95]), " ".join(base[:118]), " ".join(base), *texts])
     assert got == want and set(want.values()) == {0}
 
 
+def test_hot_copies_and_rows_without_id(spark):
+    """A text that ten thousand rows repeat, near copies of it, and groups of which some or all rows have no id."""
+    r = random.Random(8)
+    hot, lost, half = (data.prose(r, 60) for _ in range(3))
+    rows = [(i, hot) for i in range(10_000)] + [(20_000 + i, data.edited(r, hot, 0.03)) for i in range(40)]
+    rows += [(None, lost), (None, lost), (None, lost + " x"), (None, half), (30_000, half + " y"), (None, data.prose(r, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter((x.doc_id is None, x.class_id) for x in order_minhash.near_duplicates(df).collect())
+    assert got == {(False, 0): 10_040, (True, None): 4, (True, 30_000): 1, (False, 30_000): 1}
+    kept = sorted(map(repr, ((x.doc_id, x.text) for x in order_minhash.deduplicate(df).collect())))
+    assert len(kept) == 4 and repr((0, hot)) in kept and repr((30_000, half + " y")) in kept
+
+
 def test_every_source_meets_its_target(spark):
     """A source ten times too big and one too small, a null one and the named one: weighted tokens meet each one's target."""
     sizes = {"src0": 200, "src1": 1000, "src2": 10, "src3": 100, None: 50}
