@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges, path = materialise(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    while True:
+    while True:  # two steps alike: no link has moved
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state.n == 0 or state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

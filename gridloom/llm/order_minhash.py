@@ -13,13 +13,14 @@ Texts of few words need no luck: up to ``SHORT`` words all word sequences that a
 neighbourhoods), so that such a pair always meets. Texts of up to ``BRIEF`` words, of whose k-mers few edits may leave none, also get
 sketches of single words, labelled and ordered alike, ``DEEP_L`` to a sketch.
 
-Buckets are compared in two steps. First each member with the bucket's leader, the member that shares the most buckets with others; what
+Buckets are compared in two steps. First each member with the bucket's leader, the member whose buckets hold the most others; what
 that connects needs no further comparison. Then, in buckets that still hold several components, every pair across components: buckets
 of up to ``ALL_PAIRS`` texts in full; the texts of larger ones get ``DEEP_SKETCHES`` sharper sketches of ``DEEP_L`` labelled words, by which two
 texts at the threshold still meet with probability 0.99. A bucket that is large even so is compared with a leader again. What the leader
 doesn't match is compared with what it does match, unless their distances to it rule that out (bag distance, a lower bound of the
 edit distance, is a metric), and forms the bucket's next round among itself, in which buckets up to four times as large are compared
-in full. So every pair of a bucket is compared, ruled out, or connected already. Nothing is capped.
+in full. What a leader leaves meets what it matches in blocks of some ``BLOCK`` texts, each text until it has found one. So every pair of
+a bucket is compared, ruled out, or connected already. Nothing is capped.
 
 Equal texts are one node throughout. Null texts count as empty, and empty texts equal each other. White space doesn't tell texts apart.
 Rows without doc_id take the class of their group's smallest id; a group without any id has a null class, and one of its rows stays.
@@ -29,7 +30,7 @@ Repeated rows all get their class, and one of them stays. An empty table gives a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -48,6 +49,8 @@ DEEP_L, DEEP_SKETCHES = 8, 128
 ALL_PAIRS = 16
 #: Groups of scan tasks among which copies of a text are put together first.
 PARTS = 64
+#: Texts in a block, some, when what leaders leave meets what they match.
+BLOCK = 64
 SIMILARITY = 0.8
 #: Bag distance to a leader, as a share of the longer text, beyond which a text isn't similar to what the leader matches: 0.2 of a text
 #: 1.25 times as long as the leader, and 0.2 of one 1.25 times as long as that.
@@ -259,6 +262,47 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(near | (bag <= FAR * n.max(axis=0) + 1e-9)))
 
 
+def _within_reach(u: dict, m: dict) -> bool:
+    """Whether bag distances to their leader leave room for few enough edits between two texts of different parts."""
+    few = most_edits(max(u["words"], m["words"]))
+    return u["part"] != m["part"] and abs(u["bag"] - m["bag"]) <= few and abs(u["words"] - m["words"]) <= few
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, part): for each text of us the first of ms that it is near to, if any; ms are connected, so one is enough."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        found = []
+        for r in range(batch.num_rows):
+            us, ms = batch.column("us")[r].as_py(), batch.column("ms")[r].as_py()
+            ms = [m for m in sorted(ms, key=lambda m: m["bag"]) if any(_within_reach(u, m) for u in us)]
+            each = [*us, *ms]
+            words = textnum.Words([unpack(x["packed"]) for x in each], textnum.SPACE)
+            h, f = words.hashes(), words.first
+            texts = [h[f[t] : f[t + 1]] for t in range(len(each))]
+            bags = [labelled(x) for x in texts]
+            for i, u in enumerate(us):
+                for j, m in enumerate(ms, len(us)):
+                    if _within_reach(u, m) and compare(texts[i], texts[j], bags[i], bags[j])[1]:
+                        found.append((u["node"], m["node"], u["leader_part"]))
+                        break
+        yield pa.record_batch([pa.array(x, pa.binary()) for x in (zip(*found) if found else [[]] * 3)], ["a", "b", "part"])
+
+
+def _left_and_matched(by_leader: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b, part) links between what leaders left and what they matched, in blocks of both; part is the leader's."""
+    sizes = by_leader.groupBy("leader", "within").agg(F.count(F.lit(1)).alias("size"))
+    blocks = by_leader.join(sizes, ["leader", "within"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    rows = F.collect_list(F.struct("node", "packed", "words", "part", "bag", "leader_part"))
+    blocks, _ = materialise(blocks.join(held, "node").groupBy("leader", "within", "block").agg(rows.alias("texts")), "blocks")
+    us, ms = blocks.filter("not within").select("leader", F.col("block").alias("i"), F.col("texts").alias("us")), blocks.filter("within").select("leader", F.col("block").alias("j"), F.col("texts").alias("ms"))
+    # Dealt by pair of blocks, in a fixed number: they are few bytes and much work, and one leader may have most of them.
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return us.join(ms, "leader").repartition(tasks, "leader", "i", "j").select("us", "ms").mapInArrow(_block_links, "a binary, b binary, part binary")
+
+
 def _judged(pairs: DataFrame, held: DataFrame) -> tuple[DataFrame, str]:
     """(a, b, bag, a_n, b_n, near) of pairs (a, b, align) not too far apart; held has (node, packed). Pairs not to be aligned get no near."""
     a, b = held.toDF("a", "a_packed"), held.toDF("b", "b_packed")
@@ -266,17 +310,17 @@ def _judged(pairs: DataFrame, held: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _shared(rows: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """Rows (bucket, node, part, ...) of buckets that several components (part) share, repeated ones once."""
-    buckets, buckets_path = materialise(rows.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("bucket"), "buckets")
-    out = materialise(rows.join(buckets, "bucket").distinct(), "members")
+    """Rows (bucket, node, part, ...) of buckets that several components (part) share, repeated ones once, with the bucket's weight: its rows before."""
+    buckets, buckets_path = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("weight"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("bucket", "weight"), "buckets")
+    out = materialise(rows.drop("weight").join(buckets, "bucket").distinct(), "members")
     for old in (path, buckets_path):
         delete_quietly(rows.sparkSession, old)
     return out
 
 
 def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """members with their bucket's size n and its leader: the member that is in most buckets with others."""
-    degree, degree_path = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    """members with their bucket's size n and its leader: the member that is in buckets with the most others, the nearest to what all derive from."""
+    degree, degree_path = materialise(members.groupBy("node").agg(F.sum("weight").alias("degree")), "degree")
     ranked = members.join(degree, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node", "part")).alias("top"))
     ranked, ranked_path = materialise(ranked.select("bucket", "n", F.col("top.node").alias("leader"), F.col("top.part").alias("leader_part")), "leaders")
     out = materialise(members.join(ranked, "bucket"), "met")
@@ -292,20 +336,21 @@ def _across(met: DataFrame, most: int) -> DataFrame:
     return a.join(b, "bucket").filter("a < b and a_part != b_part").select("a", "b").distinct().withColumn("align", F.lit(True))
 
 
-def _parts(links: DataFrame) -> tuple[DataFrame, str]:
-    """(node, part) of the nodes that a leader matched: the greatest such leader, or the greatest that matched this one in turn.
-
-    Nodes of one part are connected; nodes of one component may have several parts, which costs comparisons and loses nothing.
-    """
-    first, first_path = materialise(links.groupBy(F.col("b").alias("node")).agg(F.max("a").alias("up")), "parts")
-    above = first.toDF("up", "top")
-    out = materialise(first.join(above, "up", "left").select("node", F.when(F.col("top").isNull(), F.col("up")).otherwise(F.col("top")).alias("part")), "parts")
-    delete_quietly(links.sparkSession, first_path)
+def _regrouped(parts: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """(node, part) after more links (a, b): components of the graph whose nodes are the parts so far."""
+    of = [parts.toDF(x, f"{x}_part") for x in "ab"]
+    between = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    between, path = materialise(between.filter("a != b").distinct(), "between")
+    joined = components(between).toDF("part", "root")
+    moved = parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("part"))
+    new = joined.toDF("node", "part").join(parts, "node", "left_anti").select("node", "part")
+    out = materialise(moved.unionByName(new), "groups")
+    delete_quietly(links.sparkSession, path)
     return out
 
 
-def near_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) between different texts of texts (node, text), enough to connect what near-duplicates connect."""
+def near_groups(texts: DataFrame) -> tuple[DataFrame, str]:
+    """(node, part) of each node of texts (node, text) that has a near-duplicate, as a table and its path: the group's smallest node."""
     spark = texts.sparkSession
     rows, path = materialise(texts.mapInArrow(_first_members, _MEMBER), "sketches")
     met, met_path = _met(*_shared(rows.withColumn("part", F.col("node")), path))
@@ -316,43 +361,40 @@ def near_links(texts: DataFrame) -> DataFrame:
     held, held_path = materialise(packed.groupBy("node", "step").agg(F.first("packed").alias("packed")).groupBy("node").agg(F.first("packed").alias("packed")), "texts")
     led = met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     judged, _ = _judged(led.withColumn("align", F.lit(True)), held)
-    total = judged.filter("near").select("a", "b")
-    part, part_path = _parts(total)
+    part, part_path = materialise(components(judged.filter("near").select("a", "b")).toDF("node", "part"), "parts")
     met, parted_path = materialise(met.join(part, "node", "left").select("bucket", "node", "sharp", "n", F.coalesce("part", "node").alias("part")), "parted")
     met, mixed_path = _shared(met, parted_path)
     crowded, crowded_path = materialise(met.filter((F.col("n") > ALL_PAIRS) & ~F.col("sharp")).select("node", "part").distinct(), "crowded")
     deep = checked_join(held, crowded, crowded_path, "node").select("node", "packed", "part").mapInArrow(_deep_members, "node binary, bucket long, part binary")
     rows, path = materialise(met.filter((F.col("n") <= ALL_PAIRS) | F.col("sharp")).select("node", "bucket", "part").unionByName(deep), "members")
     members, path = _shared(rows, path)
-    for old in (met_path, wanted_path, part_path, mixed_path, crowded_path):
+    for old in (met_path, wanted_path, mixed_path, crowded_path):
         delete_quietly(spark, old)
+    more: list[DataFrame] = []
     most = ALL_PAIRS
     while not members.isEmpty():
         met, met_path = _met(members, path)
-        led = met.filter((F.col("n") > most) & (F.col("node") != F.col("leader"))).select("bucket", "node", "part", "leader", (F.col("part") != F.col("leader_part")).alias("align"))
+        led = met.filter((F.col("n") > most) & (F.col("node") != F.col("leader"))).select("bucket", "node", "part", "leader", "leader_part", (F.col("part") != F.col("leader_part")).alias("align"))
         pairs = _across(met, most).unionByName(led.select(F.col("leader").alias("a"), F.col("node").alias("b"), "align")).distinct()
         pairs, pairs_path = materialise(pairs, "pairs")
-        judged, judged_path = _judged(pairs, held)
-        total = total.unionByName(judged.filter("near").select("a", "b"))
-        by_leader = led.select(F.col("leader").alias("a"), F.col("node").alias("b"), "part", "align").distinct().join(judged, ["a", "b"])
-        by_leader, led_path = materialise(by_leader.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("b_n").alias("words"), "part", "bag", (F.col("near") | ~F.col("align")).alias("within")), "led")
+        judged, _ = _judged(pairs, held)
+        more.append(judged.filter("near").select("a", "b"))
+        by_leader = led.select(F.col("leader").alias("a"), F.col("node").alias("b"), "part", "leader_part", "align").distinct().join(judged, ["a", "b"])
+        by_leader, led_path = materialise(by_leader.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("b_n").alias("words"), "part", "leader_part", "bag", "near", (F.col("near") | ~F.col("align")).alias("within")), "led")
         # What a leader doesn't match may match what it does, if their distances to the leader differ by few enough edits.
-        u, m = (by_leader.filter(c).select("leader", *(F.col(x).alias(f"{y}_{x}") for x in ("node", "words", "part", "bag"))) for c, y in (("not within", "u"), ("within", "m")))
-        few = F.greatest("u_words", "m_words") * (1 - SIMILARITY) + 1e-9
-        across = u.join(m, (u.leader == m.leader) & (F.col("u_part") != F.col("m_part")) & (F.col("u_bag") - F.col("m_bag") <= few) & (F.least("u_words", "m_words") >= F.greatest("u_words", "m_words") - few))
-        across, across_path = materialise(across.select(F.least("u_node", "m_node").alias("a"), F.greatest("u_node", "m_node").alias("b")).distinct().withColumn("align", F.lit(True)), "across")
-        if not across.isEmpty():
-            total = total.unionByName(_judged(across, held)[0].filter("near").select("a", "b"))
-        # And it goes on among itself.
-        left = led.filter("align").join(judged.filter("near").select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_anti")
-        members, path = materialise(left.select("node", "bucket", "part"), "members")
+        across, _ = materialise(_left_and_matched(by_leader, held), "across")
+        more.append(across.select("a", "b"))
+        # And it goes on among itself; what has been connected with a leader takes its part.
+        left = led.filter("align").join(by_leader.filter("near").select("leader", "node"), ["leader", "node"], "left_anti")
+        now = by_leader.filter("near").select("node", "leader_part").unionByName(across.select(F.col("a").alias("node"), F.col("part").alias("leader_part"))).groupBy("node").agg(F.min("leader_part").alias("now"))
+        members, path = materialise(left.join(now, "node", "left").select("node", "bucket", F.coalesce("now", "part").alias("part")), "members")
         members, path = _shared(members, path)
-        for old in (met_path, pairs_path, led_path, across_path):
+        for old in (met_path, pairs_path, led_path):
             delete_quietly(spark, old)
         most *= 4
     for old in (path, held_path):
         delete_quietly(spark, old)
-    return total
+    return _regrouped(part, reduce(DataFrame.unionByName, more)) if more else (part, part_path)
 
 
 def with_node(documents: DataFrame) -> DataFrame:
@@ -366,7 +408,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, str]:
     """
     small_arrow_batches(documents.sparkSession)
     named = with_node(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    roots = components(near_links(named.select("node", "text")))
+    roots = near_groups(named.select("node", "text"))[0].withColumnRenamed("part", "root")
     per_text = named.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     joined, joined_path = materialise(per_text.join(roots, "node", "left").filter("root is not null or n > 1").select("node", F.coalesce("root", "node").alias("root"), "least"), "grouped")
     firsts, firsts_path = materialise(joined.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node")).alias("first")).select("root", "first.least", "first.node").toDF("root", "class_id", "keeper"), "firsts")
