@@ -515,3 +515,165 @@ def q_stream_ingest(spark, sf):
 def q_csv_roundtrip(spark, sf):
     back = spark.read.schema("event_id string, user_id string, event_type string, value string").option("header", "true").csv(f"{_landed(spark, sf)}/events").withColumn("_source_file", F.col("_metadata.file_path"))
     return back.select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", cleaning.to_double("value").alias("value"), F.col("_source_file").endswith(".csv").alias("has_source"))
+
+
+# The refined tables, marts and rules as users run them: feeds of text made of events and places, through refine, marts and quality.
+
+
+def _feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the text feed of meter readings; errors are outages without a value, and each user's hours are events."""
+    e, text = _table(spark, sf, "events"), lambda c: F.col(c).cast("string")
+    rows = e.select(
+        text("event_id").alias("reading_id"), F.concat(F.lit(" U"), text("user_id")).alias("site_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("reading_ts"),
+        F.when(F.col("event_type") == "error", "n/a").otherwise(text("value")).alias("kwh_consumed"), F.when(F.col("event_id") % 2 == 0, "1.5").alias("kwh_exported"),
+        F.lit("230").alias("voltage_v"), F.when(F.col("event_type") == "error", "outage").otherwise("ok").alias("quality_flag"),
+    )
+    return rows.withColumns({"_source_file": F.lit("f"), "_ingested_at": F.lit("2025-01-01").cast("timestamp"), "_batch_id": F.lit("b")})
+
+
+def _sites_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of each user's place: the tariff changes in the middle of 2024."""
+    users = _table(spark, sf, "events").select("user_id").distinct()
+    day = F.explode(F.array(F.lit("2000-01-01"), F.lit("2024-01-05")))
+    rows = users.select("user_id", day.alias("effective_from")).select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("site_id"), F.lit("s").alias("site_name"), F.concat(F.lit("R"), (F.col("user_id") % 3).cast("string")).alias("region"),
+        F.concat(F.lit("G"), (F.col("user_id") % 4).cast("string")).alias("customer_segment"), F.concat(F.lit("T"), F.substring("effective_from", 1, 4)).alias("tariff_plan"),
+        F.lit("400").alias("contracted_kw"), "effective_from",
+    )
+    return rows.withColumns({"_source_file": F.lit("f"), "_ingested_at": F.lit("2025-01-01").cast("timestamp"), "_batch_id": F.lit("b")})
+
+
+def _silver(spark: SparkSession, sf: str) -> DataFrame:
+    from gridloom.plans import refine
+
+    return refine.readings(_feed(spark, sf))
+
+
+def _enriched(spark: SparkSession, sf: str) -> DataFrame:
+    from gridloom.plans import refine
+
+    return refine.with_site(_silver(spark, sf), refine.sites(_sites_feed(spark, sf)))
+
+
+def _plain(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns in types that both engines have: times without zone, whole numbers as bigint."""
+    kinds = dict(df.dtypes)
+    as_kind = {"timestamp": "timestamp_ntz", "int": "bigint"}
+    return df.select(*(F.col(c).cast(as_kind[kinds[c]]) if kinds[c] in as_kind else F.col(c) for c in columns))
+
+
+_S = """raw AS (
+  SELECT event_id, user_id, 'U' || user_id AS site_id, date_trunc('hour', ts)::TIMESTAMP AS reading_hour, CASE WHEN event_type <> 'error' THEN value END AS kwh,
+    CASE WHEN event_id % 2 = 0 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS kwh_exported, CASE WHEN event_type = 'error' THEN 'OUTAGE' ELSE 'OK' END AS quality_flag FROM events
+), u AS (
+  SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY site_id, reading_hour ORDER BY event_id::VARCHAR DESC) = 1
+), f AS (
+  SELECT *, coalesce(last_value(kwh IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY reading_hour ROWS UNBOUNDED PRECEDING), 0.0) AS kwh_filled,
+    greatest(date_diff('hour', lag(reading_hour) OVER (PARTITION BY site_id ORDER BY reading_hour), reading_hour) - 1, 0)::DOUBLE AS gap_hours_before FROM u
+), s AS (
+  SELECT *, CASE WHEN lag(reading_hour) OVER w IS NULL THEN 0.0::DOUBLE ELSE gap_hours_before END AS gap, lag(kwh_filled) OVER w AS kwh_prev_hour, reading_hour::DATE AS reading_date, hour(reading_hour) AS hour_of_day, isodow(reading_hour) >= 6 AS is_weekend,
+    'r' || (user_id % 3) AS region, 'g' || (user_id % 4) AS customer_segment, CASE WHEN reading_hour::DATE < DATE '2024-01-05' THEN 't2000' ELSE 't2024' END AS tariff_plan
+  FROM f WINDOW w AS (PARTITION BY site_id ORDER BY reading_hour)
+)"""
+
+
+@query(f"""WITH {_S} SELECT site_id, reading_hour, kwh_filled, kwh IS NULL AS is_imputed, gap AS gap_hours_before, kwh_prev_hour, kwh_filled - kwh_prev_hour AS kwh_delta_vs_prev,
+  kwh_exported, quality_flag, reading_date, hour_of_day, is_weekend FROM s""")
+def q_silver_readings(spark, sf):
+    columns = ("site_id", "reading_hour", "kwh_filled", "is_imputed", "gap_hours_before", "kwh_prev_hour", "kwh_delta_vs_prev", "kwh_exported", "quality_flag", "reading_date", "hour_of_day", "is_weekend")
+    return _plain(_silver(spark, sf), *columns)
+
+
+@query("""WITH v AS (SELECT DISTINCT user_id FROM events)
+SELECT 'U' || user_id AS site_id, 't' || year(d) AS tariff_plan, 'r' || (user_id % 3) AS region, d AS valid_from, CASE WHEN d = DATE '2000-01-01' THEN DATE '2024-01-05' END AS valid_to, d > DATE '2000-01-01' AS is_current
+FROM v, (VALUES (DATE '2000-01-01'), (DATE '2024-01-05')) t(d)""")
+def q_silver_sites(spark, sf):
+    from gridloom.plans import refine
+
+    return refine.sites(_sites_feed(spark, sf)).select("site_id", "tariff_plan", "region", "valid_from", "valid_to", "is_current")
+
+
+@query(f"""WITH {_S}, z AS (
+  SELECT site_id, reading_hour, date_diff('hour', TIMESTAMP '1970-01-01', reading_hour) - row_number() OVER (PARTITION BY site_id ORDER BY reading_hour) AS island FROM s WHERE kwh_filled <= 0 OR quality_flag = 'OUTAGE'
+), k AS (
+  SELECT site_id, 'ZERO_CONSUMPTION' AS streak_kind, min(reading_hour) AS streak_start, max(reading_hour) AS streak_end, count(*)::BIGINT AS streak_hours FROM z GROUP BY site_id, island
+  UNION ALL SELECT site_id, 'MISSING_DATA', reading_hour - to_hours(gap::BIGINT), reading_hour - INTERVAL 1 HOUR, gap::BIGINT FROM s WHERE gap > 0
+), o AS (
+  SELECT *, dense_rank() OVER (PARTITION BY site_id ORDER BY streak_hours DESC)::BIGINT AS streak_rank_by_duration, row_number() OVER w::BIGINT AS streak_seq,
+    date_diff('hour', streak_end, lead(streak_start) OVER w)::DOUBLE - 1 AS hours_until_next_streak, date_diff('hour', lag(streak_end) OVER w, streak_start)::DOUBLE - 1 AS hours_since_prev_streak
+  FROM k WINDOW w AS (PARTITION BY site_id ORDER BY streak_start, streak_kind)
+) SELECT *, streak_rank_by_duration = 1 AS is_longest_streak FROM o""")
+def q_mart_outages(spark, sf):
+    from gridloom.plans import marts
+
+    columns = ("site_id", "streak_kind", "streak_start", "streak_end", "streak_hours", "streak_rank_by_duration", "streak_seq", "hours_until_next_streak", "hours_since_prev_streak", "is_longest_streak")
+    return _plain(marts.outage_streaks(_silver(spark, sf)), *columns)
+
+
+@query(f"""WITH {_S}, p AS (
+  SELECT *, rank() OVER d::BIGINT AS rank_in_day, dense_rank() OVER d::BIGINT AS dense_rank_in_day, row_number() OVER (PARTITION BY site_id, reading_date ORDER BY kwh_filled DESC, reading_hour)::BIGINT AS row_number_in_day,
+    max(kwh_filled) OVER t AS day_peak_kwh, first_value(kwh_filled) OVER t AS first_hour_kwh, last_value(kwh_filled) OVER t AS last_hour_kwh
+  FROM s WINDOW d AS (PARTITION BY site_id, reading_date ORDER BY kwh_filled DESC), t AS (PARTITION BY site_id, reading_date ORDER BY reading_hour ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+) SELECT site_id, region, customer_segment, reading_hour, hour_of_day::BIGINT AS hour_of_day, kwh_filled, rank_in_day, dense_rank_in_day, row_number_in_day, day_peak_kwh,
+  CASE WHEN day_peak_kwh > 0 THEN round(kwh_filled / day_peak_kwh * 100, 2) END AS pct_of_day_peak, first_hour_kwh, last_hour_kwh, kwh_filled > 400 AS is_over_contract FROM p WHERE row_number_in_day <= 3""")
+def q_mart_peaks(spark, sf):
+    from gridloom.plans import marts
+
+    columns = ("site_id", "region", "customer_segment", "reading_hour", "hour_of_day", "kwh_filled", "rank_in_day", "dense_rank_in_day", "row_number_in_day", "day_peak_kwh", "pct_of_day_peak", "first_hour_kwh", "last_hour_kwh", "is_over_contract")
+    return _plain(marts.peak_demand_hours(_enriched(spark, sf)), *columns)
+
+
+@query(f"""WITH {_S}, b AS (
+  SELECT *, avg(kwh_filled) OVER w AS m, stddev_samp(kwh_filled) OVER w AS sd, count(kwh_filled) OVER w AS n FROM s WINDOW w AS (PARTITION BY site_id ORDER BY reading_hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)
+), y AS (SELECT *, lead(kwh_filled) OVER (PARTITION BY site_id ORDER BY reading_hour) AS kwh_next_hour, CASE WHEN n >= 24 AND sd > 0 THEN round((kwh_filled - m) / sd, 3) END AS z_score FROM b)
+SELECT site_id, region, customer_segment, reading_hour, kwh_filled, kwh_prev_hour, kwh_next_hour, n::BIGINT AS baseline_rows, z_score, CASE WHEN z_score > 0 THEN 'SPIKE' ELSE 'DROP' END AS anomaly_kind,
+  rank() OVER (PARTITION BY site_id, reading_date ORDER BY abs(z_score) DESC)::BIGINT AS anomaly_rank_in_day, count(*) OVER (PARTITION BY site_id, reading_date)::BIGINT AS anomalies_in_day, quality_flag
+FROM y WHERE abs(z_score) > 1.5""")
+def q_mart_anomalies(spark, sf):
+    """Values of events are even, so the threshold is lower than the mart's own."""
+    from gridloom.plans import marts
+
+    columns = ("site_id", "region", "customer_segment", "reading_hour", "kwh_filled", "kwh_prev_hour", "kwh_next_hour", "baseline_rows", "z_score", "anomaly_kind", "anomaly_rank_in_day", "anomalies_in_day", "quality_flag")
+    return _plain(marts.consumption_anomalies(_enriched(spark, sf), 1.5), *columns)
+
+
+@query(f"""WITH {_S}, r AS (
+  SELECT date_trunc('month', reading_hour)::DATE AS month_start, region, customer_segment, tariff_plan, sum(kwh_filled) AS k, count(DISTINCT site_id) AS site_count, grouping(region, customer_segment, tariff_plan) AS grouping_level
+  FROM s GROUP BY GROUPING SETS ((1, region, customer_segment, tariff_plan), (1, region, customer_segment), (1, region), (1))
+) SELECT month_start, region, customer_segment, tariff_plan, round(k, 3) AS kwh_total, site_count::BIGINT AS site_count,
+  CASE grouping_level WHEN 0 THEN 'tariff' WHEN 1 THEN 'segment' WHEN 3 THEN 'region' ELSE 'month' END AS grain FROM r""")
+def q_mart_rollup(spark, sf):
+    from gridloom.plans import marts
+
+    return _plain(marts.consumption_rollup_monthly(_enriched(spark, sf)), "month_start", "region", "customer_segment", "tariff_plan", "kwh_total", "site_count", "grain")
+
+
+@query(f"""WITH {_S}, n AS (
+  SELECT site_id, region, reading_date, round(sum(kwh_filled), 3) AS kwh_total, round(max(kwh_filled), 3) AS kwh_peak_hour, round(min(kwh_filled), 3) AS kwh_min_hour, round(sum(kwh_exported), 3) AS kwh_exported_total FROM s GROUP BY ALL
+) SELECT *, lag(kwh_total) OVER (PARTITION BY site_id ORDER BY reading_date) AS kwh_prev_day FROM n""")
+def q_mart_daily(spark, sf):
+    from gridloom.plans import marts
+
+    return _plain(marts.site_daily_consumption(_enriched(spark, sf)), "site_id", "region", "reading_date", "kwh_total", "kwh_peak_hour", "kwh_min_hour", "kwh_exported_total", "kwh_prev_day")
+
+
+@query("""WITH e AS (SELECT user_id AS site_id, ts AS h FROM events)
+SELECT 'silver_readings_unique_key' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY site_id, date_trunc('hour', h) HAVING count(*) > 1)) AS failing_rows
+UNION ALL SELECT 'silver_readings_no_null_keys', 0 UNION ALL SELECT 'silver_readings_non_negative', (SELECT count(*) FROM events WHERE value < 50 AND event_type <> 'error')
+UNION ALL SELECT 'silver_readings_hour_aligned', 0 UNION ALL SELECT 'silver_readings_imputed_are_filled', (SELECT count(*) FROM events WHERE event_type = 'error')
+UNION ALL SELECT 'silver_sites_one_current', 0 UNION ALL SELECT 'silver_sites_contiguous', 0 UNION ALL SELECT 'silver_sites_unique_version', 0
+UNION ALL SELECT 'gold_outages_positive_duration', 0 UNION ALL SELECT 'gold_peaks_rank_le_row_number', 0""")
+def q_gate(spark, sf):
+    """Rules of four tables: over readings that break some of them, and over what the engine made, which breaks none."""
+    from functools import reduce
+
+    from gridloom.plans import marts, quality, refine
+
+    e = _table(spark, sf, "events").select(F.col("user_id").alias("site_id"), F.date_trunc("hour", "ts").alias("reading_hour"), F.when(F.col("event_type") != "error", F.col("value") - 50).alias("kwh_filled"))
+    frames = [
+        (e, ("silver", "meter_readings")),
+        (refine.sites(_sites_feed(spark, sf)), ("silver", "sites")),
+        (marts.outage_streaks(_silver(spark, sf)), ("gold", "outage_streaks")),
+        (marts.peak_demand_hours(_enriched(spark, sf)), ("gold", "peak_demand_hours")),
+    ]
+    return reduce(DataFrame.unionByName, (quality.measured(df, quality.table_gate(*name)) for df, name in frames))

@@ -53,7 +53,7 @@ def run_stage(spark: SparkSession, ctx: RunContext, stage: str, options: synth.O
     if stage == "generate":
         return synth.write_csv(synth.generate(options or synth.Options()), ctx.landing)
     storage.ensure_schema(spark, ctx)
-    return {"bronze": landing.ingest_all, "silver": run_silver, "gold": run_gold, "quality": quality.run_quality}[stage](spark, ctx)
+    return {"bronze": landing.ingest_all, "silver": run_silver, "gold": run_gold, "quality": quality.enforce}[stage](spark, ctx)
 
 
 def run_stages(spark: SparkSession, ctx: RunContext, stages: Sequence[str] = STAGES, options: synth.Options | None = None) -> dict:

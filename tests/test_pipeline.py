@@ -23,11 +23,11 @@ def _sum(spark, name):
 
 
 def test_pipeline_and_rerun(spark, ctx):
-    options = synth.Options(6, 8, date(2025, 1, 1), 11)
+    options = synth.Options(5, 9, date(2024, 3, 4), 77)
     done = pipeline.run_stages(spark, ctx, options=options)
-    assert done["silver"]["meter_readings"] > 6 * 8 * 24 * 0.9 and all(r.passed for r in done["quality"])
+    assert done["silver"]["meter_readings"] > 5 * 9 * 24 * 0.9 and all(r.passed for r in done["quality"])
     assert len(done["quality"]) == 23 and len(done["gold"]) == 10
-    kinds = {r.streak_type for r in spark.table(ctx.table("gold", "outage_streaks")).select("streak_type").distinct().collect()}
+    kinds = {r.streak_kind for r in spark.table(ctx.table("gold", "outage_streaks")).select("streak_kind").distinct().collect()}
     assert kinds == {"ZERO_CONSUMPTION", "MISSING_DATA"} and spark.table(ctx.table("ops", "rejected_readings")).count() > 0
     before = {n: _sum(spark, ctx.table("gold", n)) for n in GOLD}
     again = RunContext(ctx.schema, ctx.landing)
@@ -82,12 +82,12 @@ def test_gate_records_before_it_raises(spark, ctx):
     rows = [("S1", date(2024, 1, 1), date(2024, 12, 1), False), ("S1", date(2025, 1, 1), None, True), ("S2", date(2024, 1, 1), None, False)]
     storage.replace(spark.createDataFrame(rows, "site_id string, valid_from date, valid_to date, is_current boolean"), ctx.table("silver", "sites"), ctx)
     with pytest.raises(quality.QualityError, match=r"silver_sites_one_current\(1\)"):
-        quality.run_quality(spark, ctx)
+        quality.enforce(spark, ctx)
     ledger = {r.check_name: r for r in spark.table(ctx.table("ops", "data_quality_results")).collect()}
     assert ledger["silver_sites_contiguous"].failing_rows == 1 and ledger["silver_sites_unique_version"].passed
     assert (ledger["gold_daily_ma7_present"].failing_rows, ledger["gold_daily_ma7_present"].table_exists) == (-1, False)
-    warn = quality.Check("w", "gold", "nothing", "", lambda df: 0, "warn")
-    assert not quality.run_quality(spark, ctx, [warn])[0].passed
+    warn = quality.Gate("gold", "nothing", (quality.Rule("w", "", "count(*)", "warn"),))
+    assert not quality.enforce(spark, ctx, [warn])[0].passed
 
 
 def test_late_snapshot_leaves_one_current_version(spark, ctx):
@@ -95,7 +95,7 @@ def test_late_snapshot_leaves_one_current_version(spark, ctx):
     early = [_site("flat", "2024-01-01"), _site("dynamic", "2024-03-01")]
     storage.replace(refine.sites(raw(spark, "sites", early)), name, ctx)
     storage.replace(refine.sites(raw(spark, "sites", [*early, _site("dynamic", "2024-02-01")])), name, ctx)
-    assert quality.evaluate(spark, ctx, [c for c in quality.CHECKS if c.table == "sites"])[0].passed and spark.table(name).count() == 2
+    assert quality.assess(spark, ctx, [quality.table_gate("silver", "sites")]).filter("not passed").isEmpty() and spark.table(name).count() == 2
 
 
 def test_generator(tmp_path):
