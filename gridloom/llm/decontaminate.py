@@ -9,7 +9,11 @@ Before the automaton, a table of hashed word groups of the items skips the runs
 let through too much and never too little, and the automaton then compares real words, so that results are exact.
 
 Items are cut into blocks of at most ``BLOCK_WORDS`` words; each block's automaton is built and broadcast in turn, so
-neither driver nor executor holds more than one block however large the benchmark is.
+neither driver nor executor holds more than one block however large the benchmark is, unless a single item is larger.
+
+Null texts, of documents or items, and texts without words have no hits; a null item_id is the empty name; items of one name count once.
+An empty benchmark hits nothing, an empty table of documents gives an empty result. Repeated documents are each judged. Other columns
+of documents, whatever their names, stay with ``cut`` and are left out by ``report``.
 """
 
 from __future__ import annotations
@@ -41,7 +45,8 @@ class Automaton:
     next: list[dict] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    marks: dict[int, list] = field(default_factory=dict)
+    marks: dict[int, set] = field(default_factory=dict)
+    marked: list[int] = field(default_factory=list)
     shortest: int = 1 << 30
     table: np.ndarray | None = None
     group: int = 1
@@ -85,9 +90,15 @@ class Automaton:
             state = 0
             for word in words[i : i + k]:
                 state = self.next[state][word]
-            self.marks.setdefault(state, []).append((k, item))
+            self.marks.setdefault(state, set()).add((k, item))
         self.shortest = min(self.shortest, k)
 
+    def close(self) -> None:
+        """Let marked[state] be the longest suffix with windows, the state itself included; call it when all windows are registered."""
+        self.marked = [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            self.marked[state] = state if state in self.marks else self.marked[self.link[state]]
+
     def stream(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
         """(state, longest matching length) after each word."""
         state = length = 0
@@ -102,8 +113,9 @@ class Automaton:
             yield state, length
 
     def ending(self, state: int, length: int) -> Iterator[tuple[int, str]]:
-        while state > 0:
-            for k, item in self.marks.get(state, ()):
+        """Windows that end here: a state for each length of window at most, however long the chain of suffixes is."""
+        while (state := self.marked[state]) > 0:
+            for k, item in self.marks[state]:
                 if k <= length:
                     yield k, item
             state = self.link[state]
@@ -119,6 +131,7 @@ def build(items: list[tuple[str, bytes]], window: int = WINDOW) -> Automaton | N
         out.add(words)
     for name, words in listed:
         out.mark(words, name)
+    out.close()
     out.group = min(out.shortest, 3)
     out.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
     for _, w in split:
