@@ -12,7 +12,8 @@ the others are revisits without payload that refer to it.
 
 Files are written under names of their own for each attempt, and the directory, which Spark commits with the job, names only
 those of attempts that succeeded; a lost executor's files are never read. Files are opened by pyarrow's file systems, so any
-store that pyarrow knows will do. Null pages get an empty payload, null URLs an empty key; repeated rows each get a record.
+store that pyarrow knows will do. Null pages get an empty payload, null URLs an empty key; repeated rows each get a record, and a null
+page_id is never what others refer to. An empty table gives an empty archive; other columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ MIN_REVISIT = 1000
 MAX_FILE = 512 << 20
 _DIRECTORY = "first_key string, last_key string, warc string, index string, at long, size long, lines int"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_BREAKS = {c: f"%{c:02X}" for c in (10, 13)}  # what would end a header
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -64,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {''.join((url or '').splitlines())}",
+        f"WARC-Target-URI: {(url or '').translate(_BREAKS)}",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
@@ -189,20 +191,27 @@ def _block(fs: pafs.FileSystem, base: str, index: str, at: int, size: int) -> li
     return out
 
 
-def lookup(spark: SparkSession, archive: Archive, key: str) -> list[tuple[dict[str, str], bytes]]:
-    """Records of one URL key, by binary search of the directory and of the blocks it names."""
+def _covering(ranges: list, key: str) -> list:
+    """Of (first_key, last_key, ...) rows in key order those that may hold a key. Ranges meet at their ends only, so both ends are sorted."""
+    begin = bisect.bisect_left(ranges, key, key=lambda r: r.last_key)
+    return ranges[begin : bisect.bisect_right(ranges, key, key=lambda r: r.first_key)]
+
+
+def lookup(spark: SparkSession, archive: Archive, key: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of one URL key, one at a time: binary searches of the files' key ranges, of these files' part of the directory and of the blocks found.
+
+    One row per WARC file comes to the driver, then one per block of the files that may hold the key, then one block at a time.
+    """
     directory = spark.read.schema(_DIRECTORY).parquet(archive.directory)
-    blocks = sorted(directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect(), key=lambda r: (r.first_key, r.warc, r.at))
+    files = directory.groupBy("warc").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")).collect()
     fs, base = pafs.FileSystem.from_uri(archive.root)
-    out = []
-    for b in blocks:
-        entries = _block(fs, base, b["index"], b.at, b["size"])
-        i = bisect.bisect_left(entries, (key,))
-        with fs.open_input_file(f"{base}/{b.warc}") as f:
-            while i < len(entries) and entries[i][0] == key:
-                out.append(parse(f.read_at(entries[i][2], entries[i][1])))
-                i += 1
-    return out
+    for file in _covering(sorted(files, key=lambda r: (r.first_key, r.last_key)), key):
+        blocks = sorted(directory.filter(F.col("warc") == file.warc).collect(), key=lambda r: r.at)
+        with fs.open_input_file(f"{base}/{file.warc}") as f:
+            for b in _covering(blocks, key):
+                entries = _block(fs, base, b["index"], b.at, b["size"])
+                for _, at, size in entries[bisect.bisect_left(entries, (key,)) : bisect.bisect_right(entries, (key, 1 << 62))]:
+                    yield parse(f.read_at(size, at))
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
