@@ -1,16 +1,19 @@
 """Token counts with a digest cache.
 
-A text is normalised (runs of blanks, tabs and line ends become one blank; none at the ends), which this tokenizer's
-count doesn't depend on, and keyed by the SHA-256 of the result together with the digest of the tokenizer's file. Keys
+A text is normalised (runs of blanks, tabs and line ends become one blank; none at the ends), where the tokenizer's rules show that
+its count doesn't depend on that (``known_rules``), else left as it is, and keyed by the SHA-256 of the result together with the digest of the tokenizer's file. Keys
 that the cache table holds aren't encoded again; of the others each distinct text is encoded once and appended.
 
 Texts to encode travel compressed, once per scan task at most, so copies of one text don't meet in one task. Encoding remembers
-the counts of words, which this tokenizer encodes one by one; unknown words go through the library. Null texts count as empty. Rows with equal doc_id each get their count.
+the counts of words, where the tokenizer encodes these one by one; unknown words, and all texts for tokenizers of other rules, go through
+the library: tokenizers for .json, sentencepiece for .model. Null texts count as empty. Rows with equal doc_id each get their count, and
+null ids too. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -33,8 +36,26 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:32]
 
 
-def digest(text: Column) -> Column:
-    return F.unhex(F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, " ")), 256))
+#: Normaliser and first split of a tokenizer for which white space and the words of _CUT are as assumed here.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+}
+
+
+def known_rules(path: str) -> bool:
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    special = all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"]) for x in made.get("added_tokens") or [])
+    return special and made.get("normalizer") == _RULES["normalizer"] and steps[:1] == [_RULES["split"]] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"] and made.get("post_processor") is None
+
+
+def digest(text: Column, fold: bool) -> Column:
+    plain = F.coalesce(text, F.lit(""))
+    return F.unhex(F.sha2(F.trim(F.regexp_replace(plain, _WHITE, " ")) if fold else plain, 256))
 
 
 #: The tokenizer's way to cut a normalised text, for texts of the characters of PLAIN: contractions, words, single digits, other.
@@ -52,11 +73,19 @@ class Counter:
 
     def __init__(self, path: str, pieces: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.by_words = known_rules(path)
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            pieces_of = SentencePieceProcessor(model_file=path)
+            self.whole = lambda text: len(pieces_of.encode(text))
+        else:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(path)
+            self.library.no_truncation()
+            self.library.no_padding()
+            self.whole = lambda text: len(self.library.encode(text, add_special_tokens=False).ids)
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.pieces = pieces
@@ -76,13 +105,13 @@ class Counter:
             if word_ids[-1] + 1 == len(part):
                 self.known.update(zip(part, np.bincount(word_ids, minlength=len(part)).tolist()))
             else:
-                self.known.update((p, len(self.library.encode(p, add_special_tokens=False).ids)) for p in part)
+                self.known.update((p, self.whole(p)) for p in part)
 
     def __call__(self, texts: list[str]) -> list[int]:
         out = []
         for text in texts:
-            if "<|" in text or not _PLAIN(text):
-                out.append(len(self.library.encode(text, add_special_tokens=False).ids))
+            if not self.by_words or "<|" in text or not _PLAIN(text):
+                out.append(self.whole(text))
                 continue
             words = _CUT(text.lower())
             try:
@@ -112,7 +141,7 @@ def encode_misses(documents: DataFrame, cache: DataFrame, tokenizer: str) -> Dat
                 n += count([unpack(x).decode() for x in raw[a:b]])
             yield pa.record_batch([pa.array([keys[i] for i in new], pa.binary()), pa.array([version] * len(new), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
-    texts = packed_texts(documents.select(digest(F.col("text")).alias("digest"), "text"), "digest").repartition("digest")
+    texts = packed_texts(documents.select(digest(F.col("text"), known_rules(tokenizer)).alias("digest"), "text"), "digest").repartition("digest")
     known = cache.filter(F.col("tokenizer") == version).select("digest")
     return texts.join(known, "digest", "left_anti").mapInArrow(run, CACHE_SCHEMA)
 
@@ -136,5 +165,5 @@ def count_tokens(documents: DataFrame, tokenizer: str, cache_path: str) -> DataF
     encode_misses(documents, open_cache(spark, cache_path), tokenizer).write.mode("append").parquet(cache_path)
     # Written first: a join of two plain exchanges is one whose skew Spark can split, and many rows may share a text.
     counts, _ = materialise(open_cache(spark, cache_path).filter(F.col("tokenizer") == tokenizer_version(tokenizer)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    keyed = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest(F.col("text")).alias("digest"))
+    keyed = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest(F.col("text"), known_rules(tokenizer)).alias("digest"))
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
