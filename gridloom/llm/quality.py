@@ -5,8 +5,9 @@ word's first two and last two bytes and whether it repeats the word before. Each
 value of a feature is its share of the text's n-grams times SCALE. A score is the sparse dot product with the weights
 through the logistic function, so texts of any length are scored whole.
 
-Training reads at most ``max_rows`` labelled texts, those with the smallest hash of their doc_id; that bound is the
-only sample. Updates run in that order, so that the model depends on the rows alone.
+Training reads at most ``max_rows`` labelled ids, those with the smallest hash of their doc_id, and of these as many as have ``MAX_BYTES``
+of text together, whole texts only and repeated rows included; that bound is the only sample. Updates run in that order, so that the
+model depends on the rows alone. Other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from gridloom.llm.common import slices, small_arrow_batches, text_bytes
 
 BITS = 20
 SCALE = 20.0
-MAX_ROWS = 4000
+MAX_ROWS, MAX_BYTES = 4000, 64 << 20
 THRESHOLD = 0.3
 
 _CLASS = np.arange(256, dtype=np.uint64)
@@ -97,9 +98,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
         .orderBy("at", "doc_id")
         .limit(max_rows)
     )
+    chosen = documents.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # max_rows rows of three numbers
+    sizes = documents.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("at", "doc_id").agg(F.sum("n").alias("n"))
+    total, fits = 0, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["at"], r.doc_id)):
+        total += r.n or 0
+        if total > MAX_BYTES and fits:
+            break
+        fits.append(r["at"])
     rows = (
         documents.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # max_rows rows of three numbers
+        .join(F.broadcast(chosen.filter(F.col("at") <= (fits[-1] if fits else 0))), "doc_id")
         .select("at", "label", "text")
         .mapInArrow(_train_features, "at long, label int, i binary, x binary")
         .collect()  # max_rows sparse vectors
