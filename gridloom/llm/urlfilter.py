@@ -5,7 +5,9 @@ parameters, fragment). Token sets of labelled URLs, with one more token for thos
 association rules that conclude "bad" are kept if their support and confidence suffice, they say more than the share of bad URLs
 does (lift above 1, or certain) and no rule on fewer of their tokens is as confident. An inverted index from the rarest token of a rule to the rule finds what matches a URL.
 
-Null URLs and those without ``://`` have an empty host and path, no tokens, and are allowed unless a rule says otherwise.
+Null URLs and those without ``://`` have an empty host and path, no tokens, and are allowed unless a rule says otherwise. Repeated
+pages are each judged; of hand-written rules of equal length the first in the list wins. Without labelled URLs no rule is mined; an empty
+table gives an empty result. Other columns of pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checked_join, materialise
+from gridloom.llm.common import checked_join, delete_quietly, materialise
 
 BAD = "=bad"
-MIN_SUPPORT = 0.002
+#: A rule's support: a share of the labelled URLs, and so many of them at least, since one occurrence says nothing.
+MIN_SUPPORT, MIN_COUNT = 0.002, 5
 MIN_CONFIDENCE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,14 +61,17 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     baskets = labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(
         F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens_of(F.col("url"))).alias("items")
     )
-    if baskets.isEmpty():
+    baskets, baskets_path = materialise(baskets, "baskets")
+    n = baskets.count()
+    if n < MIN_COUNT:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(baskets)
+    rules, rules_path = materialise(
         model.associationRules.filter(F.array_contains("consequent", BAD) & ((F.col("lift") > 1 + 1e-9) | (F.col("confidence") == 1)))
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    )
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"),
+        "mined",
+    )  # written: mining is not done again for each use
+    single = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     # A rule goes if one on fewer of its tokens is as confident: those that hold one of its tokens are looked up.
     simpler = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("simpler"))
     redundant = (
@@ -77,13 +83,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     )
     kept = rules.join(redundant, "tokens", "left_anti")
     rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    return kept.join(rarest, "tokens").select("tokens", F.col("rarest.token").alias("index_token"), "confidence", "support")
+    out, _ = materialise(kept.join(rarest, "tokens").select("tokens", F.col("rarest.token").alias("index_token"), "confidence", "support"), "rules")
+    for path in (baskets_path, rules_path):
+        delete_quietly(labelled.sparkSession, path)
+    return out
 
 
 def mined_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls that a mined rule blocks, with the most confident rule's confidence."""
     index, index_path = materialise(rules, "rules")
-    listed = urls.select("url").filter(F.col("url").isNotNull()).select("url", tokens_of(F.col("url")).alias("has"))
+    listed = urls.select("url").filter(F.col("url").isNotNull()).distinct().select("url", tokens_of(F.col("url")).alias("has"))
     return (
         checked_join(listed.select("url", "has", F.explode("has").alias("index_token")), index, index_path, "index_token")
         .filter(F.size(F.array_except("tokens", "has")) == 0)
@@ -109,7 +118,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame) -> D
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     listed = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     listed = listed.withColumns({"rule": rule, "ruled": verdict})
-    blocked = mined_verdict(listed.filter(F.col("ruled").isNull()), mined)
-    return listed.join(blocked, "url", "left").select(
+    # Written: broadcast if it is small, else a join of two exchanges, whose skew Spark can split where many pages share a URL.
+    blocked, path = materialise(mined_verdict(listed.filter(F.col("ruled").isNull()), mined), "blocked")
+    return checked_join(listed, blocked, path, "url", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence"
     )
