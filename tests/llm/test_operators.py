@@ -144,10 +144,10 @@ def test_warc_round_trip(spark, sf, tmp_path):
         want.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if revisit else "response", k if revisit else None))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     archive = warc.write_archive(pages, f"file://{tmp_path}/w")
-    found = warc.lookup(spark, archive, "com,a)/de/x.html")
+    found = list(warc.lookup(spark, archive, "com,a)/de/x.html"))
     assert len(found) == 2 and all(h["WARC-Target-URI"] == "http://a.com/de/x.html" for h, _ in found)
-    assert {h["WARC-Type"] for h, _ in found} == {"response"} and warc.lookup(spark, archive, "com,a)/none") == []
-    assert warc.lookup(spark, archive, "fr,com,b)") == []
+    assert {h["WARC-Type"] for h, _ in found} == {"response"} and list(warc.lookup(spark, archive, "com,a)/none")) == []
+    assert list(warc.lookup(spark, archive, "fr,com,b)")) == []
 
 
 def removed_words(rows):
@@ -292,6 +292,64 @@ def test_url_rules_are_mined(spark):
     assert judged == {i: "block" if i % 4 == 1 else "allow" for i in range(80)}
 
 
+def test_mined_verdicts_by_brute_force(spark):
+    """Verdicts against all combinations of tokens counted one by one."""
+    from itertools import combinations
+
+    r = random.Random(21)
+    rows = [(i, f"http://{r.choice(['a', 'b'])}.net/{r.choice(['x', 'y', 'z'])}/{r.choice(['p', 'q'])}?{r.choice(['k', 'l'])}=1", None) for i in range(400)]
+    rows = [(i, u, ("/x/" in u and "?k" in u) != (r.random() < 0.1)) for i, u, _ in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    has = {x.page_id: frozenset(x.has) for x in df.select("page_id", urlfilter.tokens_of(df.url).alias("has")).collect()}
+    times, bads = Counter(), Counter()
+    for i, _, bad in rows:
+        for k in range(1, len(has[i]) + 1):
+            for c in combinations(sorted(has[i]), k):
+                times[c] += 1
+                bads[c] += bad
+    base = sum(b for _, _, b in rows) / len(rows)
+    rules = {c for c in bads if bads[c] >= urlfilter.MIN_COUNT and bads[c] / times[c] >= urlfilter.MIN_CONFIDENCE and bads[c] / times[c] > base}
+    want = {i: "block" if any(set(c) <= has[i] for c in rules) else "allow" for i, _, _ in rows}
+    assert len(set(want.values())) == 2 and {x.page_id: x.verdict for x in urlfilter.judge(df, [], urlfilter.mine(df)).collect()} == want
+
+
+def test_ftrl_one_number_at_a_time():
+    """Weights against the same updates written out for single numbers, and scores against their sums."""
+    r, rows = random.Random(3), []
+    for _ in range(30):
+        index = sorted(r.sample(range(40), 6))
+        rows.append((np.array(index, np.uint32), np.array([r.random() * 3 for _ in index], np.float32), r.randrange(2)))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.002, 0.05
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(6):
+        for index, value, label in rows:
+            x = {**{int(i): float(v) for i, v in zip(index, value)}, "one": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    weights, intercept = quality.ftrl(rows)
+    assert abs(intercept - weight("one")) < 1e-9 and all(abs(weights[i] - weight(i)) < 1e-6 for i in range(40)) and not weights[40:].any()
+    text = b"Some words here, some words there"
+    grams = np.concatenate([g for g, _ in quality._grams(textnum.Words([text], textnum.SPACE))])
+    w = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32)
+    assert abs(quality.score_texts([text], w, 0.25)[0] - 1 / (1 + math.exp(-(0.25 + quality.SCALE * sum(float(w[i]) for i in grams) / len(grams))))) < 1e-6
+
+
+def test_training_texts_are_bounded_by_bytes(spark, monkeypatch):
+    """Long and repeated training texts: whole ones up to the bound, and one at least."""
+    monkeypatch.setattr(quality, "MAX_BYTES", 5000)
+    rows = [(i, ("good prose here " if i % 2 else "BAD!! JUNK!! ") * 60) for i in range(40)] + [(1, "good prose here " * 60)] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "ftrl", lambda rows: seen.append(len(rows)) or (np.zeros(1 << quality.BITS, np.float32), 0.0))
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert 1 <= seen[0] <= 7
+
+
 def test_quality_scores(spark, sf, docs):
     got = run(spark, sf, "op7_quality")
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
@@ -319,6 +377,14 @@ def test_virtual_slots(spark, sf, docs):
         places[r.shard].append(r.slot)
         assert shard_of.setdefault(r.virtual_slot, r.shard) == r.shard and 0 <= r.shard < 16
     assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    # The map: slots from the largest, each to the shard with the fewest bytes so far.
+    sizes, loads = Counter(), [0] * 16
+    for r in got:
+        sizes[r.virtual_slot] += r.size
+    for slot, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        shard = loads.index(min(loads))
+        assert shard_of[slot] == shard
+        loads[shard] += size
 
 
 def test_slots_balance_and_move_little(spark, tmp_path):
@@ -391,6 +457,60 @@ def textnum_words(text):
     return out
 
 
+def test_long_items_of_equal_words_take_linear_time():
+    """An item and a text of n equal words: twice as many take about twice as long, and windows count once."""
+    import time
+
+    def seconds(n):
+        automaton = decontaminate.build([("i", b"a " * n), ("short", b"a a a")])
+        begin = time.perf_counter()
+        [(_, spans, items)] = decontaminate.match(textnum.Words([b"a " * n], textnum.NOT_ALNUM, lower=True), automaton)
+        assert spans == [(0, n)] and items == {"i", "short"} and sum(map(len, automaton.marks.values())) == 2
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert min(seconds(16_000) for _ in range(3)) < 20 * min(seconds(2000) for _ in range(3)) + 0.05
+
+
+def test_lookup_in_many_blocks(spark, tmp_path, monkeypatch):
+    """A URL whose records reach over many blocks and files, and URLs between them."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(i, "http://hot.org/a b" if i % 3 == 0 else f"http://h{i % 10}.org/{i}\r\n\u2028", f"page {i}") for i in range(400)]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    page = lambda h: int(h["WARC-Record-ID"].split(":")[-1].rstrip(">"))
+    assert sorted((page(h), p.decode()) for h, p in warc.lookup(spark, archive, "org,hot)/a b")) == [(i, f"page {i}") for i in range(0, 400, 3)]
+    for i in (1, 200, 398):
+        [(h, p)] = warc.lookup(spark, archive, f"org,h{i % 10})/{i}\r\n\u2028")
+        assert (page(h), p, h["WARC-Target-URI"]) == (i, f"page {i}".encode(), f"http://h{i % 10}.org/{i}%0D%0A\u2028")
+
+
+def test_other_tokenizers_go_through_the_library(spark, tmp_path):
+    import glob
+    import os
+
+    import public_tokenizers
+
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    others = [p for p in sorted(glob.glob(f"{folder}/*.json") + glob.glob(f"{folder}/*.model")) if not tokencount.known_rules(p)]
+    assert tokencount.known_rules(public_tokenizers.path("word_bpe_49k.json")) and others
+    texts = ["one  two\n", " one two", "It's 42!\t\tx", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, path in enumerate(others[:4]):
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            count = lambda t, m=SentencePieceProcessor(model_file=path): len(m.encode(t))
+        else:
+            from tokenizers import Tokenizer
+
+            try:
+                count = lambda t, m=Tokenizer.from_file(path): len(m.encode(t, add_special_tokens=False).ids)
+            except Exception:
+                continue  # not a tokenizer's file
+        got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, path, f"file://{tmp_path}/c{n}").collect()}
+        assert got == {i: count(t or "") for i, t in enumerate(texts)}, path
+
+
 def test_benchmark_leaks(spark, sf, docs):
     items = [("" if r.item_id is None else str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text is not None]
     want = sorted(map(repr, leaks(docs, items)))
