@@ -18,7 +18,7 @@ that connects needs no further comparison. Then, in buckets that still hold seve
 of up to ``ALL_PAIRS`` texts in full; the texts of larger ones get ``DEEP_SKETCHES`` sharper sketches of ``DEEP_L`` labelled words, by which two
 texts at the threshold still meet with probability 0.99. A bucket that is large even so is compared with a leader again. What the leader
 doesn't match is compared with what it does match, unless their distances to it rule that out (bag distance, a lower bound of the
-edit distance, is a metric), and forms the bucket's next round among itself, in which buckets up to four times as large are compared
+edit distance, is a metric), and forms the bucket's next round among itself, in which buckets up to sixteen times as large are compared
 in full. What a leader leaves meets what it matches in blocks of some ``BLOCK`` texts, each text until it has found one. So every pair of
 a bucket is compared, ruled out, or connected already. Nothing is capped.
 
@@ -268,6 +268,21 @@ def _within_reach(u: dict, m: dict) -> bool:
     return u["part"] != m["part"] and abs(u["bag"] - m["bag"]) <= few and abs(u["words"] - m["words"]) <= few
 
 
+def _shared_words(us: list[np.ndarray], ms: list[np.ndarray], wide: int = 1 << 16) -> np.ndarray:
+    """How many labelled words each text of us shares with each of ms, by products of slices of their incidence matrices."""
+    words, at = np.unique(np.concatenate([*us, *ms]), return_inverse=True)
+    of = np.repeat(np.arange(len(us) + len(ms)), [len(x) for x in (*us, *ms)])
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    out = np.zeros((len(us), len(ms)), dtype=np.float32)
+    for a in range(0, len(words), wide):
+        i, j = np.searchsorted(at, [a, a + wide])
+        held = np.zeros((len(us) + len(ms), min(wide, len(words) - a)), dtype=np.float32)
+        held[of[i:j], at[i:j] - a] = 1
+        out += held[: len(us)] @ held[len(us) :].T
+    return out
+
+
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, part): for each text of us the first of ms that it is near to, if any; ms are connected, so one is enough."""
     import zstandard
@@ -282,11 +297,16 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = textnum.Words([unpack(x["packed"]) for x in each], textnum.SPACE)
             h, f = words.hashes(), words.first
             texts = [h[f[t] : f[t + 1]] for t in range(len(each))]
+            if not ms:
+                continue
             bags = [labelled(x) for x in texts]
+            longer = np.maximum.outer([len(x) for x in texts[: len(us)]], [len(x) for x in texts[len(us) :]])
+            apart = longer - _shared_words(bags[: len(us)], bags[len(us) :])
             for i, u in enumerate(us):
-                for j, m in enumerate(ms, len(us)):
-                    if _within_reach(u, m) and compare(texts[i], texts[j], bags[i], bags[j])[1]:
-                        found.append((u["node"], m["node"], u["leader_part"]))
+                for j in np.flatnonzero(apart[i] <= (1 - SIMILARITY) * longer[i] + 1e-9).tolist():
+                    most = most_edits(int(longer[i, j]))
+                    if _within_reach(u, ms[j]) and edit_distance(texts[i], texts[len(us) + j], most) <= most:
+                        found.append((u["node"], ms[j]["node"], u["leader_part"]))
                         break
         yield pa.record_batch([pa.array(x, pa.binary()) for x in (zip(*found) if found else [[]] * 3)], ["a", "b", "part"])
 
@@ -319,10 +339,10 @@ def _shared(rows: DataFrame, path: str) -> tuple[DataFrame, str]:
 
 
 def _met(members: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """members with their bucket's size n and its leader: the member that is in buckets with the most others, the nearest to what all derive from."""
+    """Members of buckets that several parts share, with the bucket's size n and its leader: the member that is in buckets with the most others, the nearest to what all derive from."""
     degree, degree_path = materialise(members.groupBy("node").agg(F.sum("weight").alias("degree")), "degree")
-    ranked = members.join(degree, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node", "part")).alias("top"))
-    ranked, ranked_path = materialise(ranked.select("bucket", "n", F.col("top.node").alias("leader"), F.col("top.part").alias("leader_part")), "leaders")
+    ranked = members.join(degree, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("degree", "node", "part")).alias("top"))
+    ranked, ranked_path = materialise(ranked.filter("low != high").select("bucket", "n", F.col("top.node").alias("leader"), F.col("top.part").alias("leader_part")), "leaders")
     out = materialise(members.join(ranked, "bucket"), "met")
     for old in (path, degree_path, ranked_path):
         delete_quietly(members.sparkSession, old)
@@ -372,9 +392,11 @@ def near_groups(texts: DataFrame) -> tuple[DataFrame, str]:
         delete_quietly(spark, old)
     more: list[DataFrame] = []
     most = ALL_PAIRS
-    while not members.isEmpty():
+    while True:
         met, met_path = _met(members, path)
-        led = met.filter((F.col("n") > most) & (F.col("node") != F.col("leader"))).select("bucket", "node", "part", "leader", "leader_part", (F.col("part") != F.col("leader_part")).alias("align"))
+        if met.isEmpty():
+            break
+        led = met.filter((F.col("n") > most) & (F.col("node") != F.col("leader"))).select("bucket", "node", "weight", "part", "leader", "leader_part", (F.col("part") != F.col("leader_part")).alias("align"))
         pairs = _across(met, most).unionByName(led.select(F.col("leader").alias("a"), F.col("node").alias("b"), "align")).distinct()
         pairs, pairs_path = materialise(pairs, "pairs")
         judged, _ = _judged(pairs, held)
@@ -387,12 +409,11 @@ def near_groups(texts: DataFrame) -> tuple[DataFrame, str]:
         # And it goes on among itself; what has been connected with a leader takes its part.
         left = led.filter("align").join(by_leader.filter("near").select("leader", "node"), ["leader", "node"], "left_anti")
         now = by_leader.filter("near").select("node", "leader_part").unionByName(across.select(F.col("a").alias("node"), F.col("part").alias("leader_part"))).groupBy("node").agg(F.min("leader_part").alias("now"))
-        members, path = materialise(left.join(now, "node", "left").select("node", "bucket", F.coalesce("now", "part").alias("part")), "members")
-        members, path = _shared(members, path)
+        members, path = materialise(left.join(now, "node", "left").select("node", "bucket", "weight", F.coalesce("now", "part").alias("part")), "members")
         for old in (met_path, pairs_path, led_path):
             delete_quietly(spark, old)
-        most *= 4
-    for old in (path, held_path):
+        most *= 16
+    for old in (met_path, held_path):
         delete_quietly(spark, old)
     return _regrouped(part, reduce(DataFrame.unionByName, more)) if more else (part, part_path)
 
