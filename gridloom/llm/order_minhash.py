@@ -19,7 +19,7 @@ of up to ``ALL_PAIRS`` texts in full; the texts of larger ones get ``DEEP_SKETCH
 texts at the threshold still meet with probability 0.99. A bucket that is large even so is compared with a leader again. What the leader
 doesn't match is compared with what it does match, unless their distances to it rule that out (bag distance, a lower bound of the
 edit distance, is a metric), and forms the bucket's next round among itself, in which buckets up to sixteen times as large are compared
-in full. What a leader leaves meets what it matches in blocks of some ``BLOCK`` texts, each text until it has found one. So every pair of
+in full. What a leader leaves meets what it matches in blocks of some ``BLOCK`` texts or ``BLOCK_WORDS`` words, each text until it has found one. So every pair of
 a bucket is compared, ruled out, or connected already. Nothing is capped.
 
 Equal texts are one node throughout. Null texts count as empty, and empty texts equal each other. White space doesn't tell texts apart.
@@ -49,8 +49,8 @@ DEEP_L, DEEP_SKETCHES = 8, 128
 ALL_PAIRS = 16
 #: Groups of scan tasks among which copies of a text are put together first.
 PARTS = 64
-#: Texts in a block, some, when what leaders leave meets what they match.
-BLOCK = 64
+#: Texts in a block, some, when what leaders leave meets what they match, and words, so that long texts come in smaller blocks.
+BLOCK, BLOCK_WORDS = 64, 1 << 17
 SIMILARITY = 0.8
 #: Bag distance to a leader, as a share of the longer text, beyond which a text isn't similar to what the leader matches: 0.2 of a text
 #: 1.25 times as long as the leader, and 0.2 of one 1.25 times as long as that.
@@ -283,22 +283,29 @@ def _shared_words(us: list[np.ndarray], ms: list[np.ndarray], wide: int = 1 << 1
     return out
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, part): for each text of us the first of ms that it is near to, if any; ms are connected, so one is enough."""
+def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
+    """Word hashes of each text; a slice of bounded size is unpacked at a time."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
+    out = []
+    for i, j in slices([zstandard.frame_content_size(x) for x in packed], 1 << 20):
+        words = textnum.Words([unpack(x) for x in packed[i:j]], textnum.SPACE)
+        h, f = words.hashes(), words.first
+        out += [h[f[t] : f[t + 1]] for t in range(j - i)]
+    return out
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, part): for each text of us the first of ms that it is near to, if any; ms are connected, so one is enough."""
     for batch in batches:
         found = []
         for r in range(batch.num_rows):
             us, ms = batch.column("us")[r].as_py(), batch.column("ms")[r].as_py()
             ms = [m for m in sorted(ms, key=lambda m: m["bag"]) if any(_within_reach(u, m) for u in us)]
-            each = [*us, *ms]
-            words = textnum.Words([unpack(x["packed"]) for x in each], textnum.SPACE)
-            h, f = words.hashes(), words.first
-            texts = [h[f[t] : f[t + 1]] for t in range(len(each))]
             if not ms:
                 continue
+            texts = _unpacked([x["packed"] for x in (*us, *ms)])
             bags = [labelled(x) for x in texts]
             longer = np.maximum.outer([len(x) for x in texts[: len(us)]], [len(x) for x in texts[len(us) :]])
             apart = longer - _shared_words(bags[: len(us)], bags[len(us) :])
@@ -313,8 +320,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _left_and_matched(by_leader: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b, part) links between what leaders left and what they matched, in blocks of both; part is the leader's."""
-    sizes = by_leader.groupBy("leader", "within").agg(F.count(F.lit(1)).alias("size"))
-    blocks = by_leader.join(sizes, ["leader", "within"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    sizes = by_leader.groupBy("leader", "within").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("words") / BLOCK_WORDS)).alias("blocks"))
+    blocks = by_leader.join(sizes, ["leader", "within"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     rows = F.collect_list(F.struct("node", "packed", "words", "part", "bag", "leader_part"))
     blocks, _ = materialise(blocks.join(held, "node").groupBy("leader", "within", "block").agg(rows.alias("texts")), "blocks")
     us, ms = blocks.filter("not within").select("leader", F.col("block").alias("i"), F.col("texts").alias("us")), blocks.filter("within").select("leader", F.col("block").alias("j"), F.col("texts").alias("ms"))

@@ -603,9 +603,11 @@ def test_recall_by_edits(spark):
         assert all(got[i + 1] == i + 1 for i in pairs if i not in want), kind
 
 
-def test_what_a_leader_leaves_meets_what_it_matches(spark, monkeypatch):
-    """A text that is similar to a member of its large buckets and not to their leader."""
+@pytest.mark.parametrize("block_words", [order_minhash.BLOCK_WORDS, 300])
+def test_what_a_leader_leaves_meets_what_it_matches(spark, monkeypatch, block_words):
+    """A text that is similar to a member of its large buckets and not to their leader, in few and in many blocks."""
     monkeypatch.setattr(order_minhash, "ALL_PAIRS", 4)
+    monkeypatch.setattr(order_minhash, "BLOCK_WORDS", block_words)
     r = random.Random(3)
     base = data.prose(r, 120).split()
     texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate([*range(100, 120)] * 2)]
