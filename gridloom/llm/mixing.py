@@ -54,20 +54,30 @@ def cells(documents: DataFrame, targets: dict = TARGETS) -> DataFrame:
     return out.withColumns({f"cell_{d}": _named(d, targets) for d in DIMENSIONS})
 
 
-def every_source(documents: DataFrame, targets: dict = TARGETS) -> dict:
-    """targets with a share for each source that has tokens; null sources stay REST. A source of the name REST counts as null."""
+def _counted(documents: DataFrame, targets: dict, source: Column) -> dict[tuple[str | None, str, str], int]:
+    """Tokens by source, named language and topic: the one pass that counts words."""
+    by = [source.alias("s"), _named("lang", targets).alias("l"), topic(F.col("text")).alias("t")]
+    return {(r.s, r.l, r.t): r.n for r in documents.groupBy(*by).agg(F.sum(n_tokens(F.col("text"))).alias("n")).collect()}
+
+
+def _dealt(counted: dict[tuple[str | None, str, str], int], targets: dict) -> dict:
+    """targets with a share for each source that has tokens; see every_source."""
     named = targets["source"]
-    totals = {r.source: r.n for r in documents.groupBy("source").agg(F.sum(n_tokens(F.col("text"))).alias("n")).collect() if r.n}
     others: dict[str, float] = {}
-    for source, n in totals.items():
+    for (source, _, _), n in counted.items():
         c = REST if source is None else source
-        if c == REST or c not in named:
+        if n and (c == REST or c not in named):
             others[c] = others.get(c, 0.0) + n
     weight = {c: n**TEMPER for c, n in others.items()}
     rest = named.get(REST, 0.0) / sum(weight.values()) if weight else 0.0
     return {**targets, "source": {c: v for c, v in named.items() if c != REST} | {c: v * rest for c, v in weight.items()}}
 
 
+def every_source(documents: DataFrame, targets: dict = TARGETS) -> dict:
+    """targets with a share for each source that has tokens; null sources stay REST. A source of the name REST counts as null."""
+    return _dealt(_counted(documents, targets, F.col("source")), targets)
+
+
 def rake(tokens: dict[tuple[str, ...], float], targets: dict = TARGETS, iterations: int = ITERATIONS) -> dict[tuple[str, ...], float]:
     """The factor of each cell that has tokens."""
     mass = {k: float(v) for k, v in tokens.items() if v}
@@ -98,10 +108,17 @@ def calibrate(factors: dict[tuple[str, ...], float], tokens: dict[tuple[str, ...
 
 def probabilities(documents: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
     """cells(documents) with each document's sampling probability; by every_source unless targets are given."""
-    targets = every_source(documents) if targets is None else targets
+    if targets is None:  # sources as they are, which the same counts give their targets
+        counted = _counted(documents, TARGETS, F.col("source"))
+        targets = _dealt(counted, TARGETS)
+    else:
+        counted = _counted(documents, targets, _named("source", targets))
     keys = [f"cell_{d}" for d in DIMENSIONS]
+    tokens: dict[tuple[str, ...], int] = {}
+    for (source, *other), n in counted.items():
+        k = (source if source in targets["source"] else REST, *other)
+        tokens[k] = tokens.get(k, 0) + n
     mixed = cells(documents, targets)
-    tokens = {tuple(r[k] for k in keys): r.n for r in mixed.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).collect()}  # named categories only
     rates = calibrate(rake(tokens, targets), tokens, keep)
     rates = documents.sparkSession.createDataFrame([(*k, v) for k, v in sorted(rates.items())], ", ".join(f"{k} string" for k in keys) + ", probability double")
     return mixed.join(F.broadcast(rates), keys, "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
