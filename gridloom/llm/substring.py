@@ -14,7 +14,8 @@ text: all but the first go as a whole (if they have a window at all) and take no
 
 What the steps exchange is packed: for each Arrow batch of texts (a chunk) and each range of hashes (a bucket) one compressed
 row with hashes and word offsets, some 6 bytes a word. In a chunk equal windows are settled on the spot, so a passage that half
-of the corpus repeats reaches its bucket once for each chunk, not once for each copy. Buckets grow in number with the input.
+of the corpus repeats reaches its bucket once for each chunk, not once for each copy. Buckets grow with the input in number and, beyond
+4 GB, by the square root of its bytes also in size up to a task's memory, so that packed rows keep some 100 words at 1 TB (2 at 100 TB).
 
 Null texts have no words. Null ids sort first. Rows that agree in doc_id and place don't remove each other.
 """
@@ -34,7 +35,7 @@ from gridloom.llm import textnum
 from gridloom.llm.common import bytes_at, checked_join, delete_quietly, materialise, slices, small_arrow_batches, text_bytes
 
 WINDOW, BLOCK = 20, 10
-_BUCKET_BYTES = 3 << 20
+_BUCKET_BYTES, _GROW_FROM, _MOST_BUCKET = 3 << 20, 4 << 30, 48 << 20
 _NULL_ID = -(2**63)
 _PACKED = "bucket long, chunk long, kind int, payload binary"
 _ROWS = "id long, version long, runs binary"
@@ -276,6 +277,12 @@ def _named(documents: DataFrame, path_of: list[str]) -> DataFrame:
     return checked_join(named, repeated, path, "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False))).drop("digest", "first")
 
 
+def bucket_bits(size: int) -> int:
+    """Bits of the hash that name a bucket, for size bytes of text."""
+    held = min(_BUCKET_BYTES * max(1.0, size / _GROW_FROM) ** 0.5, _MOST_BUCKET)
+    return max(8, int(size / held).bit_length())
+
+
 def repeats(named: DataFrame) -> tuple[DataFrame, str]:
     """(id, version, runs) of the words to remove from documents that aren't copies."""
     spark = named.sparkSession
@@ -284,7 +291,7 @@ def repeats(named: DataFrame) -> tuple[DataFrame, str]:
     if not texts.groupBy("id", "version").count().filter("count > 1").limit(1).isEmpty():
         texts = texts.dropDuplicates(["id", "version"]).sortWithinPartitions("id", "version")
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    bits = max(8, (int(size) // _BUCKET_BYTES).bit_length())
+    bits = bucket_bits(int(size))
     hits, hits_path = _exchange(texts, _anchors(bits), _probe, _spread(BLOCK, 0, WINDOW - 1), "hits")
     out = _exchange(_attach(texts, hits, hits_path, "inner").select("id", "version", "text", "runs"), _candidates(bits), _settle, _spread(0, WINDOW - 1, 0), "repeats")
     delete_quietly(spark, hits_path)

@@ -667,3 +667,11 @@ def test_url_rules_where_most_are_bad(spark):
     rows = [(i, "http://h/" + "/".join(p for j, p in enumerate(parts) if i % 16 >> j & 1), i % 16 == 15) for i in range(160)]
     df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
     assert [r.tokens for r in urlfilter.mine(df, min_confidence=0.9).collect()] == [[f"path:{p}" for p in parts]]
+
+
+def test_buckets_grow_in_number_and_size():
+    """Up to 4 GB only in number, then in both; never beyond what a task holds."""
+    assert [substring.bucket_bits(n) for n in (0, 500 << 20, 4 << 30)] == [8, 8, 11]
+    for gb in (8, 30, 1000, 100_000):
+        held = (gb << 30) / (1 << substring.bucket_bits(gb << 30))
+        assert held <= substring._MOST_BUCKET and substring.bucket_bits(gb << 30) >= substring.bucket_bits(4 << 30)
