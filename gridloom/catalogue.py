@@ -511,6 +511,70 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(f"{path}/bronze").select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", cleaning.to_double("value").alias("value"))
 
 
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def q_stream_upsert(spark, sf):
+    """Each user's newest event, kept by key in a table that a stream upserts; a second run adds none."""
+    import uuid
+
+    from gridloom.context import RunContext
+    from gridloom.streaming.ingest import stream_csv, upsert_stream
+
+    path, ctx = _landed(spark, sf), RunContext("default", "")
+    name = ctx.table("silver", f"stream_{uuid.uuid4().hex[:8]}")
+    for _ in range(2):
+        stream = stream_csv(spark, f"{path}/events", "event_id string, user_id string, event_type string, value string")
+        typed = stream.select(F.col("user_id").cast("bigint"), F.col("event_id").cast("bigint"), "event_type")
+        upsert_stream(typed, ctx, name, ["user_id"], [F.desc("event_id")], f"{path}/state")
+    return spark.table(name)
+
+
+def _landed_mix(spark: SparkSession, sf: str):
+    """A context of its own whose landing folder holds events as the feed generation_mix."""
+    import uuid
+
+    from gridloom.context import RunContext
+    from gridloom.sources.storage import ensure_schema
+
+    path = f"{_landed(spark, sf)}/feeds"
+    ctx = RunContext(f"landed_{uuid.uuid4().hex[:8]}", path)
+    ensure_schema(spark, ctx)
+    mix = _table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("region"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("generation_ts"), F.col("event_type").alias("source"), F.col("value").cast("string").alias("generation_mw")
+    )
+    return ctx, mix
+
+
+_MIX_ROWS = "SELECT user_id AS region, strftime(ts, '%Y-%m-%d %H:%M:%S') AS generation_ts, event_type AS source, value AS generation_mw FROM events"
+
+
+def _mix_rows(spark: SparkSession, ctx) -> DataFrame:
+    return spark.table(ctx.table("bronze", "generation_mix")).select(F.col("region").cast("bigint"), "generation_ts", "source", cleaning.to_double("generation_mw").alias("generation_mw"))
+
+
+@query(_MIX_ROWS)
+def q_ingest_feed(spark, sf):
+    """The batch ingest, run again after more files have landed, and once more with nothing new."""
+    from gridloom.sources import landing
+
+    ctx, mix = _landed_mix(spark, sf)
+    for part in (mix.filter("source = 'view'"), mix.filter("source is distinct from 'view'"), None):
+        if part is not None:
+            part.write.mode("append").option("header", "true").csv(ctx.feed_path("generation_mix"))
+        landing.ingest_feed(spark, ctx, "generation_mix")
+    return _mix_rows(spark, ctx)
+
+
+@query(_MIX_ROWS)
+def q_ingest_feed_stream(spark, sf):
+    from gridloom.streaming.ingest import ingest_feed_stream
+
+    ctx, mix = _landed_mix(spark, sf)
+    mix.write.option("header", "true").csv(ctx.feed_path("generation_mix"))
+    for _ in range(2):
+        ingest_feed_stream(spark, ctx, "generation_mix", f"{ctx.landing}/state")
+    return _mix_rows(spark, ctx)
+
+
 @query("SELECT event_id, user_id, event_type, value, true AS has_source FROM events")
 def q_csv_roundtrip(spark, sf):
     back = spark.read.schema("event_id string, user_id string, event_type string, value string").option("header", "true").csv(f"{_landed(spark, sf)}/events").withColumn("_source_file", F.col("_metadata.file_path"))

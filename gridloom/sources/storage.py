@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.context import RunContext
+from gridloom.operators.keys import duplicate_keys
 
 WITH_MERGE = ("delta", "iceberg")
 
@@ -37,25 +38,36 @@ def replace(df: DataFrame, name: str, ctx: RunContext, partition_by: Sequence[st
 
 
 def upsert(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str], ctx: RunContext, partition_by: Sequence[str] = ()) -> None:
-    """Rows of df replace those with equal keys (null equals null) and join the others; nothing is deleted."""
+    """Rows of df replace those with equal keys (null equals null) and join the others; nothing is deleted.
+
+    df is written once, to a table of its own, and everything else reads that. Keys that occur twice in it raise, as MERGE does.
+    """
     staging = f"{name[:-1]}__staging`"
     if exists(spark, staging):  # an earlier call broke off between writing and swapping
         if exists(spark, name):
             _swap(spark, staging, name)
         else:
             spark.sql(f"DROP TABLE {staging}")
-    if not exists(spark, name):
-        replace(df, name, ctx, partition_by)
-        return
-    columns = spark.table(name).columns
-    if ctx.table_format in WITH_MERGE:
+    if ctx.table_format in WITH_MERGE and exists(spark, name):
         on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
         spark.sql(f"MERGE INTO {name} t USING {{source}} s ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *", source=df)
         return
-    old, new = spark.table(name).alias("t"), df.select(*keys).alias("s")
-    same = reduce(lambda a, b: a & b, (F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys))
-    replace(old.join(new, same, "left_anti").select(*columns).unionByName(df.select(*columns)), staging, ctx)
-    _swap(spark, staging, name)
+    incoming = f"{name[:-1]}__incoming`"
+    replace(df, incoming, ctx)
+    try:
+        given = spark.table(incoming)
+        if not duplicate_keys(given, keys).limit(1).isEmpty():
+            raise ValueError(f"{name}: rows to upsert repeat a key of {', '.join(keys)}")
+        if not exists(spark, name):
+            replace(given, name, ctx, partition_by)
+            return
+        columns = spark.table(name).columns
+        old, new = spark.table(name).alias("t"), given.select(*keys).alias("s")
+        same = reduce(lambda a, b: a & b, (F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys))
+        replace(old.join(new, same, "left_anti").select(*columns).unionByName(given.select(*columns)), staging, ctx)
+        _swap(spark, staging, name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {incoming}")
 
 
 def _swap(spark: SparkSession, staging: str, name: str) -> None:

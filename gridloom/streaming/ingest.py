@@ -1,14 +1,19 @@
 """Streaming ingest: the same files, found by a file stream whose checkpoint knows which it has read.
 
-availableNow makes it a job that ends; rows go to the bronze table once each, as the batch ingest's do.
+availableNow makes it a job that ends; rows go to the bronze table once each, as the batch ingest's do. Rows with keys go through
+``upsert_stream``: a micro-batch that runs again after a failure replaces what its first attempt left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.context import RunContext
+from gridloom.operators.keys import latest_per_key
+from gridloom.sources import storage
 from gridloom.sources.feeds import raw_schema
 
 
@@ -21,3 +26,21 @@ def ingest_feed_stream(spark: SparkSession, ctx: RunContext, feed: str, checkpoi
     query = stamped.writeStream.format(ctx.table_format).option("checkpointLocation", f"{checkpoint}/{feed}").trigger(availableNow=True).toTable(ctx.table("bronze", feed))
     query.awaitTermination()
 
+
+def upsert_stream(stream: DataFrame, ctx: RunContext, name: str, keys: Sequence[str], newest_first: Sequence[Column], checkpoint: str) -> None:
+    """Upsert a stream's rows by key until it has none left: the newest row of a batch for each key, later batches over earlier ones.
+
+    Batches run in a session of their own, so either session forgets the files that it knows of the table.
+    """
+
+    def put(batch: DataFrame, _: int) -> None:
+        _forget_files(batch.sparkSession, name)
+        storage.upsert(batch.sparkSession, latest_per_key(batch, keys, newest_first), name, keys, ctx)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _forget_files(stream.sparkSession, name)
+
+
+def _forget_files(spark: SparkSession, name: str) -> None:
+    if storage.exists(spark, name):
+        spark.sql(f"REFRESH TABLE {name}")

@@ -10,7 +10,7 @@ from gridloom.context import RunContext
 from gridloom.plans import pipeline, quality, refine
 from gridloom.sources import landing, storage, synth
 from gridloom.sources.feeds import FEEDS
-from gridloom.streaming.ingest import ingest_feed_stream
+from gridloom.streaming.ingest import ingest_feed_stream, stream_csv, upsert_stream
 from tests.conftest import raw
 from tests.test_refine import _site
 
@@ -46,6 +46,58 @@ def test_ingest_reads_each_file_once(spark, ctx):
     assert (second.rows, second.files_ingested, second.files_skipped) == (0, 0, 2)
 
 
+def test_ingest_reads_no_known_file(spark, ctx, monkeypatch):
+    folder = Path(ctx.landing) / "prices"
+    folder.mkdir(parents=True)
+    row = lambda day: f"north,{day}T00:00:00,1.5,day_ahead\n"
+    put = lambda file, day: (folder / file).write_text(",".join(FEEDS["prices"]) + "\n" + row(day))
+    put("a b[1].csv", "2024-01-01")
+    assert landing.ingest_feed(spark, ctx, "prices") == landing.Ingested("prices", 1, 1, 0)
+    put("c.csv", "2024-01-02")
+    read = []
+    plain = landing.read_csv
+    monkeypatch.setattr(landing, "read_csv", lambda s, path, feed: read.extend(path) or plain(s, path, feed))
+    assert landing.ingest_feed(spark, ctx, "prices") == landing.Ingested("prices", 1, 1, 1)
+    assert [p.rsplit("/", 1)[1] for p in read] == ["c.csv"]
+    assert landing.ingest_feed(spark, ctx, "prices") == landing.Ingested("prices", 0, 0, 2) and len(read) == 1
+
+
+def test_ingest_after_a_run_that_broke_off(spark, ctx, monkeypatch):
+    synth.write_csv(synth.generate(synth.Options(1, 1, seed=1)), ctx.landing)
+    enter = landing._enter
+
+    def breaks(spark, ctx, feed, files, state):
+        if state == "done":
+            raise OSError("gone")
+        enter(spark, ctx, feed, files, state)
+
+    monkeypatch.setattr(landing, "_enter", breaks)
+    with pytest.raises(OSError):  # the rows are there, the ledger doesn't say so
+        landing.ingest_feed(spark, ctx, "prices")
+    monkeypatch.setattr(landing, "_enter", enter)
+    assert landing.ingest_feed(spark, ctx, "prices") == landing.Ingested("prices", 0, 0, 1)
+    assert spark.table(ctx.table("bronze", "prices")).count() == 72
+    spark.sql(f"DROP TABLE {ctx.table('ops', 'ingested_files')}")  # tables from before there was a ledger
+    assert landing.ingest_feed(spark, ctx, "prices").rows == 0
+
+
+def test_stream_upserts_by_key(spark, ctx, tmp_path):
+    folder, name, state = tmp_path / "in", ctx.table("silver", "stream"), str(tmp_path / "state")
+    folder.mkdir()
+    run = lambda at: upsert_stream(stream_csv(spark, str(folder), "id string, v int").drop("_source_file"), ctx, name, ["id"], [F.desc("v")], at)
+    (folder / "1.csv").write_text("id,v\na,1\na,3\nb,2\n")
+    run(state)
+    (folder / "2.csv").write_text("id,v\nb,1\nc,9\n")
+    run(state)
+    want = {"a": 3, "b": 1, "c": 9}
+    assert {r.id: r.v for r in spark.table(name).collect()} == want and spark.table(name).count() == 3
+    run(state)  # nothing new
+    assert spark.table(name).count() == 3
+    shutil.rmtree(tmp_path / "state" / "commits")  # a batch that was written, but not noted, runs again
+    run(state)
+    assert spark.table(name).count() == 3
+
+
 def test_stream_ingest_reads_each_file_once(spark, ctx, tmp_path):
     synth.write_csv(synth.generate(synth.Options(1, 1, seed=1)), ctx.landing)
     for _ in range(2):
@@ -64,6 +116,9 @@ def test_upsert_and_replace(spark, ctx):
     storage.upsert(spark, frame([(1, "a"), (2, "b"), (None, "n")]), name, ["id"], ctx)
     storage.upsert(spark, frame([("B", 2), ("c", 3), ("N", None)], "v string, id int"), name, ["id"], ctx)
     assert {r.id: r.v for r in spark.table(name).collect()} == {1: "a", 2: "B", 3: "c", None: "N"}
+    with pytest.raises(ValueError, match="repeat a key"):
+        storage.upsert(spark, frame([(7, "a"), (7, "b")]), name, ["id"], ctx)
+    assert spark.table(name).count() == 4 and not storage.exists(spark, f"{name[:-1]}__incoming`")
     storage.replace(frame([("x", 1)], "b string, c int"), name, ctx)
     assert spark.table(name).columns == ["b", "c"]
     with pytest.raises(ValueError):
