@@ -397,7 +397,9 @@ def q_scd2_checks(spark, sf):
   GROUP BY GROUPING SETS ((month, region, segment, tariff), (month, region, segment), (month, region), (month)))
 SELECT month, region, segment, tariff, level, t::DOUBLE AS total, sites, round(t::DOUBLE / max(CASE WHEN level = 7 THEN t END) OVER (PARTITION BY month)::DOUBLE, 6) AS share, rank() OVER (PARTITION BY month, level ORDER BY t DESC) AS rank_in_level FROM g""")
 def q_grouping_sets(spark, sf):
-    g = grouping.prefix_sets(_facts(spark, sf), ["month"], ["region", "segment", "tariff"], {"t": "sum(cast(kwh as decimal(18,2)))", "sites": "count(distinct site)"})
+    dims = ["region", "segment", "tariff"]
+    sums = _facts(spark, sf).groupBy("month", *dims, "site").agg(F.sum(_dec("kwh")).alias("kwh"))  # before rows expand
+    g = grouping.prefix_sets(sums, ["month"], dims, {"t": "sum(kwh)", "sites": "count(distinct site)"})
     level = F.col("grouping_level").cast("bigint")
     top = F.max(F.when(level == 7, F.col("t"))).over(Window.partitionBy("month")).cast("double")
     return g.select("month", "region", "segment", "tariff", level.alias("level"), F.col("t").cast("double").alias("total"), "sites", F.round(F.col("t").cast("double") / top, 6).alias("share"), F.rank().over(series.along(["month", "grouping_level"], F.desc("t"))).cast("bigint").alias("rank_in_level"))

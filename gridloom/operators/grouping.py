@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def prefix_sets(df: DataFrame, always: Sequence[str], levels: Sequence[str], measures: dict[str, str]) -> DataFrame:
     """Aggregates at every prefix of levels, from all of them to none; grouping_level is the grouping id of levels.
 
-    measures maps output names to SQL aggregates. Rows expand once per prefix before a partial aggregation.
+    measures maps output names to SQL aggregates. Rows expand once per prefix before a partial aggregation, so df should hold sums
+    of all levels and of what is counted distinct, not single readings.
     """
     sets = ", ".join("(" + ", ".join([*always, *levels[:n]]) + ")" for n in range(len(levels), -1, -1))
     text = f"""
