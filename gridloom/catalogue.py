@@ -269,7 +269,7 @@ def q_distribution(spark, sf):
 SELECT site, month, p50, p90, sites, total > p90 AS above_p90 FROM fm LEFT JOIN s USING (segment, month)""")
 def q_segment_percentiles(spark, sf):
     m = _fact_months(spark, sf)
-    s = m.groupBy("segment", "month").agg(F.percentile_approx("total", 0.5).alias("p50"), F.percentile_approx("total", 0.9).alias("p90"), F.count(F.lit(1)).alias("sites"))
+    s = ranking.quantiles(m, ["segment", "month"], "total", {"p50": 0.5, "p90": 0.9}, "sites")
     return m.join(s, ["segment", "month"], "left").select("site", "month", "p50", "p90", "sites", (F.col("total") > F.col("p90")).alias("above_p90"))
 
 

@@ -23,3 +23,11 @@ def spread(group: Sequence[str], order: Column, tiles: int, ties: Sequence[str |
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group, numbered in the column nth."""
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("nth") <= n)
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, at: dict[str, float], rows: str) -> DataFrame:
+    """Per group its rows and, for each share, the least value that at least so many of its values don't exceed. Exact in groups of any size
+    (percentile_approx isn't beyond 10,000 values): values are sorted, which may spill, and counted off; nulls are no values."""
+    whole = Window.partitionBy(*group)
+    placed = df.select(*group, value, F.row_number().over(whole.orderBy(F.asc_nulls_last(value))).alias("_nth"), F.count(value).over(whole).alias("_n"))
+    return placed.groupBy(*group).agg(*(F.max(F.when(F.col("_nth") == F.ceil(F.col("_n") * F.lit(q)), F.col(value))).alias(k) for k, q in at.items()), F.count(F.lit(1)).alias(rows))
