@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import materialise
+
 
 def ranks(group: Sequence[str], order: Column, ties: Sequence[str | Column] = ()) -> dict[str, Column]:
     """rank and dense_rank with gaps and ties, row_number with ties broken."""
@@ -20,9 +22,23 @@ def spread(group: Sequence[str], order: Column, tiles: int, ties: Sequence[str |
     return {"percent_rank": F.round(F.percent_rank().over(w.orderBy(order)), scale), "cume_dist": F.round(F.cume_dist().over(w.orderBy(order)), scale), "tile": F.ntile(tiles).over(w.orderBy(order, *ties))}
 
 
-def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows of each group, numbered in the column nth."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("nth") <= n)
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """df with row_number() per group in the column name, for groups of any size: no task sees more than a range of the order.
+
+    Rows are dealt out by ranges of (group, order), sorted there and written with their place; what each range holds of each group is
+    counted, and a running sum over the ranges (their number, whatever the input) gives the offset. The order should tell all rows
+    apart, so that ranges come out even; rows that it doesn't are numbered in some order.
+    """
+    keys = [F.col(g).asc_nulls_first() for g in group]
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    placed, _ = materialise(placed.withColumn("_range", F.shiftright("_at", 33)), "numbered")
+    held = placed.groupBy("_range", *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("_range", *(F.col(g).alias(f"_g_{g}") for g in group), (F.col("_first") - F.coalesce(F.sum("_rows").over(before), F.lit(0)) - 1).alias("_shift"))
+    same = placed["_range"] == offsets["_range"]
+    for g in group:
+        same &= placed[g].eqNullSafe(offsets[f"_g_{g}"])
+    return placed.join(offsets, same).select(*(placed[c] for c in df.columns), (F.col("_at") - F.col("_shift")).alias(name))
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, at: dict[str, float], rows: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Percentiles of groups beyond the 10,000 values up to which percentile_approx is exact."""
+"""Percentiles of groups beyond the 10,000 values up to which percentile_approx is exact, and numbers without a task that sees all rows."""
 
 import duckdb
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from gridloom import catalogue
+from gridloom.operators import ranking
 
 CUSTOMERS = """SELECT i AS c_custkey, 'c' AS c_name, (i % 2)::INT AS c_nationkey, 0.0::DOUBLE AS c_acctbal,
   CASE WHEN i < 30000 THEN 'large' WHEN i < 30010 THEN 'ten' WHEN i < 30012 THEN 'two' WHEN i < 30013 THEN 'one' WHEN i < 30020 THEN 'no values' WHEN i < 30040 THEN 'equal' END AS c_mktsegment FROM range(30050) r(i)"""
@@ -21,3 +24,14 @@ def test_percentiles_of_large_and_odd_groups(spark, tmp_path):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()['q_segment_percentiles']})").fetchall()
     got = [tuple(r) for r in catalogue.queries()["q_segment_percentiles"](spark, str(tmp_path)).select(*columns).collect()]
     assert len(got) == 30050 and set(got) == set(want)
+
+
+def test_numbered_equals_row_number(spark):
+    """Numbers by ranges are row_number()'s, also where one group or value holds most rows, keys are null, or nothing is there."""
+    rows = [("a" if i % 4 else None if i % 8 else "b", 7 if i % 3 else i % 50, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = ranking.numbered(df, ["g"], [F.desc("v"), "id"], "n")
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"), "id")))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert sorted(r.n for r in ranking.numbered(df, [], [F.desc("v"), "id"], "n").collect()) == list(range(1, 5001))
+    assert ranking.numbered(df.limit(0), ["g"], ["id"], "n").collect() == []
