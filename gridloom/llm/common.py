@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import delete_quietly, materialise, scratch_path  # noqa: F401  for the operators
+
 #: A side is broadcast only if its measured bytes stay below this; beyond it the join shuffles.
 BROADCAST_LIMIT = 48 << 20
 
@@ -45,38 +45,6 @@ def small_arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share. The session names it; only where one machine does all (tests) one is made here."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(delete_quietly, spark, root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/gridloom-{tag}-{uuid.uuid4().hex}"
-
-
-def delete_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone at exit; the folder is scratch
-        pass
-
-
-def materialise(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def bytes_at(spark: SparkSession, path: str) -> int:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()

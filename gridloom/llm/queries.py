@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, mixing, order_minhash, quality, sharding, substring, tokencount, topk, urlfilter, warc
+from gridloom.llm import bytebpe, decontaminate, divergence, importance, mixing, order_minhash, quality, sharding, substring, tokencount, topk, urlfilter, warc
 from gridloom.llm.common import scratch_path, table
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -70,11 +70,25 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op11_bucket_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_baseline_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_transition_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+_QUERIES = (op1_order_minhash, op2_warc_index, op3_fixed_block_anchors, op4_pivot_top_k, op5_token_counts, op6_url_rules, op7_quality, op8_virtual_slots, op9_raked_sample, op10_suffix_automaton, op11_bucket_postings, op12_baseline_corrections, op13_transition_scan)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_order_minhash, op2_warc_index, op3_fixed_block_anchors, op4_pivot_top_k, op5_token_counts, op6_url_rules, op7_quality, op8_virtual_slots, op9_raked_sample, op10_suffix_automaton)
-    }
+    return {f.__name__: f for f in _QUERIES}
 
 
 OP2_SQL = """
@@ -184,5 +198,69 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH bits AS MATERIALIZED (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), dw AS MATERIALIZED (
+  SELECT r, unnest(w) AS word FROM d
+), crc AS MATERIALIZED (
+  SELECT word, xor(list_reduce([4294967295] || list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM dw UNION SELECT word FROM b), bits
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN crc USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN crc USING (word) GROUP BY 1),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM dw)::DOUBLE + 10000) / ((s::DOUBLE + 1) * ((SELECT count(*) FROM b)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), summed AS (
+  SELECT r, sum(gain)::BIGINT AS total FROM dw JOIN crc USING (word) JOIN gains USING (bucket) GROUP BY 1
+), weighed AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n, CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END::BIGINT AS weight FROM d LEFT JOIN summed USING (r)
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END::BIGINT AS rank FROM placed
+"""
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), c AS MATERIALIZED (
+  SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS MATERIALIZED (
+  SELECT lang, term, sum(n)::HUGEINT AS everywhere FROM c GROUP BY ALL HAVING count(*) >= 10
+), sizes AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(everywhere)::HUGEINT AS lang_total FROM kept GROUP BY 1
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), s AS (
+  SELECT lang, source, term, sum(n)::HUGEINT AS n FROM c SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), every AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, everywhere FROM g JOIN kept USING (lang) LEFT JOIN s USING (lang, source, term)
+), shares AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p,
+    1 + 1000000000::HUGEINT * (everywhere + 2) // (lang_total + 2 * v) AS q
+  FROM every JOIN sizes USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+), found AS (
+  SELECT * FROM every_pair UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": OP2_SQL, "op3_fixed_block_anchors": OP3_SQL, "op4_pivot_top_k": OP4_SQL, "op9_raked_sample": OP9_SQL, "op10_suffix_automaton": OP10_SQL}
+    return {"op2_warc_index": OP2_SQL, "op3_fixed_block_anchors": OP3_SQL, "op4_pivot_top_k": OP4_SQL, "op9_raked_sample": OP9_SQL, "op10_suffix_automaton": OP10_SQL, "op11_bucket_postings": OP11_SQL, "op12_baseline_corrections": OP12_SQL}
