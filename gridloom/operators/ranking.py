@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ def ranks(group: Sequence[str], order: Column, ties: Sequence[str | Column] = ()
 
 
 def spread(group: Sequence[str], order: Column, tiles: int, ties: Sequence[str | Column] = (), scale: int = 4) -> dict[str, Column]:
-    """percent_rank and cume_dist, and the tile of each row with ties broken."""
+    """percent_rank and cume_dist, and the tile of each row with ties broken; for groups that a task can sort, such as the hours of a month."""
     w = Window.partitionBy(*group)
     return {"percent_rank": F.round(F.percent_rank().over(w.orderBy(order)), scale), "cume_dist": F.round(F.cume_dist().over(w.orderBy(order)), scale), "tile": F.ntile(tiles).over(w.orderBy(order, *ties))}
 
@@ -41,9 +44,79 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     return placed.join(offsets, same).select(*(placed[c] for c in df.columns), (F.col("_at") - F.col("_shift")).alias(name))
 
 
+@dataclass(frozen=True)
+class Places:
+    """Columns of a frame whose rows were placed by value within groups; see place_by."""
+
+    nth: Column
+    below: Column
+    same: Column
+    values_below: Column
+    values: Column
+    rows: Column
+
+    @property
+    def rank_down(self) -> Column:
+        """rank() from the largest value."""
+        return self.rows - self.below - self.same + 1
+
+    @property
+    def dense_rank_down(self) -> Column:
+        return self.values - self.values_below
+
+    @property
+    def row_number_down(self) -> Column:
+        """row_number() from the largest value, ties in their order upwards."""
+        return self.rows - self.below - self.same + self.nth - self.below
+
+    @property
+    def percent_rank(self) -> Column:
+        return F.when(self.rows > 1, self.below / (self.rows - 1)).otherwise(F.lit(0.0))
+
+    @property
+    def cume_dist(self) -> Column:
+        return (self.below + self.same) / self.rows
+
+    def tile(self, tiles: int) -> Column:
+        """ntile(): the first rows % tiles tiles have one row more."""
+        least, more = F.floor(self.rows / tiles), self.rows % tiles
+        wide = more * (least + 1)
+        return F.when(self.nth <= wide, F.floor((self.nth - 1) / (least + 1)) + 1).otherwise(more + F.floor((self.nth - 1 - wide) / F.greatest(least, F.lit(1))) + 1).cast("int")
+
+    def share_reached(self, share: float) -> Column:
+        """Whether this row is the first that at least so large a share of its group's rows doesn't exceed; the share is taken as it is written."""
+        return self.nth == F.ceil(self.rows.cast("decimal(19,0)") * F.lit(Decimal(str(share))))
+
+
+def place_by(df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str | Column], tag: str) -> tuple[DataFrame, Places]:
+    """df and its rows' places by value within their groups, nulls lowest, for groups and ties of any size.
+
+    No window sees a group: rows are numbered within ranges, and so are the distinct values, of which a first aggregation makes one row each.
+    A value that many rows share is one key of a join then, which Spark splits.
+    """
+    c = lambda name: f"_{tag}_{name}"
+    lowest = F.col(value).asc_nulls_first()
+    rows = numbered(df, group, [lowest, *ties], c("nth"))
+    ties_ = rows.groupBy(*group, value).agg((F.min(c("nth")) - 1).alias(c("below")), F.count(F.lit(1)).alias(c("same")))
+    values = numbered(ties_, group, [lowest], c("value"))
+    whole = values.groupBy(*group).agg(F.max(c("value")).alias(c("values")), F.sum(c("same")).alias(c("rows")))
+    out = _joined(_joined(rows, values, [*group, value]), whole, group)
+    at = lambda name: F.col(c(name))
+    return out, Places(at("nth"), at("below"), at("same"), at("value") - 1, at("values"), at("rows"))
+
+
+def _joined(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """left with right's other columns where all of on agree, null with null."""
+    named = right.withColumnsRenamed({k: f"_on_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on), F.lit(True))
+    return left.join(named, same).drop(*(f"_on_{k}" for k in on))
+
+
 def quantiles(df: DataFrame, group: Sequence[str], value: str, at: dict[str, float], rows: str) -> DataFrame:
-    """Per group its rows and, for each share, the least value that at least so many of its values don't exceed. Exact in groups of any size
-    (percentile_approx isn't beyond 10,000 values): values are sorted, which may spill, and counted off; nulls are no values."""
-    whole = Window.partitionBy(*group)
-    placed = df.select(*group, value, F.row_number().over(whole.orderBy(F.asc_nulls_last(value))).alias("_nth"), F.count(value).over(whole).alias("_n"))
-    return placed.groupBy(*group).agg(*(F.max(F.when(F.col("_nth") == F.ceil(F.col("_n") * F.lit(q)), F.col(value))).alias(k) for k, q in at.items()), F.count(F.lit(1)).alias(rows))
+    """Per group its rows and, for each share, the least value that at least so many of its values don't exceed; nulls are no values.
+
+    Exact in groups of any size: values are numbered within ranges and counted off, so no task sees a group."""
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias(rows), F.count(value).alias("_values"))
+    nth = _joined(numbered(df.select(*group, value), group, [F.asc_nulls_last(value)], "_nth"), counts, group)
+    wanted = {k: F.ceil(F.col("_values").cast("decimal(19,0)") * F.lit(Decimal(str(q)))) for k, q in at.items()}
+    return nth.groupBy(*group).agg(*(F.max(F.when(F.col("_nth") == n, F.col(value))).alias(k) for k, n in wanted.items()), F.max(rows).alias(rows))

@@ -35,3 +35,32 @@ def test_numbered_equals_row_number(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
     assert sorted(r.n for r in ranking.numbered(df, [], [F.desc("v"), "id"], "n").collect()) == list(range(1, 5001))
     assert ranking.numbered(df.limit(0), ["g"], ["id"], "n").collect() == []
+
+
+def test_places_equal_windows(spark):
+    """Ranks made of places are Spark's own, with ties, nulls and groups of one row."""
+    rows = [(["a", "b", None][i % 3] if i < 900 else f"one{i}", None if i % 17 == 0 else float(i * 7919 % 60) if i % 2 else 5.0, i) for i in range(905)]
+    df = spark.createDataFrame(rows, "g string, v double, id int")
+    out, p = ranking.place_by(df, ["g"], "v", ["id"], "t")
+    up, w = Window.partitionBy("g").orderBy("v"), Window.partitionBy("g")
+    down = w.orderBy(F.desc("v"))
+    pairs = {
+        "rank": (p.rank_down, F.rank().over(down)), "dense": (p.dense_rank_down, F.dense_rank().over(down)), "nth": (p.row_number_down, F.row_number().over(w.orderBy(F.desc("v"), "id"))),
+        "percent": (p.percent_rank, F.percent_rank().over(up)), "cume": (p.cume_dist, F.cume_dist().over(up)),
+        **{f"tile{n}": (p.tile(n), F.ntile(n).over(w.orderBy("v", "id"))) for n in (1, 4, 10, 450)},
+    }
+    got = {r.id: r for r in out.select("id", *(a.cast("double").alias(k) for k, (a, _) in pairs.items())).collect()}
+    want = {r.id: r for r in df.select("id", *(b.cast("double").alias(k) for k, (_, b) in pairs.items())).collect()}
+    assert got == want
+
+
+def test_shares_are_taken_as_written(spark):
+    """Least value that a share of the values reaches, by fractions, where doubles would count one too many."""
+    from fractions import Fraction
+
+    for n, q in ((100, 0.07), (100, 0.55), (25, 0.56), (25, 0.28), (50, 0.14), (10, 0.5), (1, 0.9)):
+        df = spark.range(1, n + 1).select(F.lit("g").alias("g"), F.col("id").alias("v"))
+        exact = -(-n * Fraction(str(q)) // 1)
+        assert ranking.quantiles(df, ["g"], "v", {"q": q}, "rows").collect() == [("g", exact, n)]
+        out, p = ranking.place_by(df, ["g"], "v", [], "t")
+        assert [r.v for r in out.filter(p.share_reached(q)).collect()] == [exact]
