@@ -230,10 +230,11 @@ def q_mtd_running(spark, sf):
   first_value(site) OVER (PARTITION BY month, region ORDER BY total DESC, site) AS top_site, last_value(site) OVER (PARTITION BY month, region ORDER BY total DESC, site ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS bottom_site
 FROM fm WINDOW w AS (PARTITION BY site ORDER BY month)""")
 def q_monthly_kpis(spark, sf):
-    w, region, month, down = series.along("site", "month"), Window.partitionBy("month", "region"), Window.partitionBy("month"), F.desc("total")
-    return _fact_months(spark, sf).select(
+    w, region, down = series.along("site", "month"), Window.partitionBy("month", "region"), F.desc("total")
+    placed, month = ranking.place_by(_fact_months(spark, sf), ["month"], "total", ["site"], "m")
+    return placed.select(
         "site", "month", "total", "n", F.lag("total").over(w).alias("prev_month"), F.lead("total").over(w).alias("next_month"), F.rank().over(region.orderBy(down)).cast("bigint").alias("rank_in_region"),
-        F.dense_rank().over(month.orderBy(down)).cast("bigint").alias("dense_rank_overall"), F.row_number().over(month.orderBy(down, "site")).cast("bigint").alias("row_num"), F.ntile(4).over(month.orderBy("total", "site")).cast("bigint").alias("quartile"),
+        month.dense_rank_down.cast("bigint").alias("dense_rank_overall"), month.row_number_down.cast("bigint").alias("row_num"), month.tile(4).cast("bigint").alias("quartile"),
         F.round(F.col("total") / F.sum(_dec("total")).over(region).cast("double"), 6).alias("share_of_region"), F.first("site").over(region.orderBy(down, "site")).alias("top_site"), F.last("site").over(series.whole(region.orderBy(down, "site"))).alias("bottom_site"),
     )
 
@@ -261,8 +262,9 @@ def q_rank_family(spark, sf):
 @query(f"""WITH {_FM} SELECT site, month, round(percent_rank() OVER w, 4) AS percent_rank, round(cume_dist() OVER w, 4) AS cume_dist, ntile(10) OVER (PARTITION BY month ORDER BY total, site) AS tile,
   rank() OVER (PARTITION BY month, segment ORDER BY total DESC) AS rank_in_segment FROM fm WINDOW w AS (PARTITION BY month ORDER BY total)""")
 def q_distribution(spark, sf):
-    s = ranking.spread(["month"], F.col("total"), 10, ["site"])
-    return _fact_months(spark, sf).select("site", "month", s["percent_rank"].alias("percent_rank"), s["cume_dist"].alias("cume_dist"), s["tile"].cast("bigint").alias("tile"), F.rank().over(series.along(["month", "segment"], F.desc("total"))).cast("bigint").alias("rank_in_segment"))
+    by_month, month = ranking.place_by(_fact_months(spark, sf), ["month"], "total", ["site"], "m")
+    placed, segment = ranking.place_by(by_month, ["month", "segment"], "total", ["site"], "s")
+    return placed.select("site", "month", F.round(month.percent_rank, 4).alias("percent_rank"), F.round(month.cume_dist, 4).alias("cume_dist"), month.tile(10).cast("bigint").alias("tile"), segment.rank_down.cast("bigint").alias("rank_in_segment"))
 
 
 @query(f"""WITH {_FM}, s AS (SELECT segment, month, quantile_disc(total, 0.5) AS p50, quantile_disc(total, 0.9) AS p90, count(*) AS sites FROM fm GROUP BY ALL)
@@ -357,8 +359,10 @@ def q_anomalies(spark, sf):
   SELECT flag, month, n, round(c / nullif(sx * sy, 0), 4) AS r, round(c / nullif(vx, 0), 4) AS slope, round(my - c / nullif(vx, 0) * mx, 3) AS intercept FROM g)
 SELECT *, round(r - lag(r) OVER (PARTITION BY flag ORDER BY month), 4) AS shift, rank() OVER (PARTITION BY flag ORDER BY abs(r) DESC NULLS LAST) AS strength FROM h""")
 def q_regression(spark, sf):
-    y, x = F.col("l_extendedprice"), F.col("l_quantity")
-    h = _table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), cleaning.month_of(F.col("l_shipdate")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(stats.pearson(y, x), 4).alias("r"), F.round(stats.slope(y, x), 4).alias("slope"), F.round(stats.intercept(y, x), 3).alias("intercept"))
+    of, line = ["flag", "month", "n"], stats.Line(F.col("m"))
+    pairs = _table(spark, sf, "lineitem").withColumns({"flag": F.col("l_returnflag"), "month": cleaning.month_of(F.col("l_shipdate"))})
+    h = pairs.groupBy("flag", "month").agg(F.count(F.lit(1)).alias("n"), stats.moments(F.col("l_quantity"), F.col("l_extendedprice")).alias("m"))
+    h = h.select(*of, F.round(line.fit, 4).alias("r"), F.round(line.rise, 4).alias("slope"), F.round(line.at_zero, 3).alias("intercept"))
     return h.withColumns({"shift": F.round(F.col("r") - F.lag("r").over(series.along("flag", "month")), 4), "strength": F.rank().over(series.along("flag", F.abs("r").desc_nulls_last())).cast("bigint")})
 
 
@@ -447,14 +451,10 @@ def q_inner_weather(spark, sf):
 SELECT * FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.o_orderkey = t.o_orderkey)""")
 def q_upsert_result(spark, sf):
     """Through tables: create, then upsert by key."""
-    import uuid
-
-    from gridloom.context import RunContext
     from gridloom.sources import storage
 
     o = _table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    ctx = RunContext("default", "")
-    name = ctx.table("silver", f"upsert_{uuid.uuid4().hex[:8]}")
+    ctx, name = _own(spark, "silver", "upsert")
     storage.upsert(spark, o.filter("o_orderkey % 3 != 0"), name, ["o_orderkey"], ctx)
     storage.upsert(spark, o.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("X")), name, ["o_orderkey"], ctx)
     return spark.table(name)
@@ -490,17 +490,28 @@ def q_first_row_null_lag(spark, sf):
     return _days(spark, sf).select("site", "day", F.lag("kwh_total").over(w).isNull().alias("lacks_previous"), F.row_number().over(w).cast("bigint").alias("nth"))
 
 
-def _landed(spark: SparkSession, sf: str) -> str:
-    """Events as CSV files in the session's shared folder, or a temporary one where the session names none."""
-    import tempfile
-    import uuid
+def _landed(spark: SparkSession, sf: str, files: int | None = None) -> str:
+    """Events as CSV files in the session's shared folder; so many files, each of some users' and times' events, where a number is given."""
+    from gridloom.sources.scratch import scratch_path
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    path = f"{root}/landed-{uuid.uuid4().hex}"
-    _table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("value").cast("string")).write.option("header", "true").csv(f"{path}/events")
+    path = scratch_path(spark, "landed")
+    events = _table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("value").cast("string"))
+    events = events.repartition(files, F.xxhash64("event_id")) if files else events
+    events.write.option("header", "true").csv(f"{path}/events")
     return path
 
 
+def _own(spark: SparkSession, layer: str, name: str):
+    """A context and the name of a table of this session's own, which isn't there yet."""
+    from gridloom.context import RunContext
+    from gridloom.sources import keyed
+
+    ctx = RunContext("default", "")
+    own = ctx.table(layer, f"{name}_{spark.sparkContext.applicationId.replace('-', '_')}")
+    keyed.Keyed(spark, own).drop()
+    return ctx, own
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def q_stream_ingest(spark, sf):
     """Files become rows through a file stream that ends when it has read all; a second run adds none."""
@@ -515,31 +526,53 @@ def q_stream_ingest(spark, sf):
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def q_stream_upsert(spark, sf):
-    """Each user's newest event, kept by key in a table that a stream upserts; a second run adds none."""
-    import uuid
-
-    from gridloom.context import RunContext
+    """Each user's newest event, kept by key in a table that a stream upserts in five batches, which come in no order; a second run adds none."""
     from gridloom.streaming.ingest import stream_csv, upsert_stream
 
-    path, ctx = _landed(spark, sf), RunContext("default", "")
-    name = ctx.table("silver", f"stream_{uuid.uuid4().hex[:8]}")
+    path, (ctx, name) = _landed(spark, sf, files=5), _own(spark, "silver", "stream")
     for _ in range(2):
-        stream = stream_csv(spark, f"{path}/events", "event_id string, user_id string, event_type string, value string")
+        stream = stream_csv(spark, f"{path}/events", "event_id string, user_id string, event_type string, value string", files_per_batch=1)
         typed = stream.select(F.col("user_id").cast("bigint"), F.col("event_id").cast("bigint"), "event_type")
         upsert_stream(typed, ctx, name, ["user_id"], [F.desc("event_id")], f"{path}/state")
     return spark.table(name)
 
 
-def _landed_mix(spark: SparkSession, sf: str):
-    """A context of its own whose landing folder holds events as the feed generation_mix."""
-    import uuid
+_STREAMED = """e AS (
+  SELECT DISTINCT user_id AS site, epoch_ms(ts) // 3600000 AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+), w AS (SELECT epoch_ms(max(ts)) - 6 * 3600000 AS watermark FROM events WHERE user_id IS NOT NULL), i AS (
+  SELECT site, min(n)::BIGINT AS first_step, max(n)::BIGINT AS last_step, count(*) AS steps FROM (SELECT *, n - row_number() OVER (PARTITION BY site ORDER BY n) AS g FROM e) GROUP BY site, g
+), f AS (SELECT i.* FROM i, w WHERE (last_step + 2) * 3600000 <= watermark)"""
+
 
+@query(f"""WITH {_STREAMED} SELECT site, 'run' AS kind, first_step, last_step, steps FROM f
+UNION ALL SELECT site, 'gap', b + 1, first_step - 1, first_step - b - 1 FROM (SELECT *, lag(last_step) OVER (PARTITION BY site ORDER BY first_step) AS b FROM f) WHERE b IS NOT NULL""")
+def q_stream_runs(spark, sf):
+    """Runs and gaps of each user's hours by a stateful stream, those that the watermark has made final; a second run adds none."""
+    from gridloom.sources.scratch import scratch_path
+    from gridloom.streaming.sessions import runs_and_gaps
+
+    path, kinds = scratch_path(spark, "runs"), _table(spark, sf, "events").schema
+    for _ in range(2):
+        events = spark.readStream.schema(kinds).parquet(f"{sf}/event[s].parquet").select(F.col("user_id").alias("site"), "ts")
+        runs_and_gaps(events, "site", "ts", "6 hours").writeStream.format("parquet").option("path", f"{path}/runs").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("site bigint, kind string, first_step bigint, last_step bigint, steps bigint").parquet(f"{path}/runs")
+
+
+def _own_schema(spark: SparkSession, name: str):
+    """A context whose schema is this session's own and empty, and whose landing folder is a new one."""
     from gridloom.context import RunContext
+    from gridloom.sources.scratch import scratch_path
     from gridloom.sources.storage import ensure_schema
 
-    path = f"{_landed(spark, sf)}/feeds"
-    ctx = RunContext(f"landed_{uuid.uuid4().hex[:8]}", path)
+    ctx = RunContext(f"{name}_{spark.sparkContext.applicationId.replace('-', '_')}", scratch_path(spark, name))
+    spark.sql(f"DROP SCHEMA IF EXISTS {ctx.database} CASCADE")
     ensure_schema(spark, ctx)
+    return ctx
+
+
+def _landed_mix(spark: SparkSession, sf: str):
+    """A context of its own whose landing folder holds events as the feed generation_mix."""
+    ctx = _own_schema(spark, "landed")
     mix = _table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("region"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("generation_ts"), F.col("event_type").alias("source"), F.col("value").cast("string").alias("generation_mw")
     )
@@ -643,11 +676,30 @@ _S = """raw AS (
 )"""
 
 
+_SILVER = ("site_id", "reading_hour", "kwh_filled", "is_imputed", "gap_hours_before", "kwh_prev_hour", "kwh_delta_vs_prev", "kwh_exported", "quality_flag", "reading_date", "hour_of_day", "is_weekend")
+
+
 @query(f"""WITH {_S} SELECT site_id, reading_hour, kwh_filled, kwh IS NULL AS is_imputed, gap AS gap_hours_before, kwh_prev_hour, kwh_filled - kwh_prev_hour AS kwh_delta_vs_prev,
   kwh_exported, quality_flag, reading_date, hour_of_day, is_weekend FROM s""")
 def q_silver_readings(spark, sf):
-    columns = ("site_id", "reading_hour", "kwh_filled", "is_imputed", "gap_hours_before", "kwh_prev_hour", "kwh_delta_vs_prev", "kwh_exported", "quality_flag", "reading_date", "hour_of_day", "is_weekend")
-    return _plain(_silver(spark, sf), *columns)
+    return _plain(_silver(spark, sf), *_SILVER)
+
+
+@query(_SQL["q_silver_readings"])
+def q_silver_increment(spark, sf):
+    """The same table by increments: a first load of most rows, then one of what came late, of all users and dates."""
+    from gridloom.plans import pipeline
+    from gridloom.sources import storage
+    from gridloom.sources.feeds import FEEDS, LINEAGE
+
+    ctx, late = _own_schema(spark, "increment"), F.pmod(F.xxhash64("reading_id"), F.lit(20)) == 0
+    rows = _feed(spark, sf)
+    for feed, columns in FEEDS.items():
+        storage.append(rows.limit(0).select(*(F.lit(None).cast("string").alias(c) for c in columns), *LINEAGE), ctx.table("bronze", feed), ctx)
+    for load, part in (("a", rows.filter(~late)), ("b", rows.filter(late))):
+        storage.append(part.withColumn("_batch_id", F.lit(load)), ctx.table("bronze", "meter_readings"), ctx)
+        pipeline.run_silver(spark, ctx)
+    return _plain(spark.table(ctx.table("silver", "meter_readings")), *_SILVER)
 
 
 @query("""WITH v AS (SELECT DISTINCT user_id FROM events)

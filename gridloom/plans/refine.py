@@ -49,22 +49,25 @@ def checked_readings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def hourly(valid: DataFrame) -> DataFrame:
+    """The newest reading of each site and hour."""
+    return latest_per_key(valid.withColumn("reading_hour", F.date_trunc("hour", "reading_ts")), ["site_id", "reading_hour"], newest(F.desc("reading_id")))
+
+
+def with_neighbours(hours: DataFrame, known: str | None = None) -> DataFrame:
+    """hours with what depends on the rows before: filled values, gaps, changes. known: the filled value of rows for which it is settled already."""
+    w = along("site_id", "reading_hour")
+    given = F.col("kwh_consumed") if known is None else F.coalesce("kwh_consumed", known)
+    apart = (F.unix_timestamp("reading_hour") - F.unix_timestamp(F.lag("reading_hour").over(w))) / 3600
+    filled = hours.withColumns({"kwh_filled": F.coalesce(forward_filled(given, w), F.lit(0.0)), "gap_hours_before": F.greatest(apart - 1, F.lit(0.0)), "is_imputed": F.col("kwh_consumed").isNull()})
+    at, previous = F.col("reading_hour"), F.lag("kwh_filled").over(w)
+    calendar = {"reading_date": F.to_date(at), "hour_of_day": F.hour(at), "is_weekend": c.is_weekend(at)}
+    return filled.withColumns(calendar | {"kwh_prev_hour": previous, "kwh_delta_vs_prev": F.col("kwh_filled") - previous})
+
+
 def readings(raw: DataFrame) -> DataFrame:
     valid, _ = checked_readings(raw)
-    hourly = latest_per_key(valid.withColumn("reading_hour", F.date_trunc("hour", "reading_ts")), ["site_id", "reading_hour"], newest(F.desc("reading_id")))
-    w = along("site_id", "reading_hour")
-    hours = (F.unix_timestamp("reading_hour") - F.unix_timestamp(F.lag("reading_hour").over(w))) / 3600
-    out = hourly.withColumns({
-        "kwh_filled": F.coalesce(forward_filled(F.col("kwh_consumed"), w), F.lit(0.0)),
-        "is_imputed": F.col("kwh_consumed").isNull(),
-        "gap_hours_before": F.greatest(hours - 1, F.lit(0.0)),
-    })
-    return out.withColumn("kwh_prev_hour", F.lag("kwh_filled").over(w)).withColumns({
-        "kwh_delta_vs_prev": F.col("kwh_filled") - F.col("kwh_prev_hour"),
-        "reading_date": F.to_date("reading_hour"),
-        "hour_of_day": F.hour("reading_hour"),
-        "is_weekend": c.is_weekend(F.col("reading_hour")),
-    })
+    return with_neighbours(hourly(valid))
 
 
 def sites(raw: DataFrame) -> DataFrame:

@@ -1,20 +1,18 @@
 """Tables: append, replace, keyed upsert.
 
-Parquet tables have no MERGE. The upsert writes what the table will hold to a staging table first and swaps it in afterwards; the
-staging table stays until the swap is over, and a leftover one is finished on the next call. A table format with MERGE of its own
-can be named in the context instead.
+Parquet tables have no MERGE; what is upserted becomes a keyed table there (see ``keyed``). A table format with MERGE of its own can be named in the
+context instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from gridloom.context import RunContext
-from gridloom.operators.keys import duplicate_keys
+from gridloom.operators.keys import latest_per_key
+from gridloom.sources import keyed
 
 WITH_MERGE = ("delta", "iceberg")
 
@@ -33,44 +31,36 @@ def append(df: DataFrame, name: str, ctx: RunContext) -> None:
 
 def replace(df: DataFrame, name: str, ctx: RunContext, partition_by: Sequence[str] = ()) -> None:
     """The table holds df and has its schema afterwards."""
+    if ctx.table_format not in WITH_MERGE and keyed.is_keyed(df.sparkSession, name):
+        keyed.Keyed(df.sparkSession, name).drop()
     writer = df.write.format(ctx.table_format).mode("overwrite").option("overwriteSchema", "true")
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
-def upsert(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str], ctx: RunContext, partition_by: Sequence[str] = ()) -> None:
-    """Rows of df replace those with equal keys (null equals null) and join the others; nothing is deleted.
-
-    df is written once, to a table of its own, and everything else reads that. Keys that occur twice in it raise, as MERGE does.
-    """
-    staging = f"{name[:-1]}__staging`"
-    if exists(spark, staging):  # an earlier call broke off between writing and swapping
-        if exists(spark, name):
-            _swap(spark, staging, name)
-        else:
-            spark.sql(f"DROP TABLE {staging}")
-    if ctx.table_format in WITH_MERGE and exists(spark, name):
-        on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
-        spark.sql(f"MERGE INTO {name} t USING {{source}} s ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *", source=df)
-        return
-    incoming = f"{name[:-1]}__incoming`"
-    replace(df, incoming, ctx)
+def replace_partitions(df: DataFrame, name: str) -> None:
+    """df takes the place of the table's partitions that it has rows of; the others stay. df must not read the table, and has its columns in its order."""
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")  # as an option of the write it doesn't reach tables of the catalog
     try:
-        given = spark.table(incoming)
-        if not duplicate_keys(given, keys).limit(1).isEmpty():
-            raise ValueError(f"{name}: rows to upsert repeat a key of {', '.join(keys)}")
-        if not exists(spark, name):
-            replace(given, name, ctx, partition_by)
-            return
-        columns = spark.table(name).columns
-        old, new = spark.table(name).alias("t"), given.select(*keys).alias("s")
-        same = reduce(lambda a, b: a & b, (F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys))
-        replace(old.join(new, same, "left_anti").select(*columns).unionByName(given.select(*columns)), staging, ctx)
-        _swap(spark, staging, name)
+        df.write.mode("overwrite").insertInto(name)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {incoming}")
+        conf.set(key, before)
+
 
+def upsert(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str], ctx: RunContext, newest_first: Sequence[Column] | None = None, repeated: bool = False) -> None:
+    """Rows of df replace those with equal keys (null equals null) and join the others; see keyed.upsert, which does it where the format has no MERGE.
 
-def _swap(spark: SparkSession, staging: str, name: str) -> None:
-    columns = ", ".join(f"`{c}`" for c in spark.table(name).columns)  # INSERT goes by position
-    spark.sql(f"INSERT OVERWRITE TABLE {name} SELECT {columns} FROM {staging}")
-    spark.sql(f"DROP TABLE {staging}")
+    With newest_first a key keeps its newest row, whether df or the table has it.
+    """
+    if ctx.table_format not in WITH_MERGE:
+        keyed.upsert(spark, df, name, keys, newest_first, repeated)
+        return
+    if not exists(spark, name):
+        replace(df, name, ctx)
+        return
+    if newest_first:
+        known = spark.table(name).join(df.select(*keys).distinct(), list(keys), "left_semi")
+        df = latest_per_key(df.select(*known.columns).unionByName(known), keys, newest_first)
+    on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
+    spark.sql(f"MERGE INTO {name} t USING {{source}} s ON {on} WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *", source=df)

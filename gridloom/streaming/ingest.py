@@ -1,7 +1,7 @@
 """Streaming ingest: the same files, found by a file stream whose checkpoint knows which it has read.
 
 availableNow makes it a job that ends; rows go to the bronze table once each, as the batch ingest's do. Rows with keys go through
-``upsert_stream``: a micro-batch that runs again after a failure replaces what its first attempt left.
+``upsert_stream``: a micro-batch that runs again after a failure gives the same table, since a key keeps its newest row.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.context import RunContext
-from gridloom.operators.keys import latest_per_key
 from gridloom.sources import storage
 from gridloom.sources.feeds import raw_schema
 
 
-def stream_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("header", "true").csv(path).withColumn("_source_file", F.col("_metadata.file_path"))
+def stream_csv(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema).option("header", "true")
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+    return reader.csv(path).withColumn("_source_file", F.col("_metadata.file_path"))
 
 
 def ingest_feed_stream(spark: SparkSession, ctx: RunContext, feed: str, checkpoint: str) -> None:
@@ -28,19 +29,9 @@ def ingest_feed_stream(spark: SparkSession, ctx: RunContext, feed: str, checkpoi
 
 
 def upsert_stream(stream: DataFrame, ctx: RunContext, name: str, keys: Sequence[str], newest_first: Sequence[Column], checkpoint: str) -> None:
-    """Upsert a stream's rows by key until it has none left: the newest row of a batch for each key, later batches over earlier ones.
-
-    Batches run in a session of their own, so either session forgets the files that it knows of the table.
-    """
+    """Upsert a stream's rows by key until it has none left. A key keeps its newest row of all batches, in whatever order these come."""
 
     def put(batch: DataFrame, _: int) -> None:
-        _forget_files(batch.sparkSession, name)
-        storage.upsert(batch.sparkSession, latest_per_key(batch, keys, newest_first), name, keys, ctx)
+        storage.upsert(batch.sparkSession, batch, name, keys, ctx, newest_first)
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    _forget_files(stream.sparkSession, name)
-
-
-def _forget_files(spark: SparkSession, name: str) -> None:
-    if storage.exists(spark, name):
-        spark.sql(f"REFRESH TABLE {name}")

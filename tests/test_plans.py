@@ -4,6 +4,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom import catalogue
 
@@ -46,5 +47,23 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_no_python_on_executors(spark):
     for name in catalogue.queries():
-        if name not in ("q_stream_ingest", "q_csv_roundtrip", "q_upsert_result"):
+        if not name.startswith(("q_stream", "q_ingest")) and name not in ("q_csv_roundtrip", "q_upsert_result", "q_silver_increment"):
             assert not re.search("Python|Pandas|Arrow", plan(spark, name)), name
+
+
+def test_no_window_sees_a_whole_month(spark, monkeypatch):
+    """Ranks over all sites of a month take no task a month: no window, and no exchange, by the month alone or the month's segment."""
+    from gridloom.operators import ranking
+    from gridloom.plans import marts
+
+    facts = catalogue._fact_months(spark, SF).withColumns({"customer_segment": F.col("segment"), "site_id": F.col("site").cast("string"), "reading_hour": F.col("month").cast("timestamp"), "kwh_filled": F.col("total"), "kwh_exported": F.lit(0.0)})
+    kept = []  # what is written on the way is planned there
+    monkeypatch.setattr(ranking, "materialise", lambda df, tag, of=ranking.materialise: (kept.append(df), of(df, tag))[1])
+    for built in (catalogue.queries()["q_monthly_kpis"](spark, SF), catalogue.queries()["q_distribution"](spark, SF), marts.site_monthly_kpis(facts), marts.consumption_distribution_monthly(facts)):
+        kept.append(built)
+    assert len(kept) == 4 + 2 * 6
+    for df in kept:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        for keys in re.findall(r"windowspecdefinition\(([^)]*?) (?:ASC|DESC)", text):
+            names = re.findall(r"(\w+)#", keys)[:-1]  # the last is what the window is ordered by
+            assert not names or "_range" in keys or not set(names) <= {"month", "month_start", "segment", "customer_segment"}, keys
