@@ -2,8 +2,10 @@
 
 A URL becomes a set of tokens (labels of its host, segments of its path with digits folded, file ending, names of query
 parameters, fragment). Token sets of labelled URLs, with one more token for those labelled bad, go through Spark's FP-growth;
-association rules that conclude "bad" are kept if their support and confidence suffice, they say more than the share of bad URLs
-does (lift above 1, or certain) and no rule on fewer of their tokens is as confident. An inverted index from the rarest token of a rule to the rule finds what matches a URL.
+tokens that occur in the same labelled URLs are one item there, so a long URL that comes often is a set of one, not of all
+its parts. Association rules that conclude "bad" are kept if their support and confidence suffice, they say more than the share of bad URLs
+does (lift above 1, or certain) and no rule on fewer of their tokens is as confident. An inverted index from the rarest token of a rule to the rule finds what matches a URL:
+of items that stand for several tokens a URL needs one, as each of these tokens alone would make the same rule.
 
 Null URLs and those without ``://`` have an empty host and path, no tokens, and are allowed unless a rule says otherwise. Repeated
 pages are each judged; of hand-written rules of equal length the first in the list wins. Without labelled URLs no rule is mined; an empty
@@ -53,25 +55,39 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(*parts), lambda x: ~x.endswith(":"))))
 
 
+def alike(baskets: DataFrame) -> DataFrame:
+    """(token, item, any_of): tokens that are in the same baskets are one item, named by the first of them; any_of lists them.
+
+    Two tokens are in the same baskets if as many distinct ones hold them and two 64-bit sums over these baskets agree.
+    """
+    distinct = baskets.select(F.array_sort("tokens").alias("tokens")).distinct().select("tokens", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit("b"), "tokens").alias("b"))
+    where = distinct.select(F.explode("tokens").alias("token"), "a", "b").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    return where.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("any_of")).select(F.explode("any_of").alias("token"), F.col("any_of")[0].alias("item"), "any_of")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, index_token, confidence, support) from labelled URLs with the columns url and bad."""
+    """Rules from labelled URLs with the columns url and bad: tokens, any_of (for each of these what stands for it, itself too), index_token, confidence, support.
+
+    A rule has one row for each token that stands for the rarest of its tokens, in index_token.
+    """
     from pyspark.ml.fpm import FPGrowth
 
-    empty = labelled.sparkSession.createDataFrame([], "tokens array<string>, index_token string, confidence double, support double")
-    baskets = labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(
-        F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD)))).otherwise(tokens_of(F.col("url"))).alias("items")
-    )
-    baskets, baskets_path = materialise(baskets, "baskets")
+    spark = labelled.sparkSession
+    known = labelled.filter(F.col("url").isNotNull() & F.col("bad").isNotNull())
+    baskets, baskets_path = materialise(known.select(F.monotonically_increasing_id().alias("id"), "bad", tokens_of(F.col("url")).alias("tokens")), "baskets")
     n = baskets.count()
     if n < MIN_COUNT:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(baskets)
+        return spark.createDataFrame([], "tokens array<string>, any_of array<array<string>>, index_token string, confidence double, support double")
+    items, items_path = materialise(alike(baskets), "items")
+    as_items = checked_join(baskets.select("id", F.explode("tokens").alias("token")), items.select("token", "item"), items_path, "token").groupBy("id").agg(F.collect_set("item").alias("items"))
+    marked = baskets.select("id", "bad").join(as_items, "id", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    marked, marked_path = materialise(marked, "marked")
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(marked)
     rules, rules_path = materialise(
         model.associationRules.filter(F.array_contains("consequent", BAD) & ((F.col("lift") > 1 + 1e-9) | (F.col("confidence") == 1)))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"),
         "mined",
     )  # written: mining is not done again for each use
-    single = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     # A rule goes if one on fewer of its tokens is as confident: those that hold one of its tokens are looked up.
     simpler = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("simpler"))
     redundant = (
@@ -82,20 +98,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         .distinct()
     )
     kept = rules.join(redundant, "tokens", "left_anti")
-    rarest = kept.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    out, _ = materialise(kept.join(rarest, "tokens").select("tokens", F.col("rarest.token").alias("index_token"), "confidence", "support"), "rules")
-    for path in (baskets_path, rules_path):
-        delete_quietly(labelled.sparkSession, path)
+    freq = marked.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    stands = items.select(F.col("item").alias("token"), "any_of").distinct()
+    each = kept.select("*", F.explode("tokens").alias("token")).join(freq, "token").join(stands, "token").groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"), F.array_sort(F.collect_list("any_of")).alias("any_of"), F.min(F.struct("freq", "any_of")).alias("rarest"))
+    out, _ = materialise(each.select("tokens", "any_of", F.explode("rarest.any_of").alias("index_token"), "confidence", "support"), "rules")
+    for path in (baskets_path, items_path, marked_path, rules_path):
+        delete_quietly(spark, path)
     return out
 
 
 def mined_verdict(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls that a mined rule blocks, with the most confident rule's confidence."""
-    index, index_path = materialise(rules, "rules")
+    index, index_path = materialise(rules.drop("tokens"), "rules")
     listed = urls.select("url").filter(F.col("url").isNotNull()).distinct().select("url", tokens_of(F.col("url")).alias("has"))
     return (
         checked_join(listed.select("url", "has", F.explode("has").alias("index_token")), index, index_path, "index_token")
-        .filter(F.size(F.array_except("tokens", "has")) == 0)
+        .filter(F.forall("any_of", lambda some: F.arrays_overlap(some, F.col("has"))))
         .groupBy("url")
         .agg(F.max("confidence").alias("confidence"))
     )
