@@ -262,9 +262,9 @@ def q_rank_family(spark, sf):
 @query(f"""WITH {_FM} SELECT site, month, round(percent_rank() OVER w, 4) AS percent_rank, round(cume_dist() OVER w, 4) AS cume_dist, ntile(10) OVER (PARTITION BY month ORDER BY total, site) AS tile,
   rank() OVER (PARTITION BY month, segment ORDER BY total DESC) AS rank_in_segment FROM fm WINDOW w AS (PARTITION BY month ORDER BY total)""")
 def q_distribution(spark, sf):
-    by_month, month = ranking.place_by(_fact_months(spark, sf), ["month"], "total", ["site"], "m")
-    placed, segment = ranking.place_by(by_month, ["month", "segment"], "total", ["site"], "s")
-    return placed.select("site", "month", F.round(month.percent_rank, 4).alias("percent_rank"), F.round(month.cume_dist, 4).alias("cume_dist"), month.tile(10).cast("bigint").alias("tile"), segment.rank_down.cast("bigint").alias("rank_in_segment"))
+    placed, month = ranking.place_by(_fact_months(spark, sf), ["month"], "total", ["site"], "m")
+    in_segment = F.rank().over(series.along(["month", "segment"], F.desc("total"))).cast("bigint")
+    return placed.select("site", "month", F.round(month.percent_rank, 4).alias("percent_rank"), F.round(month.cume_dist, 4).alias("cume_dist"), month.tile(10).cast("bigint").alias("tile"), in_segment.alias("rank_in_segment"))
 
 
 @query(f"""WITH {_FM}, s AS (SELECT segment, month, quantile_disc(total, 0.5) AS p50, quantile_disc(total, 0.9) AS p90, count(*) AS sites FROM fm GROUP BY ALL)

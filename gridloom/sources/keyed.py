@@ -24,7 +24,8 @@ from pyspark.sql.types import StructType
 from gridloom.operators.keys import duplicate_keys, latest_per_key
 from gridloom.sources.scratch import delete_quietly, materialise
 
-BUCKETS = 64
+#: Of a table that an upsert creates, unless it asks for more: a large table wants as many as make a bucket a few GB.
+BUCKETS = 16
 KEEP = 2
 
 
@@ -47,7 +48,7 @@ class Keyed:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name = spark, name
         *schema, table = name.replace("`", "").split(".")
-        place = spark.sql(f"DESCRIBE SCHEMA {'.'.join(f'`{s}`' for s in schema)}").filter("info_name = 'Location'").first().info_value
+        place = spark.catalog.getDatabase(".".join(f"`{s}`" for s in schema)).locationUri
         self.root = f"{place.rstrip('/')}/{table}.keyed"
         self._jvm = spark._jvm
         self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())

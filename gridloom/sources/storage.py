@@ -48,13 +48,13 @@ def replace_partitions(df: DataFrame, name: str) -> None:
         conf.set(key, before)
 
 
-def upsert(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str], ctx: RunContext, newest_first: Sequence[Column] | None = None, repeated: bool = False) -> None:
+def upsert(spark: SparkSession, df: DataFrame, name: str, keys: Sequence[str], ctx: RunContext, newest_first: Sequence[Column] | None = None, repeated: bool = False, buckets: int = keyed.BUCKETS) -> None:
     """Rows of df replace those with equal keys (null equals null) and join the others; see keyed.upsert, which does it where the format has no MERGE.
 
     With newest_first a key keeps its newest row, whether df or the table has it.
     """
     if ctx.table_format not in WITH_MERGE:
-        keyed.upsert(spark, df, name, keys, newest_first, repeated)
+        keyed.upsert(spark, df, name, keys, newest_first, repeated, buckets)
         return
     if not exists(spark, name):
         replace(df, name, ctx)

@@ -132,7 +132,7 @@ def _files(t, m):
 
 def test_upsert_rewrites_touched_buckets_only(spark, ctx):
     name = ctx.table("silver", "keyed")
-    storage.upsert(spark, spark.range(500).withColumn("v", F.lit("old")), name, ["id"], ctx)
+    storage.upsert(spark, spark.range(500).withColumn("v", F.lit("old")), name, ["id"], ctx, buckets=64)
     t = keyed.Keyed(spark, name)
     first = t.manifest()
     reader = spark.table(name)  # planned before the next version
