@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import cleaning, stats
-from gridloom.operators import grouping, history, keys, ranking, series
+from gridloom.operators import grouping, history, keys, long_series, ranking, series
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -281,6 +281,19 @@ def q_first_last_value(spark, sf):
     return _fact_months(spark, sf).select("site", "month", F.first("total").over(w).alias("first_total"), F.last("total").over(w).alias("last_total"))
 
 
+@query("""SELECT event_id, lag(value, 24) OVER w AS earlier, sum(value::DECIMAL(18,2)) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)::DOUBLE AS last_7,
+  last_value(CASE WHEN event_id % 50 = 0 THEN value END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS filled, sum(value::DECIMAL(18,2)) OVER (w ROWS UNBOUNDED PRECEDING)::DOUBLE AS so_far
+FROM events WINDOW w AS (ORDER BY ts, event_id)""")
+def q_long_series(spark, sf):
+    """All events as one series: windows in chunks of a few thousand rows, with halos and carries, so that no task has it whole."""
+    one = _table(spark, sf, "events").select(F.lit("all").alias("series"), "event_id", "ts", "value", _dec("value").alias("exact"), F.when(F.col("event_id") % 50 == 0, F.col("value")).alias("rare"))
+    key, order, size = ["series"], ["ts", "event_id"], 4096
+    w = long_series.along_chunk(key)
+    near = long_series.with_windows(one, key, order, {"earlier": F.lag("value", 24).over(w), "last_7": F.sum("exact").over(series.last_n(w, 7)).cast("double")}, before=24, size=size)
+    filled = long_series.forward_filled(near, key, order, "rare", "filled", size)
+    return long_series.running_total(filled, key, order, "exact", "total", size).select("event_id", "earlier", "last_7", "filled", F.col("total").cast("double").alias("so_far"))
+
+
 _ISLANDS = f"""WITH {_R}, e AS (SELECT DISTINCT site, date_diff('day', DATE '1970-01-01', day) AS n FROM r WHERE flag = 'error'), i AS (
   SELECT site, min(n)::BIGINT AS first_step, max(n)::BIGINT AS last_step, count(*) AS steps FROM (SELECT *, n - row_number() OVER (PARTITION BY site ORDER BY n) AS g FROM e) GROUP BY site, g)"""
 
@@ -389,6 +402,16 @@ def q_as_of_join(spark, sf):
     return history.as_of_join(f, _versions(spark, sf), "site", F.to_date("l_shipdate"), {"tariff": "tariff", "version": "version"}).drop("l_shipdate")
 
 
+@query("""WITH v AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS hour, max(event_id) AS newest FROM events GROUP BY ALL)
+SELECT e.event_id, v.newest FROM (SELECT event_id, event_type, (ts - INTERVAL 90 MINUTE)::TIMESTAMP AS at FROM events) e ASOF LEFT JOIN v ON e.event_type = v.event_type AND e.at >= v.hour""")
+def q_as_of_many(spark, sf):
+    """Five keys of a version for each hour: what an event's type had as its newest 90 minutes before."""
+    e = _table(spark, sf, "events")
+    hours = e.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("valid_from")).agg(F.max("event_id").alias("newest"))
+    versions = hours.withColumn("valid_to", F.lead("valid_from").over(series.along("event_type", "valid_from")))
+    return history.as_of_by_ranges(e.select("event_id", "event_type", "ts"), versions, "event_type", F.col("ts").cast("timestamp_ntz") - F.expr("INTERVAL 90 MINUTES"), {"newest": "newest"}).select("event_id", "newest")
+
+
 @query(f"""WITH {_V} SELECT 'one_current' AS check_name, count(*) AS failing FROM (SELECT site FROM v GROUP BY 1 HAVING sum(is_current::INT) <> 1)
 UNION ALL SELECT 'contiguous', count(*) FROM (SELECT valid_to, lead(valid_from) OVER (PARTITION BY site ORDER BY valid_from) AS n FROM v) WHERE valid_to <> n""")
 def q_scd2_checks(spark, sf):

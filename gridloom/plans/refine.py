@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import cleaning as c
 from gridloom.functions.stats import pct_change, share_pct
-from gridloom.operators.history import as_of_join, to_versions
+from gridloom.operators.history import FEW, as_of_by_ranges, as_of_join, most_versions, to_versions
 from gridloom.operators.keys import latest_per_key, split_rows
 from gridloom.operators.series import along, forward_filled
 from gridloom.sources.feeds import LINEAGE
@@ -86,7 +86,8 @@ def sites(raw: DataFrame) -> DataFrame:
 
 def with_site(facts: DataFrame, versions: DataFrame, time: str = "reading_hour") -> DataFrame:
     take = {"region": "region", "customer_segment": "customer_segment", "tariff_plan": "tariff_plan", "contracted_kw": "contracted_kw", "version": "site_version"}
-    return as_of_join(facts, versions, "site_id", F.to_date(time), take)
+    join = as_of_join if most_versions(versions, "site_id") <= FEW else as_of_by_ranges  # alike in what they give
+    return join(facts, versions, "site_id", F.to_date(time), take)
 
 
 def weather(raw: DataFrame) -> DataFrame:
