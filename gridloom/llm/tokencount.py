@@ -4,7 +4,7 @@ A text is normalised (runs of blanks, tabs and line ends become one blank; none
 its count doesn't depend on that (``known_rules``), else left as it is, and keyed by the SHA-256 of the result together with the digest of the tokenizer's file. Keys
 that the cache table holds aren't encoded again; of the others each distinct text is encoded once and appended.
 
-Texts to encode travel compressed, once per scan task at most, so copies of one text don't meet in one task. Encoding remembers
+Digests meet the cache before any text moves. Texts to encode travel compressed, once per scan task at most, so copies of one text don't meet in one task. Encoding remembers
 the counts of words, where the tokenizer encodes these one by one; unknown words, and all texts for tokenizers of other rules, go through
 the library: tokenizers for .json, sentencepiece for .model. Null texts count as empty. Rows with equal doc_id each get their count, and
 null ids too. An empty table gives an empty result. Other columns, whatever their names, are not read.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, packed_texts, slices, small_arrow_batches
+from gridloom.llm.common import BROADCAST_LIMIT, bytes_at, materialise, packed_texts, slices, small_arrow_batches
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Words in a worker's memory; beyond it they become the older ones, and those before them are forgotten.
@@ -141,9 +141,17 @@ def encode_misses(documents: DataFrame, cache: DataFrame, tokenizer: str) -> Dat
                 n += count([unpack(x).decode() for x in raw[a:b]])
             yield pa.record_batch([pa.array([keys[i] for i in new], pa.binary()), pa.array([version] * len(new), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
-    texts = packed_texts(documents.select(digest(F.col("text"), known_rules(tokenizer)).alias("digest"), "text"), "digest").repartition("digest")
+    keyed = documents.select(digest(F.col("text"), known_rules(tokenizer)).alias("digest"), "text")
     known = cache.filter(F.col("tokenizer") == version).select("digest")
-    return texts.join(known, "digest", "left_anti").mapInArrow(run, CACHE_SCHEMA)
+    if known.isEmpty():
+        return packed_texts(keyed, "digest").repartition("digest").mapInArrow(run, CACHE_SCHEMA)
+    # Digests alone meet the cache; then only texts that it lacks are packed or, where these are too many to tell in each task, only packed texts travel.
+    missing, path = materialise(keyed.select("digest").distinct().join(known, "digest", "left_anti"), "missing")
+    if 4 * bytes_at(documents.sparkSession, path) < BROADCAST_LIMIT:
+        texts = packed_texts(keyed.join(F.broadcast(missing), "digest", "left_semi"), "digest")
+    else:
+        texts = packed_texts(keyed, "digest").join(missing, "digest", "left_semi")
+    return texts.repartition("digest").mapInArrow(run, CACHE_SCHEMA)
 
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:

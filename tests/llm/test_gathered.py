@@ -15,7 +15,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import bytebpe, divergence, importance, queries
+from gridloom.llm import bytebpe, divergence, importance, queries, tokencount
 from gridloom.llm.textnum import NOT_ALNUM, Words
 from tests.llm import data
 
@@ -189,3 +189,18 @@ def test_long_texts_and_pieces(library, monkeypatch):
         parts = [part.ids for _, part in bpe.encode([text])]
         assert np.concatenate(parts).tolist() == library.encode_ordinary(text), i
     assert len(list(bpe.encode(texts[:1]))) > 3
+
+
+@pytest.mark.parametrize("limit", (tokencount.BROADCAST_LIMIT, 0))
+def test_only_what_the_cache_lacks_is_encoded(spark, tmp_path, monkeypatch, limit):
+    """Digests meet the cache first, whether the missing ones are few enough to be told to each task or not."""
+    monkeypatch.setattr(tokencount, "BROADCAST_LIMIT", limit)
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/cache"
+    df = spark.createDataFrame([(i, f"word {i % 9}" if i % 5 else None) for i in range(60)], "doc_id long, text string").repartition(3)
+    tokencount.count_tokens(df.filter("doc_id < 4"), path, cache).collect()
+    held = {bytes(r.digest) for r in spark.read.parquet(cache).collect()}
+    new = tokencount.encode_misses(df, tokencount.open_cache(spark, cache), path)
+    digests = [bytes(r.digest) for r in new.collect()]
+    assert len(held) == 4 and len(digests) == len(set(digests)) == 6 and not held & set(digests)
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, path, cache).collect()}
+    assert got == {i: 2 if i % 5 else 0 for i in range(60)} and spark.read.parquet(cache).count() == 10
