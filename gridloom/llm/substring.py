@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm import textnum
+from gridloom.llm import common, textnum
 from gridloom.llm.common import bytes_at, checked_join, delete_quietly, materialise, slices, small_arrow_batches, text_bytes
 
 WINDOW, BLOCK = 20, 10
@@ -262,10 +262,10 @@ def _exchange(texts: DataFrame, packer: Callable, reducer: Callable, spreader: C
     return materialise(answers.groupBy("chunk").applyInArrow(spreader, _ROWS), tag)
 
 
-def _attach(left: DataFrame, right: DataFrame, path: str, how: str) -> DataFrame:
-    """Join by (id, version). Where it shuffles, rows are put in order again: chunks must come out alike if a task runs again."""
-    joined = checked_join(left, right, path, ["id", "version"], how)
-    return joined if 4 * bytes_at(left.sparkSession, path) < 48 << 20 else joined.sortWithinPartitions("id", "version")
+def _attach(left: DataFrame, right: DataFrame, path: str, how: str, on: tuple[str, ...] = ("id", "version")) -> DataFrame:
+    """A join with the table at path. Where it shuffles, rows are put in order again: chunks must come out alike if a task runs again."""
+    joined = checked_join(left, right, path, list(on), how)
+    return joined if 4 * bytes_at(left.sparkSession, path) < common.BROADCAST_LIMIT else joined.sortWithinPartitions("id", "version")
 
 
 def _named(documents: DataFrame, path_of: list[str]) -> DataFrame:
@@ -274,7 +274,7 @@ def _named(documents: DataFrame, path_of: list[str]) -> DataFrame:
     named = documents.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "version": F.xxhash64(text), "digest": F.unhex(F.md5(text))})
     repeated, path = materialise(named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("digest", "first"), "copies")
     path_of.append(path)
-    return checked_join(named, repeated, path, "digest", "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False))).drop("digest", "first")
+    return _attach(named, repeated, path, "left", ("digest",)).withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False))).drop("digest", "first")
 
 
 def bucket_bits(size: int) -> int:

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from gridloom.llm import decontaminate, mixing, order_minhash, quality, queries, sharding, substring, textnum, tokencount, topk, urlfilter, warc
+from gridloom.llm import common, decontaminate, mixing, order_minhash, quality, queries, sharding, substring, textnum, tokencount, topk, urlfilter, warc
 from tests.llm import data
 
 
@@ -180,6 +180,19 @@ def test_substring_dedup(spark, sf, docs):
     assert texts == Counter(t if not any(g) else b" ".join(x for x, y in zip(w, g) if not y).decode() for (_, t), w, g in zip(docs, split, gone))
 
 
+def test_substring_dedup_where_nothing_is_broadcast(spark, sf, docs, monkeypatch, request):
+    """Every join by a shuffle, after which rows are put in order."""
+    monkeypatch.setattr(common, "BROADCAST_LIMIT", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before))
+    split, gone = removed_words(docs)
+    want = [(i, len(w), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(w, g) if not y)).hexdigest()) for (i, _), w, g in zip(docs, split, gone)]
+    assert sorted(map(repr, map(tuple, run(spark, sf, "op3_fixed_block_anchors")))) == sorted(map(repr, want))
+    plan = substring._named(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), [])._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [id" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_exact_top_k(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     ok = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
