@@ -798,6 +798,25 @@ def q_mart_daily(spark, sf):
     return _plain(marts.site_daily_consumption(_enriched(spark, sf)), "site_id", "region", "reading_date", "kwh_total", "kwh_peak_hour", "kwh_min_hour", "kwh_exported_total", "kwh_prev_day")
 
 
+@query(f"""WITH {_S}, m AS (
+  SELECT site_id, customer_segment, date_trunc('month', reading_hour)::DATE AS month_start, round(sum(kwh_filled), 3) AS kwh_total FROM s GROUP BY ALL
+), g AS (
+  SELECT customer_segment, month_start, quantile_disc(kwh_total, 0.5) AS segment_p50_kwh, quantile_disc(kwh_total, 0.9) AS segment_p90_kwh, count(*) AS segment_site_count FROM m GROUP BY ALL
+), d AS (
+  SELECT site_id, customer_segment, month_start, kwh_total, segment_p50_kwh, segment_p90_kwh, segment_site_count, round(cume_dist() OVER a, 4) AS cume_dist_all_sites, round(percent_rank() OVER a, 4) AS percent_rank_all_sites,
+    ntile(10) OVER (PARTITION BY month_start ORDER BY kwh_total, site_id, customer_segment)::BIGINT AS decile_all_sites, round(cume_dist() OVER (PARTITION BY customer_segment, month_start ORDER BY kwh_total), 4) AS cume_dist_in_segment,
+    rank() OVER (PARTITION BY customer_segment, month_start ORDER BY kwh_total DESC)::BIGINT AS rank_in_segment_desc,
+    CASE WHEN segment_p50_kwh > 0 THEN round(kwh_total / segment_p50_kwh * 100, 2) END AS pct_of_segment_median, kwh_total > segment_p90_kwh AS is_above_segment_p90
+  FROM m JOIN g USING (customer_segment, month_start) WINDOW a AS (PARTITION BY month_start ORDER BY kwh_total)
+) SELECT *, decile_all_sites = 10 AS is_top_decile FROM d""")
+def q_mart_distribution(spark, sf):
+    """All columns of the mart, its percentiles exact."""
+    from gridloom.plans import marts
+
+    columns = ("site_id", "customer_segment", "month_start", "kwh_total", "segment_p50_kwh", "segment_p90_kwh", "segment_site_count", "cume_dist_all_sites", "percent_rank_all_sites", "decile_all_sites", "cume_dist_in_segment", "rank_in_segment_desc", "pct_of_segment_median", "is_above_segment_p90", "is_top_decile")
+    return _plain(marts.consumption_distribution_monthly(_enriched(spark, sf)), *columns)
+
+
 @query("""WITH e AS (SELECT user_id AS site_id, ts AS h FROM events)
 SELECT 'silver_readings_unique_key' AS check_name, (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY site_id, date_trunc('hour', h) HAVING count(*) > 1)) AS failing_rows
 UNION ALL SELECT 'silver_readings_no_null_keys', 0 UNION ALL SELECT 'silver_readings_non_negative', (SELECT count(*) FROM events WHERE value < 50 AND event_type <> 'error')
